@@ -50,3 +50,10 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"), partial(library_ids, P.path("byte_bpe_50k.json"), P.PATTERN), end_id=0, capacity=2048)
+
+
+@query("op4_substring_dedup")
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import removals
+
+    return removals(table(spark, sf_dir, "documents"), window=13, start=7)
