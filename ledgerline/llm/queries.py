@@ -57,3 +57,10 @@ def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import removals
 
     return removals(table(spark, sf_dir, "documents"), window=13, start=7)
+
+
+@query("op5_near_dedup")
+def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import groups
+
+    return groups(table(spark, sf_dir, "documents"))
