@@ -64,3 +64,40 @@ def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import groups
 
     return groups(table(spark, sf_dir, "documents"))
+
+
+@query("op1_quality_rules")
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import quality
+
+    return quality(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "p_good", "kept")
+
+
+@query("op3_toxicity")
+def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, severity
+
+    docs = table(spark, sf_dir, "documents")
+    return severity(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op7_license_scan")
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
+@query("op8_fingerprints")
+def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op10_language_id")
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import fit, identify
+
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, fit(docs))
