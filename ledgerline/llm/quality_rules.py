@@ -12,19 +12,21 @@ are judged alike. With no documents the model stays at its start values.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, written
+from .common import keep_rows, map_texts, written
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
-COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_letters long, n_digits long, n_distinct long"
+_LONE = [bytes([s]) for s in SYMBOLS]
+COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_letters long, n_digits long, n_lone long"
 _UPPER, _LOWER, _DIGIT = (bytes(range(a, b + 1)) for a, b in ((65, 90), (97, 122), (48, 57)))
-_NOT = {name: bytes(set(range(256)) - set(chars)) for name, chars in (("upper", _UPPER), ("lower", _LOWER), ("digit", _DIGIT), ("cont", bytes(range(128, 192))))}
+_NOT = {name: bytes(set(range(256)) - set(chars)) for name, chars in (("upper", _UPPER), ("lower", _LOWER), ("digit", _DIGIT), ("cont", bytes(range(128, 192))), ("ascii", bytes(range(128))))}
 
 
 def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
@@ -44,109 +46,132 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
 
 
 def count_text(text: bytes) -> tuple[int, ...]:
+    """The counts of one text, in the order of COUNTS. Letters are those of ASCII and all characters beyond it."""
     words = text.split()
     joined = b"".join(words)
     lines = [line for line in text.split(b"\n") if line.strip()]
+    chars = len(joined) - len(joined.translate(None, _NOT["cont"]))
     upper = len(joined.translate(None, _NOT["upper"]))
     return (
         len(words),
-        len(joined) - len(joined.translate(None, _NOT["cont"])),
+        chars,
         sum(text.count(s) for s in SYMBOLS),
         len(lines) - len(set(lines)),
         repeated_words(words),
         len(lines),
         upper,
-        upper + len(joined.translate(None, _NOT["lower"])),
+        upper + len(joined.translate(None, _NOT["lower"])) + chars - len(joined.translate(None, _NOT["ascii"])),
         len(joined.translate(None, _NOT["digit"])),
-        len(set(words)),
+        sum(words.count(s) for s in _LONE),
     )
 
 
 def count_texts(texts: list[bytes]) -> dict:
+    """The counts of many texts, and the votes of all rules on each as one number: its digits to the base 3 are the votes plus 1."""
     names = [c.split()[0] for c in COUNTS.split(", ")]
     rows = [count_text(t) for t in texts]
-    return {n: np.array([r[k] for r in rows], dtype=np.int64) for k, n in enumerate(names)}
+    counts = {n: np.array([r[k] for r in rows], dtype=np.int64) for k, n in enumerate(names)}
+    pattern = np.zeros(len(texts), dtype=np.int64)
+    for k, vote in enumerate(RULES.values()):
+        pattern += (vote(counts) + 1) * 3**k
+    return {**counts, "pattern": pattern}
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """The counts of every document."""
-    return map_texts(docs, COUNTS, count_texts)
+def _share(part: np.ndarray, of: np.ndarray) -> np.ndarray:
+    return part / np.maximum(of, 1)
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+def _vote(share: np.ndarray, good: float, bad: float, says: np.ndarray) -> np.ndarray:
+    """+1 where the share is at most ``good``, -1 where it is over ``bad``, else 0 (abstain), and 0 where the rule has nothing to say."""
+    return np.where(says, np.where(share <= good, 1, np.where(share > bad, -1, 0)), 0)
 
 
-def _vote(ratio: str, good: float, bad: float) -> str:
-    """+1 where the ratio is at most ``good``, -1 where it is over ``bad``, else 0 (abstain)."""
-    return f"CASE WHEN n_words = 0 THEN 0 WHEN {ratio} <= {good} THEN 1 WHEN {ratio} > {bad} THEN -1 ELSE 0 END"
+def _word_length(c: dict) -> np.ndarray:
+    mean = _share(c["word_chars"], c["n_words"])
+    return np.where(c["n_words"] == 0, 0, np.where((mean >= 3) & (mean <= 11), 1, np.where((mean < 2) | (mean > 18), -1, 0)))
 
 
-#: Rule name -> SQL of its vote over the counts. A rule abstains where it has nothing to say.
-RULES: dict[str, str] = {
-    "symbols": _vote("n_symbols / n_words", 0.05, 0.25),
-    "capitals": f"CASE WHEN n_letters < 40 THEN 0 ELSE {_vote('n_upper / n_letters', 0.2, 0.5)} END",
-    "word_length": "CASE WHEN n_words = 0 THEN 0 WHEN word_chars / n_words BETWEEN 3 AND 11 THEN 1 WHEN word_chars / n_words < 2 OR word_chars / n_words > 18 THEN -1 ELSE 0 END",
-    "repeats": _vote("n_repeat_words / n_words", 0.05, 0.2),
-    "line_copies": f"CASE WHEN n_lines < 3 THEN 0 ELSE {_vote('n_dup_lines / n_lines', 0.1, 0.3)} END",
-    "digits": f"CASE WHEN word_chars < 40 THEN 0 ELSE {_vote('n_digits / word_chars', 0.1, 0.3)} END",
-    "length": "CASE WHEN n_words < 10 THEN -1 WHEN n_words >= 40 THEN 1 ELSE 0 END",
-    "letters": f"CASE WHEN word_chars < 40 THEN 0 ELSE {_vote('1 - n_letters / word_chars', 0.35, 0.6)} END",
+#: Rule name -> its votes over the counts.
+RULES: dict[str, Callable[[dict], np.ndarray]] = {
+    "symbols": lambda c: _vote(_share(c["n_symbols"], c["n_words"]), 0.05, 0.25, c["n_words"] > 0),
+    "capitals": lambda c: _vote(_share(c["n_upper"], c["n_letters"]), 0.2, 0.5, c["n_letters"] >= 40),
+    "word_length": _word_length,
+    "repeats": lambda c: _vote(_share(c["n_repeat_words"], c["n_words"]), 0.05, 0.2, c["n_words"] > 0),
+    "line_copies": lambda c: _vote(_share(c["n_dup_lines"], c["n_lines"]), 0.2, 0.5, c["n_lines"] >= 4),
+    "digits": lambda c: _vote(_share(c["n_digits"], c["word_chars"]), 0.1, 0.3, c["word_chars"] >= 200),
+    "lone_symbols": lambda c: _vote(_share(c["n_lone"], c["n_words"]), 0.02, 0.15, c["n_words"] > 0),
+    "length": lambda c: np.where(c["n_words"] < 10, -1, np.where(c["n_words"] >= 40, 1, 0)),
+    "letters": lambda c: _vote(1 - _share(c["n_letters"], c["word_chars"]), 0.12, 0.25, c["word_chars"] >= 200),
 }
 
 
+def measure(docs: DataFrame) -> DataFrame:
+    """The counts of every document, and the pattern of the rules' votes on it."""
+    return map_texts(docs, COUNTS + ", pattern long", count_texts)
+
+
+def base_failed() -> Column:
+    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+
+
 @dataclass
 class QualityModel:
-    """Share of good documents and, by rule, the probability that its vote is right."""
+    """Share of good documents, and each rule's accuracy: how often its vote is right on good and on bad documents."""
 
-    prior: float = 0.8
-    accuracy: dict[str, float] = field(default_factory=lambda: dict.fromkeys(RULES, 0.8))
+    prior: float = 0.9
+    accuracy: dict[str, tuple[float, float]] = field(default_factory=dict)
 
-    def weights(self) -> tuple[float, dict[str, float]]:
-        return math.log(self.prior / (1 - self.prior)), {r: math.log(a / (1 - a)) for r, a in self.accuracy.items()}
+    def weights(self, rule: str) -> tuple[float, float]:
+        """What a vote for bad, and one for good, adds to the log odds of good.
 
+        A vote for good never counts against a document, nor a vote for bad in its favour: that fixes which of
+        the two hidden classes is the good one. To abstain says nothing.
+        """
+        good, bad = self.accuracy[rule]
+        return min(0.0, math.log((1 - good) / bad)), max(0.0, math.log(good / (1 - bad)))
 
-def fit_patterns(patterns: list[tuple[tuple[int, ...], int]], rules: list[str], rounds: int = 200) -> QualityModel:
-    """Expectation-maximisation over counted vote patterns.
 
-    Whether a rule abstains is taken not to depend on quality, so only its accuracy counts. Accuracies
-    stay over one half: that fixes which of the two hidden classes is the good one. Smoothing by one
-    right and one wrong vote's worth of 2 % of the rows keeps rules that never err finite.
-    """
-    start = QualityModel(accuracy=dict.fromkeys(rules, 0.8))
-    if not patterns:
-        return start
-    votes = np.array([p for p, _ in patterns], dtype=float)
+#: A bad document is bad in one way, so most rules find it good. How often a vote is taken to be right on good and on bad
+#: documents before any data, and what share of all rows that belief weighs.
+_BELIEF, _BELIEF_WEIGHT = (0.995, 0.15), 0.1
+
+
+def fit_patterns(patterns: list[tuple[tuple[int, ...], int]], rules: list[str], rounds: int = 300) -> QualityModel:
+    """Expectation-maximisation over counted vote patterns, from a common belief about all rules."""
+    model = QualityModel(0.9, dict.fromkeys(rules, _BELIEF))
+    votes = np.array([p for p, _ in patterns], dtype=int).reshape(-1, len(rules))
     n = np.array([c for _, c in patterns], dtype=float)
-    good, bad, cast = votes > 0, votes < 0, votes != 0
-    prior, acc = start.prior, np.full(len(rules), 0.8)
-    soft = 0.02 * n.sum()
-    for _ in range(rounds):
-        logit = math.log(prior / (1 - prior)) + votes @ np.log(acc / (1 - acc))
+    for _ in range(rounds if len(patterns) else 0):
+        w = np.array([model.weights(r) for r in rules])
+        logit = math.log(model.prior / (1 - model.prior)) + ((votes < 0) * w[:, 0] + (votes > 0) * w[:, 1]).sum(1)
         p = 1 / (1 + np.exp(-logit))
-        right = (n[:, None] * (good * p[:, None] + bad * (1 - p[:, None]))).sum(0)
-        new = np.clip((right + 0.8 * soft) / ((n[:, None] * cast).sum(0) + soft), 0.55, 0.995)
-        new_prior = float(np.clip((n * p).sum() / n.sum(), 0.05, 0.95))
-        moved = max(np.abs(new - acc).max(), abs(new_prior - prior))
-        acc, prior = new, new_prior
-        if moved < 1e-7:
+        rates = []
+        for q, vote, belief in ((p, 1, _BELIEF[0]), (1 - p, -1, _BELIEF[1])):
+            soft = _BELIEF_WEIGHT * n.sum()
+            right, cast = ((n * q)[:, None] * (votes == vote)).sum(0), ((n * q)[:, None] * (votes != 0)).sum(0)
+            rates.append((right + belief * soft) / (cast + soft))
+        new = QualityModel(float(np.clip((n * p).sum() / n.sum(), 0.02, 0.98)), {r: (float(a), float(b)) for r, a, b in zip(rules, *rates)})
+        moved = max(abs(new.prior - model.prior), *(abs(x - y) for r in rules for x, y in zip(new.accuracy[r], model.accuracy[r])))
+        model = new
+        if moved < 1e-8:
             break
-    return QualityModel(prior, dict(zip(rules, map(float, acc))))
+    return model
 
 
-def fit(counts: DataFrame, rules: dict[str, str] = RULES) -> QualityModel:
-    """Fit on the counts of all documents; the driver gets at most 3^len(rules) pattern rows."""
-    votes = counts.select(*(F.expr(sql).alias(r) for r, sql in rules.items()))
-    rows = votes.groupBy(*rules).count().collect()
-    return fit_patterns(sorted((tuple(int(r[k]) for k in rules), r["count"]) for r in rows), list(rules))
+def fit(counts: DataFrame) -> QualityModel:
+    """Fit on the votes on all documents; the driver gets at most 3^rules pattern rows."""
+    rows = counts.groupBy("pattern").count().collect()
+    patterns = sorted((tuple(r["pattern"] // 3**k % 3 - 1 for k in range(len(RULES))), r["count"]) for r in rows)
+    return fit_patterns(patterns, list(RULES))
 
 
-def judge(counts: DataFrame, model: QualityModel, rules: dict[str, str] = RULES, threshold: float = 0.5) -> DataFrame:
+def judge(counts: DataFrame, model: QualityModel, threshold: float = 0.5) -> DataFrame:
     """Add base_failed, p_good and kept. A document that fails the base rule is never kept."""
-    bias, weights = model.weights()
-    logit = F.lit(bias)
-    for r, sql in rules.items():
-        logit = logit + F.lit(weights[r]) * F.expr(sql)
+    logit = F.lit(math.log(model.prior / (1 - model.prior)))
+    for k, r in enumerate(RULES):
+        bad, good = model.weights(r)
+        vote = F.expr(f"pattern div {3**k} % 3 - 1")
+        logit = logit + F.when(vote > 0, F.lit(good)).when(vote < 0, F.lit(bad)).otherwise(F.lit(0.0))
     p = 1 / (1 + F.exp(-logit))
     return counts.withColumn("base_failed", base_failed()).withColumn("p_good", p).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
 
@@ -157,6 +182,21 @@ def quality(docs: DataFrame) -> DataFrame:
     return judge(counts, fit(counts))
 
 
-def kept_flags(docs: DataFrame) -> DataFrame:
-    """doc_id and the decision."""
-    return quality(docs).select("doc_id", "kept")
+def kept_documents(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The documents that are kept, all columns as they are.
+
+    The counts are made again beside the texts instead of joined to them: that costs less than to deal out all texts.
+    """
+    model = fit(measure(docs))
+
+    def keep(texts: list[bytes | None]) -> list[bool]:
+        c = count_texts([t or b"" for t in texts])
+        logit = np.full(len(texts), math.log(model.prior / (1 - model.prior)))
+        for k, r in enumerate(RULES):
+            bad, good = model.weights(r)
+            v = c["pattern"] // 3**k % 3 - 1
+            logit += np.where(v > 0, good, np.where(v < 0, bad, 0.0))
+        failed = (c["n_words"] < 10) | (100 * c["n_repeat_words"] > 20 * c["n_words"])
+        return (~failed & (1 / (1 + np.exp(-logit)) >= threshold)).tolist()
+
+    return keep_rows(docs, keep)
