@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Callable
+from itertools import chain
 
 import regex
 
@@ -63,26 +64,33 @@ class ChunkTable:
             self.old, self.young = self.young, {"": b""}
         cut = [self.cut(t) for t in texts]
         young, old = self.young, self.old
+        # A full stop or comma behind a letter or digit is a piece of its own: only the rest has to be known.
+        ends: list[str] = []
         new: dict[str, None] = {}
-        found = []
-        for chunks in cut:
-            ids = list(map(young.get, chunks))
-            if None in ids:
-                for c, v in zip(chunks, ids):
-                    if v is None:
-                        if (before := old.get(c)) is not None:
-                            young[c] = before
-                        else:
-                            new[c] = None
-                found.append(None)
-            else:
-                found.append(b"".join(ids))
-        names = list(new)
+        for c in set(chain.from_iterable(cut)):
+            if c in young:
+                continue
+            if (before := old.get(c)) is not None:
+                young[c] = before
+                continue
+            if c[-1] in ".," and c[-2:-1].isalnum():
+                ends.append(c)
+                new[c[-1]] = None
+                c = c[:-1]
+                if c in young:
+                    continue
+                if (before := old.get(c)) is not None:
+                    young[c] = before
+                    continue
+            new[c] = None
+        names = [c for c in new if c not in young]
         young.update((c, array("I", v).tobytes()) for c, v in zip(names, self.encode(names)))
-        out = [f if f is not None else b"".join(map(young.__getitem__, chunks)) for f, chunks in zip(found, cut)]
-        for c in names:
+        for c in ends:
+            young[c] = young[c[:-1]] + young[c[-1]]
+        out = [b"".join(map(young.__getitem__, chunks)) for chunks in cut]
+        for c in (*names, *ends):
             if len(c) > self.longest:
-                del young[c]
+                young.pop(c, None)
         return out
 
 
@@ -112,5 +120,8 @@ def decoded(texts: list[bytes]) -> list[str]:
 
 
 def library_ids(path: str, pattern: str | None, texts: list[bytes]) -> list[bytes]:
-    """The 32-bit ids of whole texts by a tokenizers-library file, without special tokens."""
-    return library_table(path, pattern).many(decoded(texts))
+    """The 32-bit ids of whole texts by a tokenizers-library file, without special tokens.
+
+    Without a pattern the file lower-cases texts anyway; A-Z are lowered before, so that chunks repeat more.
+    """
+    return library_table(path, pattern).many(decoded(texts if pattern else [t.lower() for t in texts]))
