@@ -18,7 +18,7 @@ def po_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pair_id, line_no, item, qty, price, tax, total and the noise key k of every order line."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_tax")
     part = table(spark, sf_dir, "part").select("p_partkey", F.lower("p_name").alias("item"), "p_retailprice")
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_tax")
     joined = lines.join(part, lines.l_partkey == part.p_partkey)
     return joined.select(
         F.col("l_orderkey").alias("pair_id"),
