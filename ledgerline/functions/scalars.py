@@ -128,7 +128,7 @@ def item_quality(col: Column) -> Column:
     s = strip(F.coalesce(col, F.lit("")))
     low = F.lower(s)
     garbage = F.array(*(F.lit(g) for g in GARBAGE_NAMES))
-    core = strip(F.rtrim(F.lit("."), low))
+    core = strip(F.rtrim(low, F.lit(".")))
     tokens = F.filter(F.split(low, r"(?U)\s+"), lambda t: t != "")
 
     def bad(t: Column) -> Column:

@@ -182,7 +182,8 @@ def extract_columnar(lines: DataFrame) -> DataFrame:
     out = out.withColumn("skip", skip).withColumn("head_item", normalize_item_name(F.when(mapped, at("item")))).withColumn("place_item", normalize_item_name(F.get("flat", F.col("skip"))))
     v = F.filter(F.slice("numbers", F.col("skip") + 2, F.greatest(F.size("numbers") - F.col("skip") - 1, F.lit(0))), lambda x: x.isNotNull())
     out = out.withColumn("v", F.when(F.size("flat") >= 2, v))
-    by_head = {f: normalize_currency(at(f)) for f in ("qty", "price", "total")}
+    out = out.withColumn("head", F.struct(*(normalize_currency(at(f)).alias(f) for f in ("qty", "price", "total"))))  # computed once, used often
+    by_head = {f: F.col(f"head.{f}") for f in ("qty", "price", "total")}
     third = F.get("v", F.lit(2))
     is_tax = (third >= 0) & (third <= 100)
     by_place = {
@@ -191,16 +192,18 @@ def extract_columnar(lines: DataFrame) -> DataFrame:
     }
     head = F.when(F.coalesce(mapped & (F.col("head_item") != "") & F.coalesce(*by_head.values()).isNotNull(), F.lit(False)), _finalized(F.col("head_item"), by_head, F.lit(0.98), "columnar"))
     place = F.when(F.coalesce((F.col("place_item") != "") & (F.size("v") > 0), F.lit(False)), _finalized(F.col("place_item"), by_place, F.lit(0.95), "columnar"))
-    return out.withColumn("columnar", F.coalesce(head, place)).drop("cells", "flat", "numbers", "skip", "head_item", "place_item", "v")
+    return out.withColumn("columnar", F.coalesce(head, place)).drop("cells", "flat", "numbers", "skip", "head_item", "place_item", "v", "head")
 
 
 def extract_labeled(lines: DataFrame) -> DataFrame:
     """Add ``labeled``: amounts behind field labels."""
     found = {f: F.nullif(F.regexp_extract("cleaned", p, 1), F.lit("")) for f, p in FIELDS.items()}
-    fields = {f: normalize_percentage(c) if f == "tax" else F.when(c.isNotNull(), normalize_currency(c)) for f, c in found.items()}
+    numbers = F.struct(*((normalize_percentage(c) if f == "tax" else F.when(c.isNotNull(), normalize_currency(c))).alias(f) for f, c in found.items()))
+    lines = lines.withColumn("stated", numbers)  # computed once, used often
+    fields = {f: F.col(f"stated.{f}") for f in FIELDS}
     n = sum(F.when(c.isNotNull(), 1).otherwise(0) for c in fields.values())
     made = _finalized(F.col("parts.label_item"), fields, F.when(n >= 2, 0.9).otherwise(0.78), "labeled")
-    return lines.withColumn("labeled", F.when((F.col("parts.label_item") != "") & (n >= 1), made))
+    return lines.withColumn("labeled", F.when((F.col("parts.label_item") != "") & (n >= 1), made)).drop("stated")
 
 
 def extract_trailing(lines: DataFrame) -> DataFrame:
