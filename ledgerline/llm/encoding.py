@@ -5,6 +5,8 @@ it. Where every white-space character of a text stands alone and is a blank or a
 be cut before each blank and around each line feed, and the ids of the chunks, put together, are the
 ids of the text. Chunks repeat much more than texts, so their ids are kept in a bounded table of the
 worker. Any other text goes through the pattern as a whole, and its pieces are looked up.
+
+A text that holds the content of a special token is encoded uncut, as that token is found before anything else.
 """
 
 from __future__ import annotations
@@ -31,15 +33,18 @@ class ChunkTable:
     be cut at each blank; without it, white space has no ids and cutting at blanks is always right.
     ``limit`` bounds the chunks remembered in each of two generations: when the young one is full it becomes the old one,
     so that chunks still in use are found there again. Chunks over ``longest`` characters are not kept.
+    Texts that hold one of ``special`` are not cut.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], pattern: str | None, limit: int = 350_000, longest: int = 40):
-        self.encode, self.limit, self.longest = encode, limit, longest
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], pattern: str | None, limit: int = 350_000, longest: int = 40, special: tuple[str, ...] = ()):
+        self.encode, self.limit, self.longest, self.special = encode, limit, longest, special
         self.pattern = regex.compile(pattern) if pattern else None
         self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
 
     def cut(self, text: str) -> list[str]:
+        if any(s in text for s in self.special):
+            return [text]
         if self.pattern is None:
             return text.replace("\n", " ").split(" ")
         if _lone_blanks(text):
@@ -106,12 +111,11 @@ def library_table(path: str, pattern: str | None) -> ChunkTable:
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
 
         def encode(pieces: list[str]) -> list[list[int]]:
             return [e.ids for e in t.encode_batch_fast(pieces, add_special_tokens=False)]
 
-        _LOADED[path, pattern] = ChunkTable(encode, pattern)
+        _LOADED[path, pattern] = ChunkTable(encode, pattern, special=tuple(a.content for a in t.get_added_tokens_decoder().values()))
     return _LOADED[path, pattern]
 
 
@@ -120,8 +124,13 @@ def decoded(texts: list[bytes]) -> list[str]:
 
 
 def library_ids(path: str, pattern: str | None, texts: list[bytes]) -> list[bytes]:
-    """The 32-bit ids of whole texts by a tokenizers-library file, without special tokens.
+    """The 32-bit ids of whole texts by a tokenizers-library file; no special tokens are added, those in a text have their ids.
 
-    Without a pattern the file lower-cases texts anyway; A-Z are lowered before, so that chunks repeat more.
+    Without a pattern the file lower-cases texts anyway; A-Z are lowered before, so that chunks repeat more. This must
+    not make the content of a special token.
     """
-    return library_table(path, pattern).many(decoded(texts if pattern else [t.lower() for t in texts]))
+    table = library_table(path, pattern)
+    if not pattern:
+        special = [s.encode() for s in table.special]
+        texts = [t if any(s in low for s in special) else low for t, low in ((t, t.lower()) for t in texts)]
+    return table.many(decoded(texts))

@@ -1,0 +1,21 @@
+from array import array
+
+import public_tokenizers as P
+import pytest
+from tokenizers import Tokenizer
+
+from ledgerline.llm.encoding import library_ids
+
+FILES = [("word_bpe_49k.json", None), ("byte_bpe_50k.json", P.PATTERN)]
+
+
+def same_as_library(name, pattern, texts):
+    library = Tokenizer.from_file(P.path(name))
+    made = [array("I", ids).tolist() for ids in library_ids(P.path(name), pattern, [t.encode() for t in texts])]
+    assert made == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize("name, pattern", FILES)
+def test_special_tokens_in_texts(name, pattern):
+    texts = ["ab <|endoftext|> cd", "ab  <|endoftext|>\n\ncd.", "<|endoftext|>", "x<|startoftext|>y<|endoftext|>.", "One <|ENDOFTEXT|> two.", "<|endoftext|", "A plain text. Twice, a plain text."]
+    same_as_library(name, pattern, texts)
