@@ -47,9 +47,14 @@ def token_set_ratio(a: str, b: str) -> float:
 
 
 def can_reach(a: Column, b: Column, threshold: float) -> Column:
-    """A bound that no pair over the threshold fails: a shared token, or lengths that are close enough."""
-    slack = 1 - threshold / 100.0
-    return F.arrays_overlap(F.split(a, " "), F.split(b, " ")) | (F.abs(F.length(a) - F.length(b)) <= slack * (F.length(a) + F.length(b)))
+    """A bound that no pair over the threshold fails: a shared token, or distinct tokens that together are close enough in length.
+
+    Without a shared token the score is at most what it would be if only the lengths differed; it is worked out in the same way.
+    """
+    x, y = (F.array_distinct(F.split(c, " ")) for c in (a, b))
+    nx, ny = (F.length(F.array_join(t, " ")) for t in (x, y))
+    best = F.lit(100.0) - F.lit(100.0) * F.abs(nx - ny) / F.greatest(nx + ny, F.lit(1))
+    return F.arrays_overlap(x, y) | (best >= threshold)
 
 
 def score_pairs(pairs: DataFrame, scorer: str = "token_set") -> DataFrame:
