@@ -30,7 +30,7 @@ class ChunkTable:
     """Text -> the ids of the text as little-endian unsigned 32-bit numbers, joined.
 
     ``encode`` gives the ids of each of a list of chunks. ``pattern`` cuts those texts to pieces that can't
-    be cut at each blank; without it, white space has no ids and cutting at blanks is always right.
+    be cut at each blank; without it, texts are put into NFC and lower case, white space has no ids, and cutting at blanks is always right.
     ``limit`` bounds the chunks remembered in each of two generations: when the young one is full it becomes the old one,
     so that chunks still in use are found there again. Chunks over ``longest`` characters are not kept.
     Texts that hold one of ``special`` are not cut.
@@ -38,6 +38,7 @@ class ChunkTable:
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], pattern: str | None, limit: int = 350_000, longest: int = 40, special: tuple[str, ...] = ()):
         self.encode, self.limit, self.longest, self.special = encode, limit, longest, special
+        self.special_low = tuple(s.lower() for s in special)
         self.pattern = regex.compile(pattern) if pattern else None
         self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
@@ -46,11 +47,22 @@ class ChunkTable:
         if any(s in text for s in self.special):
             return [text]
         if self.pattern is None:
-            return text.replace("\n", " ").split(" ")
+            return self._lowered(text)
         if _lone_blanks(text):
             return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
         return self.pattern.findall(text)
 
+    def _lowered(self, text: str) -> list[str]:
+        """The chunks between blanks and line feeds, with A-Z lowered in those that are ASCII: there, the file's NFC step does
+        nothing. It joins no character to a blank or line feed before it, so that it does the same to a chunk as to the text.
+        A text in which lowering would make the content of a special token stays as it is."""
+        low = text.lower()
+        if any(s in low for s in self.special_low):
+            return text.replace("\n", " ").split(" ")
+        if text.isascii():
+            return low.replace("\n", " ").split(" ")
+        return [c.lower() if c.isascii() else c for c in text.replace("\n", " ").split(" ")]
+
     def many(self, texts: list[str], each: int = 1_000_000) -> list[bytes]:
         """The ids of each text; texts are taken in groups of about ``each`` characters to bound memory."""
         out: list[bytes] = []
@@ -69,7 +81,8 @@ class ChunkTable:
             self.old, self.young = self.young, {"": b""}
         cut = [self.cut(t) for t in texts]
         young, old = self.young, self.old
-        # A full stop or comma behind a letter or digit is a piece of its own: only the rest has to be known.
+        # A full stop or comma behind a letter or digit is a piece of its own: only the rest has to be known. Where NFC or
+        # lower case may leave a mark at the end of a letter, this holds for ASCII only.
         ends: list[str] = []
         new: dict[str, None] = {}
         for c in set(chain.from_iterable(cut)):
@@ -78,7 +91,7 @@ class ChunkTable:
             if (before := old.get(c)) is not None:
                 young[c] = before
                 continue
-            if c[-1] in ".," and c[-2:-1].isalnum():
+            if c[-1] in ".," and c[-2:-1].isalnum() and (self.pattern is not None or c[-2].isascii()):
                 ends.append(c)
                 new[c[-1]] = None
                 c = c[:-1]
@@ -124,13 +137,5 @@ def decoded(texts: list[bytes]) -> list[str]:
 
 
 def library_ids(path: str, pattern: str | None, texts: list[bytes]) -> list[bytes]:
-    """The 32-bit ids of whole texts by a tokenizers-library file; no special tokens are added, those in a text have their ids.
-
-    Without a pattern the file lower-cases texts anyway; A-Z are lowered before, so that chunks repeat more. This must
-    not make the content of a special token.
-    """
-    table = library_table(path, pattern)
-    if not pattern:
-        special = [s.encode() for s in table.special]
-        texts = [t if any(s in low for s in special) else low for t, low in ((t, t.lower()) for t in texts)]
-    return table.many(decoded(texts))
+    """The 32-bit ids of whole texts by a tokenizers-library file; no special tokens are added, those in a text have their ids."""
+    return library_table(path, pattern).many(decoded(texts))

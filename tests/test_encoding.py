@@ -19,3 +19,9 @@ def same_as_library(name, pattern, texts):
 def test_special_tokens_in_texts(name, pattern):
     texts = ["ab <|endoftext|> cd", "ab  <|endoftext|>\n\ncd.", "<|endoftext|>", "x<|startoftext|>y<|endoftext|>.", "One <|ENDOFTEXT|> two.", "<|endoftext|", "A plain text. Twice, a plain text."]
     same_as_library(name, pattern, texts)
+
+
+@pytest.mark.parametrize("name, pattern", FILES)
+def test_accents_in_two_characters(name, pattern):
+    texts = ["J\u030c", "T\u0308x Plain", "H\u0331.", "\u0130. \u0130, b", "A \u0958.", "A \ufb2a.", "E\u0301COLE \u00c9cole, Caf\u00c9. CAFE", "A \u0301B\n\u0301C", "J\u030c <|ENDOFTEXT|> J\u030c", "J\u030c <|endoftext|> T\u0308x"]
+    same_as_library(name, pattern, texts)
