@@ -26,7 +26,7 @@ STAGES = [
     ("best_fit_packing", stages.best_fit_packing),
 ]
 
-#: Models, tokenizers and packing are beyond SQL; the tests compare with a brute-force version.
+#: Models, tokenizers and packing are beyond SQL; no test compares with a brute-force version yet.
 ORACLE_SQL = None
 
 
