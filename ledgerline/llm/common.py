@@ -21,9 +21,23 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
 
-    Where the session names none (tests on one machine), a folder under the warehouse is used.
+    Where a session on one machine (master ``local``) names none, as in tests, a folder under the warehouse is used; any
+    other session has to name one.
     """
-    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/ledgerline-scratch"
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if master.split("[")[0] != "local":
+        raise ValueError(f"spark.checkpoint.dir has to name a shared folder when the master is {master}")
+    return f"{spark.conf.get('spark.sql.warehouse.dir')}/ledgerline-scratch"
+
+
+def stored(df: DataFrame, name: str) -> str:
+    """Write ``df`` once as Parquet in the shared folder; gives the path."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -31,10 +45,38 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
     This cuts the lineage: a lost executor costs only a reread, not the work before.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(stored(df, name))
+
+
+def released(spark: SparkSession, path: str) -> None:
+    """Delete a table that ``stored`` has written, once nothing reads it any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: A key is hot from so many rows on, and from one row in so many; so there are never more hot keys than the second number.
+HOT_ROWS, HOT_SHARE, HOT_PARTS = 1_000, 1_000, 32
+
+
+def hot_keys(rows: DataFrame, key: str) -> list:
+    """The values of ``key`` that hold more than 1 / HOT_SHARE of the rows, hence HOT_SHARE of them at most."""
+    least = max(HOT_ROWS, rows.count() / HOT_SHARE)
+    return [r[0] for r in rows.groupBy(key).count().where(F.col("count") > least).select(key).collect()]
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, by: str, hot: list | None = None) -> DataFrame:
+    """Inner join of ``left``, where a key may be hot, with ``right``, where keys (nearly) never repeat.
+
+    The rows of hot keys are spread over HOT_PARTS places by a hash of ``by``; their few rows on the right are repeated.
+    """
+    hot = hot_keys(left, key) if hot is None else hot
+    if not hot:
+        return left.join(right, key)
+    is_hot = F.col(key).isin(hot)
+    left = left.withColumn("_part", F.when(is_hot, F.pmod(F.xxhash64(by), F.lit(HOT_PARTS))).otherwise(0).cast("int"))
+    every = F.array(*(F.lit(k) for k in range(HOT_PARTS)))
+    right = right.withColumn("_part", F.explode(F.when(is_hot, every).otherwise(F.array(F.lit(0)))))
+    return left.join(right, [key, "_part"]).drop("_part")
 
 
 def text_batches(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:

@@ -1,16 +1,20 @@
 """Near-duplicate groups by MinHash signatures in a multi-index Hamming join, confirmed on full sets.
 
-A document's set holds the hashes of its distinct runs of five words. 48 minimum hashes of 16 bits make its
-signature. The signature is split into 12 chunks of four: two signatures that differ in at most 23 places
+A document's set holds the hashes of its distinct runs of five words. 60 minimum hashes of 16 bits make its
+signature. The signature is split into 15 chunks of four: two signatures that differ in at most 29 places
 have, by pigeonhole, a chunk with at most one error, so each chunk is entered under its four keys
-with one place left out, and all such pairs meet under a key. Documents at the similarity of 0.75 meet
-with all but 1e-7 of chance, and differ in more than 30 places with a chance of about 1e-8.
+with one place left out, and all such pairs meet under a key. Two documents at the similarity of 0.75 differ in
+more than 29 places with a chance of 3e-5, closer ones with less.
 
 1. Documents with equal sets are one class, and only its smallest doc_id goes on.
-2. Under each key the signatures are compared in blocks; a spanning forest of the pairs within 30
-   places goes out, never all pairs. Their components hold every link.
-3. The full sets of a component meet in one task (in pairs of blocks where it is large), are
-   compared pair by pair, and again a spanning forest of the confirmed links goes out.
+2. Under each key every signature is compared with that of the smallest id, once for all keys that give the same
+   pair. Only the keys whose members are still in several components are compared further, in blocks and only across
+   components. The components of all pairs within 29 places hold every link.
+3. In the same way on full sets: every document is compared with the closest one of step 2; then, where a
+   component is still in several parts, in blocks across the parts.
+
+A group that hangs together by its first comparisons, as large groups of copies do, costs a few rows for each member; never
+do all pairs of a group go out. In the blocks, the largest part of a group meets the others only, not itself.
 
 Rows without words, with null text or null doc_id are linked with nothing. Rows with the same doc_id count as
 one document in the links. An empty table gives no rows.
@@ -27,14 +31,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import id_and_text, map_texts, text_batches, written
-from .graph import components
+from .common import id_and_text, join_hot, map_texts, text_batches, written
+from .graph import components, contracted, merged
 from .hashing import grams, hash_words
 
 WORDS, PERCENT = 5, 75
-PLACES, CHUNK, NEAR = 48, 4, 30
-#: Members of a block at most; groups up to this size are compared in one task.
-BLOCK = 1_024
+PLACES, CHUNK = 60, 4
+#: The farthest apart for which a chunk with at most one error is sure.
+NEAR = 2 * (PLACES // CHUNK) - 1
+#: About so many members, and so many hashes of their sets, are in one block; smaller groups are one block.
+BLOCK, BLOCK_HASHES = 1_024, 1 << 20
 
 _rng = np.random.default_rng(20_240_229)
 _FACTORS = _rng.integers(0, 1 << 63, PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -88,15 +94,27 @@ def _keys(reps: DataFrame) -> DataFrame:
     return reps.select("id", "signature").mapInArrow(run, "k long, id long")
 
 
-def _in_blocks(rows: DataFrame, group: str, size: str) -> DataFrame:
-    """Deal the rows of each group to its pairs of blocks: columns first and second name the pair.
+def _mixed(rows: DataFrame, group: str) -> DataFrame:
+    """Of (group, id, label, weight): the rows of groups with several labels, dealt to the cells of blocks that have to meet.
 
-    A group of up to BLOCK rows is one block, paired with itself.
+    Adds first and second, which name a cell. Rows of a group's most frequent label meet all others but not each other, so the
+    rows sent are in proportion to the group where the other labels have few. Small groups have one cell.
     """
-    blocks = F.ceil(F.col(size) / BLOCK).cast("int")
-    rows = rows.withColumn("n_blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    return rows.withColumn("first", F.least("block", "other")).withColumn("second", F.greatest("block", "other")).drop("n_blocks", "other", "block", size)
+    parts = rows.groupBy(group, "label").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
+    sizes = parts.groupBy(group).agg(F.max(F.struct("n", "w", "label")).alias("top"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.count("*").alias("labels"))
+    blocks = lambda n, w: F.ceil(F.greatest(n / BLOCK, w / BLOCK_HASHES)).cast("int")
+    one = blocks(F.col("n"), F.col("w")) <= 1
+    sizes = sizes.where("labels > 1").select(
+        group,
+        F.col("top.label").alias("top"),
+        F.when(one, 0).otherwise(blocks(F.col("top.n"), F.col("top.w"))).alias("n_top"),
+        F.when(one, 1).otherwise(blocks(F.col("n") - F.col("top.n"), F.col("w") - F.col("top.w"))).alias("n_rest"),
+    )
+    j = rows.join(sizes, group).withColumn("is_top", (F.col("label") == F.col("top")) & (F.col("n_top") > 0))
+    j = j.withColumn("block", F.pmod(F.xxhash64("id"), F.when(F.col("is_top"), F.col("n_top")).otherwise(F.col("n_rest"))).cast("int") + F.when(F.col("is_top"), F.col("n_rest")).otherwise(0))
+    last = F.when(F.col("is_top"), F.col("n_rest")).otherwise(F.col("n_rest") + F.col("n_top")) - 1
+    j = j.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    return j.select(group, "id", "label", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"))
 
 
 def _by_group(rows: DataFrame, keys: list[str], schema: str, work: Callable[[pa.Table, np.ndarray], list[np.ndarray]]) -> DataFrame:
@@ -124,8 +142,9 @@ def _by_group(rows: DataFrame, keys: list[str], schema: str, work: Callable[[pa.
                 yield pa.RecordBatch.from_arrays([pa.array(m) for m in made], names=names)
 
         for batch in batches:
-            for k in range(0, batch.num_rows, 2_000):
-                held.append(batch.slice(k, 2_000))
+            step = max(1, min(2_000, batch.num_rows * (4 << 20) // max(1, batch.nbytes)))
+            for k in range(0, batch.num_rows, step):
+                held.append(batch.slice(k, step))
                 yield from give(False)
         if held:
             yield from give(True)
@@ -133,20 +152,27 @@ def _by_group(rows: DataFrame, keys: list[str], schema: str, work: Callable[[pa.
     return rows.repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(run, schema)
 
 
-def _forest(n: int, linked: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
-    """A spanning forest of a graph of n nodes; ``linked(i, others)`` gives those of ``others`` with an edge to i.
+def _forest(labels: np.ndarray, linked: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """A spanning forest, over the nodes' labels, of the links between nodes; ``linked(i, others)`` gives those of ``others``
+    with a link to i. Nodes of one label hang together already.
 
-    Grown from node to node, so that each node asks only about those not reached yet.
+    Grown from node to node, from the rarest label on, so that each node asks only about those not reached yet.
     """
-    out, free = [], np.arange(n)
+    _, label, size = np.unique(labels, return_inverse=True, return_counts=True)
+    out, free = [], np.argsort(size[label] * (len(size) + 1) + label, kind="stable")
     while len(free):
-        todo, free = [int(free[0])], free[1:]
+        with_it = label[free] == label[free[0]]
+        todo, free = free[with_it].tolist(), free[~with_it]
         while todo and len(free):
             i = todo.pop()
-            hit = linked(i, free)
-            out += [(i, int(j)) for j in free[hit]]
-            todo += free[hit].tolist()
-            free = free[~hit]
+            hit = free[linked(i, free)]
+            if not len(hit):
+                continue
+            reached, at = np.unique(label[hit], return_index=True)
+            out += [(i, int(j)) for j in hit[at]]
+            joins = np.isin(label[free], reached)
+            todo += free[joins].tolist()
+            free = free[~joins]
     return out
 
 
@@ -154,31 +180,60 @@ def _sizes_allow(a: np.ndarray | int, b: np.ndarray) -> np.ndarray:
     return 100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b)
 
 
+def _signatures(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u2").reshape(-1, PLACES)
+
+
+def _close_pairs(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
+    """(a, b, apart) of the pairs (a, b) whose signatures differ in at most NEAR places. An a may have any number of b."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            apart = (_signatures(batch.column("sa")) != _signatures(batch.column("sb"))).sum(1)
+            ok = pa.array((apart <= NEAR) & _sizes_allow(batch.column("na").to_numpy(), batch.column("nb").to_numpy()))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(apart)], names=["a", "b", "apart"]).filter(ok)
+
+    left, right = (signatures.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("signature").alias(f"s{x}")) for x in "ab")
+    return join_hot(pairs.join(right, "b"), left, "a", "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long, apart long")
+
+
 def _close_signatures(t: pa.Table, starts: np.ndarray) -> list[np.ndarray]:
-    ids, n = t.column("id").to_numpy(), t.column("n").to_numpy()
+    """Pairs of members of each group with other labels, within NEAR places, that join their labels."""
+    ids, label, n = (t.column(c).to_numpy() for c in ("id", "label", "n"))
     sig = np.frombuffer(b"".join(t.column("signature").to_pylist()), dtype="<u2").reshape(-1, PLACES)
-    sizes = np.diff(starts)
-    lead = np.repeat(starts[:-1], sizes)
-    near = ((sig != sig[lead]).sum(1) <= NEAR) & _sizes_allow(n, n[lead])
-    all_near = np.logical_and.reduceat(near, starts[:-1])
-    star = np.repeat(all_near, sizes) & (lead != np.arange(len(ids)))
-    a, b = [ids[lead[star]]], [ids[star]]
-    for g in np.flatnonzero(~all_near & (sizes > 2)):
+    out = []
+    for g in range(len(starts) - 1):
         s = slice(starts[g], starts[g + 1])
         gs, gn, gi = sig[s], n[s], ids[s]
-        for i, j in _forest(len(gi), lambda i, o: ((gs[o] != gs[i]).sum(1) <= NEAR) & _sizes_allow(gn[i], gn[o])):
-            a.append(gi[[i]])
-            b.append(gi[[j]])
-    return [np.concatenate(a), np.concatenate(b)]
+        out += [(gi[i], gi[j]) for i, j in _forest(label[s], lambda i, o: ((gs[o] != gs[i]).sum(1) <= NEAR) & _sizes_allow(gn[i], gn[o]))]
+    return list(np.array(out, dtype=np.int64).reshape(-1, 2).T)
+
+
+def _linked(a: np.ndarray, b: np.ndarray) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+
+
+def _linked_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that are links: 100 * |intersection| >= 75 * |union|."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = ((np.frombuffer(v.as_buffer(), dtype="<u8") for v in batch.column(c)) for c in ("ha", "hb"))
+            ok = pa.array([_linked(p, q) for p, q in zip(x, y)], type=pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(ok)
+
+    left, right = (sets.select(F.col("id").alias(x), F.col("hashes").alias(f"h{x}")) for x in "ab")
+    return join_hot(pairs.join(right, "b"), left, "a", "b").select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
 
 
 def _confirmed(t: pa.Table, starts: np.ndarray) -> list[np.ndarray]:
-    """A spanning forest of the links 100 * |intersection| >= 75 * |union| inside each group."""
-    ids = t.column("id").to_numpy()
-    sets = [np.frombuffer(b, dtype="<u8") for b in t.column("hashes").to_pylist()]
-    a, b = [], []
+    """Links between members of each group with other labels, that join their labels."""
+    ids, label = t.column("id").to_numpy(), t.column("label").to_numpy()
+    sets = [np.frombuffer(v.as_buffer(), dtype="<u8") for c in t.column("hashes").chunks for v in c]
+    out = []
     for g in range(len(starts) - 1):
-        group = list(range(starts[g], starts[g + 1]))
+        group = range(starts[g], starts[g + 1])
         if len(group) < 2:
             continue
         n = np.array([len(sets[i]) for i in group])
@@ -189,7 +244,7 @@ def _confirmed(t: pa.Table, starts: np.ndarray) -> list[np.ndarray]:
         edges = np.concatenate([[0], np.cumsum(n)])
         parts = [name[x[shared[x]]] for x in (number[edges[k] : edges[k + 1]] for k in range(len(group)))]
         owner = np.repeat(np.arange(len(group)), [len(p) for p in parts])
-        flat = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
+        flat = np.concatenate(parts)
         order = np.argsort(flat, kind="stable")
         owners, begins = owner[order], np.searchsorted(flat[order], np.arange(int(shared.sum()) + 1))
 
@@ -203,10 +258,55 @@ def _confirmed(t: pa.Table, starts: np.ndarray) -> list[np.ndarray]:
             both = np.bincount(owners[at], minlength=len(group))[others]
             return 100 * both >= PERCENT * (n[i] + n[others] - both)
 
-        for i, j in _forest(len(group), linked):
-            a.append(ids[group[i]])
-            b.append(ids[group[j]])
-    return [np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)]
+        out += [(ids[group[i]], ids[group[j]]) for i, j in _forest(label[starts[g] : starts[g + 1]], linked)]
+    return list(np.array(out, dtype=np.int64).reshape(-1, 2).T)
+
+
+def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, hashes): the sets of the documents ``ids``."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 100):
+                part = batch.slice(k, 100)
+                hashes = pa.array([shingles(t).tobytes() for t in text_batches(part)], type=pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("id"), hashes], names=["id", "hashes"])
+
+    return docs.withColumnRenamed("doc_id", "id").join(ids.select("id"), "id", "left_semi").mapInArrow(work, "id long, hashes binary").where("octet_length(hashes) > 0")
+
+
+def _candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Components (id, component) that hold every pair of signatures within NEAR places, and for each b of them the closest
+    a it was compared with first: (a, b)."""
+    keys = _keys(reps)
+    leads = keys.groupBy("k").agg(F.min("id").alias("lead"), F.count("*").alias("size")).where("size > 1").drop("size")
+    met = written(keys.join(leads, "k"), "shared-keys")
+    signatures = reps.select("id", "n", "signature")
+    pairs = met.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+    close = written(_close_pairs(written(pairs, "pairs"), signatures), "close")
+    labels = components(contracted(close))
+
+    labelled = met.select("k", "id").join(labels, "id", "left").select("k", "id", F.coalesce("component", "id").alias("label"), F.lit(1).alias("weight"))
+    cells = _mixed(labelled, "k").join(signatures, "id")
+    more = written(_by_group(cells, ["k", "first", "second"], "a long, b long", _close_signatures), "more-close")
+    everyone = labels.unionByName(more.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(labels, "id", "left_anti").select("id", F.col("id").alias("component")))
+    joins = more.join(everyone.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(everyone.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b")
+    wide = written(merged(everyone, joins.select(F.col("ca").alias("a"), F.col("cb").alias("b"))), "candidate-groups")
+    closest = close.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")).select("a", "b")
+    return wide, written(closest, "closest")
+
+
+def _links(docs: DataFrame, reps: DataFrame, wide: DataFrame, closest: DataFrame) -> DataFrame:
+    """Components (id, component) of the links on full sets."""
+    sets = written(_sets(docs, wide), "sets")
+    labels = written(components(_linked_pairs(closest, sets)), "linked")
+    sizes = reps.groupBy("id").agg(F.max("n").alias("weight"))
+    labelled = wide.join(labels.withColumnRenamed("component", "label"), "id", "left").join(sizes, "id").select("component", "id", F.coalesce("label", "id").alias("label"), "weight")
+    cells = _mixed(labelled, "component").join(sets, "id")
+    more = written(_by_group(cells, ["component", "first", "second"], "a long, b long", _confirmed), "more-links")
+    parts = labelled.select("id", F.col("label").alias("component"))
+    joins = more.join(parts.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(parts.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b")
+    return merged(parts, joins.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -217,28 +317,8 @@ def groups(docs: DataFrame) -> DataFrame:
     reps = named.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
     reps = written(reps, "classes")
 
-    keys = _keys(reps)
-    crowded = keys.groupBy("k").agg(F.count("*").alias("size")).where("size > 1")
-    # a doc_id may stand for several sets where ids repeat: the join by id then brings all of them
-    met = keys.join(crowded, "k").join(reps.select("id", "n", "signature"), "id")
-    close = _by_group(_in_blocks(met, "k", "size"), ["k", "first", "second"], "a long, b long", _close_signatures)
-    wide = written(components(close.distinct()), "candidate-groups")
-
-    sizes = wide.groupBy("component").agg(F.count("*").alias("size"))
-    members = _in_blocks(wide.join(sizes, "component"), "component", "size")
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 200):
-                part = batch.slice(k, 200)
-                hashes = pa.array([shingles(t).tobytes() for t in text_batches(part)], type=pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("id"), hashes], names=["id", "hashes"])
-
-    wanted = docs.withColumnRenamed("doc_id", "id").join(wide.select("id").join(reps.select("id"), "id", "left_semi"), "id", "left_semi")
-    sets = wanted.mapInArrow(work, "id long, hashes binary")
-    links = _by_group(members.join(sets, "id").where("octet_length(hashes) > 0"), ["component", "first", "second"], "a long, b long", _confirmed)
-    linked = components(links.distinct()).withColumnRenamed("component", "component_id")
-
+    # a doc_id may stand for several sets where ids repeat: the joins by id then bring all of them
+    linked = _links(docs, reps, *_candidates(reps)).withColumnRenamed("component", "component_id")
     classes = reps.join(linked, "id", "left").select("key", F.coalesce("component_id", "id").alias("component_id"))
     out = sketches.join(classes, "key", "left")
     component = F.when(F.col("key").isNull() | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
