@@ -3,6 +3,8 @@ unless a docstring says otherwise."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,10 +32,27 @@ OCR_REPAIRS = [
 # Names that are never items by themselves.
 GARBAGE_NAMES = ["i", "j", "l", "s", "o", "x", "r", "n", "oty", "oiy", "otr", "prlce", "qty", "price", "total", "subtotal", "no", "sr", "sl", "sno", "s.no"]
 
+# How names are trimmed, in order.
+NAME_STEPS = [
+    (r"(?i)^(?:invoice|invoice no|invoice number|purchase order|po|po no|po number)\b[\s:#-]*[a-z0-9-]*\s*", ""),
+    (r"^\d+\s+", ""),
+    (r"^[\W_]+", ""),
+    (r"[\W_]+$", ""),
+    (r"(?i)\b(?:item|description|desc|particulars)\b\s*[:\-]?\s*", ""),
+    (r"^\d+\s*[.)\-]\s*", ""),
+    (r"[^\w\s\-./&]", " "),
+    (r"\s+", " "),
+]
+
 # Words of summary lines.
 SUMMARY_WORDS = ["cgst", "sgst", "igst", "utgst", "gst", "tax", "vat", "subtotal", "total", "rounding", "cess", "hsn", "sac", "taxable", "discount", "handling", "shipping", "freight"]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _u(pattern: str) -> str:
     """Word characters, borders and white space by Unicode, as the source texts are in many languages."""
     return f"(?U){pattern}"
@@ -73,10 +92,13 @@ def parse_number(text: Column) -> Column:
 
 def normalize_currency(col: Column) -> Column:
     """One amount. Currency marks go, misread digits are repaired, words give null."""
-    t = F.regexp_replace(normalize_ocr_text(col), r"(?i)(?U)\b(?:rs|inr)\.?\s*", "")
-    usable = t.rlike(r"(?U)[\d.,\-%$]") & ~t.rlike(r"(?U)[\p{L}&&[^oilszgbOILSZGB]]")
-    d = F.regexp_replace(clean_numeric_token(t), r"(\d)\s*,\s*(\d)", "$1$2")
-    return F.when(usable, parse_number(F.regexp_replace(d, r"[^0-9.\-]", "")))
+
+    def amount(t: Column) -> Column:
+        usable = t.rlike(r"(?U)[\d.,\-%$]") & ~t.rlike(r"(?U)[\p{L}&&[^oilszgbOILSZGB]]")
+        d = F.regexp_replace(F.translate(t, "oOiIlL|!sSzZgGbB", "0011111155229988"), r"(\d)\s*,\s*(\d)", "$1$2")
+        return F.when(usable, parse_number(F.regexp_replace(d, r"[^0-9.\-]", "")))
+
+    return let(strip(F.regexp_replace(normalize_ocr_text(col), r"(?i)(?U)\b(?:rs|inr)\.?\s*", "")), amount)
 
 
 def normalize_quantity(col: Column) -> Column:
@@ -85,26 +107,16 @@ def normalize_quantity(col: Column) -> Column:
 
 def normalize_percentage(col: Column) -> Column:
     """An amount with or without a percent sign; null if negative."""
-    v = normalize_currency(F.replace(normalize_ocr_text(col), F.lit("%"), F.lit("")))
-    return F.when(col.isNotNull() & (v >= 0), v)
+    return let(normalize_currency(F.replace(normalize_ocr_text(col), F.lit("%"), F.lit(""))), lambda v: F.when(v >= 0, v))
 
 
-def item_name_without_labels(col: Column) -> Column:
+def trim_name(col: Column) -> Column:
     """Item name in lower case, without document numbers, serial numbers, field words and edge punctuation.
 
-    Tokens that look like field labels have to be gone already (see ``strip_label_tokens``).
+    Words that look like field labels have to be gone already (see ``names``).
     """
     t = squeeze(F.lower(col))
-    for pattern, to in (
-        (r"(?i)^(?:invoice|invoice no|invoice number|purchase order|po|po no|po number)\b[\s:#-]*[a-z0-9-]*\s*", ""),
-        (r"^\d+\s+", ""),
-        (r"^[\W_]+", ""),
-        (r"[\W_]+$", ""),
-        (r"(?i)\b(?:item|description|desc|particulars)\b\s*[:\-]?\s*", ""),
-        (r"^\d+\s*[.)\-]\s*", ""),
-        (r"[^\w\s\-./&]", " "),
-        (r"\s+", " "),
-    ):
+    for pattern, to in NAME_STEPS:
         t = F.regexp_replace(t, _u(pattern), to)
     return t
 

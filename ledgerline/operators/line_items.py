@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.names import line_parts, normalize_item_name
-from ..functions.scalars import clean_ocr_text, is_coordinate_payload, is_tax_line, normalize_currency, normalize_percentage, reconcile_math, strip
+from ..functions.names import without_labels
+from ..functions.scalars import clean_ocr_text, is_coordinate_payload, is_tax_line, let, normalize_currency, normalize_ocr_text, normalize_percentage, reconcile_math, squeeze, strip, trim_name
 
 QUANTITY_MAX = 1000.0
 
@@ -27,6 +27,8 @@ FIELDS = {
     "total": r"(?i)(?U)\b(?:total|line\s*total|amount)\s*[:=\-]?\s*((?:rs\.?\s*)?[0-9][0-9, .]*)",
 }
 DOCUMENT_TOTALS = r"(?i)(?U)\b(?:grand total|total amount|invoice total|net amount|subtotal)\b\s*[:=\-]?\s*(?:rs\.?\s*)?[0-9][0-9, .]*"
+NUMBER = r"(?i)(?U)(?<![A-Za-z])(?:rs\.?\s*)?[0-9oilszgb]+(?:[.,][0-9oilszgb]+)?\s*%?"
+AMOUNT_WORDS = r"(?i)(?U)\b(?:qty|quantity|qnty|price|rate|amount)\b\s*[:=\-]?\s*"
 HEADER_WORDS = ["item", "description", "particulars", "qty", "quantity", "price", "rate", "total", "amount", "hsn", "sac"]
 
 ITEM = "struct<item:string,qty:double,price:double,tax:double,total:double,swapped:boolean,reconstructed:boolean,confidence:double,parse_strategy:string>"
@@ -38,7 +40,7 @@ def candidate_texts(text: Column) -> Column:
 
     def parts(line: Column) -> Column:
         some = F.filter(F.transform(F.split(line, SPLITTERS), strip), lambda p: p.rlike("[A-Za-z0-9]"))
-        return F.when(F.size(some) > 1, some).otherwise(F.array(line))
+        return F.when(line.rlike(SPLITTERS), let(some, lambda x: F.when(F.size(x) > 1, x).otherwise(F.array(line)))).otherwise(F.array(line))
 
     return F.flatten(F.transform(F.transform(F.split(t, "\n"), strip), parts))
 
@@ -79,12 +81,11 @@ def is_candidate(line: Column) -> Column:
 def header_map(text: Column) -> Column:
     """struct<item, qty, price, total, hsn, taxable, gst> of column numbers from 0, from the first table heading; null without one."""
     words = F.array(*(F.lit(w) for w in HEADER_WORDS))
+    fields = ("item", "qty", "price", "total", "hsn", "taxable", "gst")
 
     def cells(line: Column) -> Column:
         return F.transform(F.split(line, r"\|"), lambda p: F.lower(strip(p)))
 
-    heads = F.filter(F.split(text, "\n"), lambda x: x.contains("|") & F.arrays_overlap(cells(x), words))
-
     def field(p: Column) -> Column:
         has = lambda *ws: p.rlike("|".join(ws))
         return (
@@ -98,148 +99,212 @@ def header_map(text: Column) -> Column:
             .when(has("gst"), "gst")
         )
 
-    named = F.transform(cells(F.get(heads, F.lit(0))), lambda p, i: F.struct(field(p).alias("f"), i.alias("i")))
-    last = lambda f: F.array_max(F.transform(F.filter(named, lambda x: x["f"] == f), lambda x: x["i"]))
-    fields = ("item", "qty", "price", "total", "hsn", "taxable", "gst")
-    return F.when(F.size(heads) > 0, F.named_struct(*(x for f in fields for x in (F.lit(f), last(f)))))
+    def places(named: Column) -> Column:
+        last = lambda f: F.array_max(F.transform(named, lambda x, i: F.when(x == f, i)))
+        return F.named_struct(*(x for f in fields for x in (F.lit(f), last(f))))
+
+    heads = F.filter(F.transform(F.filter(F.split(text, "\n"), lambda x: x.contains("|")), cells), lambda c: F.arrays_overlap(c, words))
+    return let(F.transform(F.get(heads, F.lit(0)), field), lambda named: F.when(named.isNotNull(), places(named)))
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, raw, cleaned, header) of the candidate lines, and ``confidence`` if the documents have it."""
     extra = ["confidence"] if "confidence" in docs.columns else []
     usable = docs.where(F.col("text").isNotNull() & (strip(F.col("text")) != "") & ~is_coordinate_payload(F.col("text")))
-    # lines are chosen inside the array: a filter behind the explode would repeat the cleaning for each of its conditions
+    # lines are chosen inside the array, and no filter is inferred from an outer explode: the cleaning is done once
     lines = F.transform(merge_lines(candidate_texts(F.col("text"))), lambda raw, i: F.named_struct(F.lit("line_no"), i, F.lit("raw"), raw, F.lit("cleaned"), clean_ocr_text(raw)))
     chosen = F.filter(lines, lambda x: is_candidate(x["cleaned"]))
-    return usable.select("doc_id", *extra, header_map(F.col("text")).alias("header"), F.explode(chosen).alias("x")).select("doc_id", *extra, "header", "x.*")
+    out = usable.select("doc_id", *extra, header_map(F.col("text")).alias("header"), F.explode_outer(chosen).alias("x"))
+    return out.where("x is not null").select("doc_id", *extra, "header", "x.*")
+
+
+def _mark(pieces: Column, gaps: Column, raw: Column, i: Column) -> Column:
+    """What is at mark ``i``. A piece is a gap and the mark behind it, so 16 characters reach over 16 pieces at most."""
+    near = lambda first, n: F.array_join(F.slice(pieces, first, n), "")
+    left = F.lower(F.right(F.concat(near(F.greatest(i - 15, F.lit(1)), F.least(i, F.lit(16))), F.get(gaps, i)), F.lit(16)))
+    right = F.lower(F.substring(near(i + 2, F.lit(16)), 1, 16))
+    percent = lambda x: raw.contains("%") | F.concat(x, F.lower(strip(raw)), right).rlike("tax|gst|vat")
+    value = F.when(raw.rlike("[0-9.,%]"), normalize_currency(raw))
+    return let(left, lambda x: F.struct(i.alias("i"), raw.alias("raw"), value.alias("value"), x.alias("left"), percent(x).alias("is_percent")))
+
+
+def line_marks(line: Column) -> Column:
+    """struct<gaps, marks, pieces>: the line cut at all that may be a number; a gap stands before each mark and after the last one.
+
+    A mark has its text, its value (null if it is no amount), up to 16 characters to its left, and whether it is a percentage.
+    """
+    cut = F.struct(F.split(line, NUMBER, -1).alias("gaps"), F.regexp_extract_all(line, F.lit(NUMBER), F.lit(0)).alias("texts"))
+
+    def marks(c: Column) -> Column:
+        gaps, texts = c["gaps"], c["texts"]
+        pieces = F.zip_with(gaps, texts, lambda g, m: F.concat(g, F.coalesce(m, F.lit(""))))
+        return let(pieces, lambda p: F.struct(gaps.alias("gaps"), F.transform(texts, lambda m, i: _mark(p, gaps, m, i)).alias("marks"), p.alias("pieces")))
+
+    return let(cut, marks)
+
+
+def numeric_tokens(line: Column) -> Column:
+    """The marks of a line that are amounts."""
+    return F.filter(line_marks(line)["marks"], lambda t: t["value"].isNotNull())
 
 
-def assign_roles(tokens: Column, line: Column) -> Column:
-    """struct<qty, price, tax, total> from the numeric tokens of a line: labels first, then places."""
+def _whole(v: Column) -> Column:
+    """A number that may count rows."""
+    return F.coalesce((v == F.rint(v)) & (v > 0) & (v <= 200), F.lit(False))
+
+
+def assign_roles(tokens: Column, head: Column) -> Column:
+    """struct<qty, price, tax, total> from the numeric tokens of a line and what stands before its first mark: labels first, then places."""
 
     def first(cond) -> Column:
         return F.get(F.filter(tokens, cond), F.lit(0))["value"]
 
-    def labelled(*words: str):
-        return lambda t: t["left"].rlike("|".join(words))
+    def labelled(words: str) -> Column:
+        return first(lambda t: t["left"].rlike(words))
 
     lead = F.get(tokens, F.lit(0))
-    serial = (F.size(tokens) >= 3) & ~F.substring(line, F.lit(1), lead["start"]).rlike("[A-Za-z0-9]") & (lead["value"] == F.rint(lead["value"])) & (lead["value"] > 0) & (lead["value"] <= 200)
-    rest = F.filter(tokens, lambda t, i: ~t["is_percent"] & ~(F.coalesce(serial, F.lit(False)) & (i == 0)))
-    trailing = F.transform(rest, lambda t: t["value"])
-    n = F.size(trailing)
-    but_last = F.when(n > 0, F.slice(trailing, F.lit(1), F.greatest(n - 1, F.lit(0)))).otherwise(trailing)
+    serial = (F.size(tokens) >= 3) & (lead["i"] == 0) & ~head.rlike("[A-Za-z0-9]") & _whole(lead["value"])
+    rest = let(F.coalesce(serial, F.lit(False)), lambda s: F.transform(F.filter(tokens, lambda t, i: ~t["is_percent"] & ~(s & (i == 0))), lambda t: t["value"]))
     fits = lambda a: F.get(F.filter(a, lambda v: v <= QUANTITY_MAX), F.lit(0))
-    qty = F.coalesce(first(labelled("qty", "quantity", "qnty")), fits(but_last), fits(trailing), F.when(n == 1, F.get(trailing, F.lit(0))))
-    ordered = F.when(n >= 3, but_last).otherwise(trailing)
-    open_ = F.filter(ordered, lambda v: qty.isNull() | (v != qty))
-    price = F.coalesce(
-        first(labelled("price", "rate", "amount")),
-        F.when(F.size(open_) > 0, F.get(open_, F.size(open_) - 1)).when(n >= 2, F.get(trailing, n - 2)).when((n > 0) & qty.isNull(), F.get(trailing, F.lit(0))),
-    )
-    marked = first(lambda t: t["is_percent"] | t["left"].rlike("tax|gst|vat"))
-    tax = F.coalesce(F.when(marked >= 0, marked), first(lambda t: (t["value"] <= 100) & t["is_percent"]))
-    return F.struct(qty.alias("qty"), price.alias("price"), tax.alias("tax"), F.when(n >= 3, F.get(trailing, n - 1)).alias("total"))
+    but_last = lambda v: F.slice(v, F.lit(1), F.greatest(F.size(v) - 1, F.lit(0)))
 
+    def qty(v: Column) -> Column:
+        return F.coalesce(labelled("qty|quantity|qnty"), fits(but_last(v)), fits(v), F.when(F.size(v) == 1, F.get(v, F.lit(0))))
 
-def _finalized(item: Column, explicit: dict[str, Column], confidence: Column, strategy: str) -> Column:
-    """An item from explicit fields, completed by the inferred ones (columns roles, parts); null for summary lines and empty names."""
-    null = F.lit(None).cast("double")
-    name = F.when(F.col("parts.token_item") != "", F.col("parts.token_item")).otherwise(item)
-    get = lambda f: F.coalesce(explicit.get(f, null), F.col(f"roles.{f}"))
-    m = reconcile_math(get("qty"), get("price"), get("tax"), get("total"))
-    made = F.struct(
-        name.alias("item"), m["qty"].alias("qty"), m["price"].alias("price"), get("tax").alias("tax"), m["total"].alias("total"),
-        m["swapped"].alias("swapped"), m["reconstructed"].alias("reconstructed"), confidence.alias("confidence"), F.lit(strategy).alias("parse_strategy"),
-    ).cast(ITEM)
-    some = F.coalesce(m["qty"], m["price"], get("tax"), m["total"]).isNotNull()
-    return F.when((name != "") & ~is_tax_line(name) & ~F.col("summary") & some, made)
+    def price(v: Column, q: Column) -> Column:
+        n = F.size(v)
+        open_ = F.filter(F.when(n >= 3, but_last(v)).otherwise(v), lambda x: q.isNull() | (x != q))
+        by_place = let(open_, lambda o: F.when(F.size(o) > 0, F.get(o, F.size(o) - 1)).when(n >= 2, F.get(v, n - 2)).when((n > 0) & q.isNull(), F.get(v, F.lit(0))))
+        return F.coalesce(labelled("price|rate|amount"), by_place)
 
+    tax = F.coalesce(first(lambda t: t["is_percent"] | t["left"].rlike("tax|gst|vat")), first(lambda t: (t["value"] <= 100) & t["is_percent"]))
+    total = lambda v: F.when(F.size(v) >= 3, F.get(v, F.size(v) - 1))
+    return let(rest, lambda v: let(qty(v), lambda q: F.struct(q.alias("qty"), price(v, q).alias("price"), tax.alias("tax"), total(v).alias("total"))))
 
-def with_parts(lines: DataFrame) -> DataFrame:
-    """Add what the three readers share: numeric tokens, names, roles, and whether the line only sums up."""
-    out = lines.withColumn("parts", line_parts(F.col("cleaned")))
-    return out.withColumn("roles", assign_roles(F.col("parts.tokens"), F.col("cleaned"))).withColumn("summary", is_tax_line(F.col("cleaned")))
 
+def with_marks(lines: DataFrame) -> DataFrame:
+    """Add what the readers share: marks, tokens, roles and words."""
+    out = lines.withColumn("m", line_marks(F.col("cleaned"))).withColumn("words", F.split(strip(F.col("cleaned")), r"(?U)\s+"))
+    out = out.withColumn("tokens", F.filter("m.marks", lambda t: t["value"].isNotNull()))
+    return out.withColumn("roles", assign_roles(F.col("tokens"), F.get("m.gaps", F.lit(0))))
 
-def extract_columnar(lines: DataFrame) -> DataFrame:
-    """Add ``columnar``: a row of a table, by the heading's column numbers, else by place."""
-    cells = F.transform(F.split("cleaned", r"\|"), strip)
-    filled = F.filter(cells, lambda p: p != "")
+
+def with_cells(lines: DataFrame) -> DataFrame:
+    """Add the cells of a table row: ``cells`` as they stand, ``flat`` without empty ones and with joined amounts apart, ``numbers`` of
+    these, ``skip`` (1 behind a serial number), and ``head``: the amounts under the heading's columns."""
 
     def spread(p: Column) -> Column:
-        toks = F.split(p, r"\s+")
-        return F.when((F.size(toks) >= 2) & F.forall(toks, lambda t: normalize_currency(t).isNotNull()), toks).otherwise(F.array(p))
+        return let(F.split(p, r"(?U)\s+"), lambda t: F.when((F.size(t) >= 2) & F.forall(t, lambda x: normalize_currency(x).isNotNull()), t).otherwise(F.array(p)))
+
+    def flat(cells: Column) -> Column:
+        return let(F.filter(cells, lambda p: p != ""), lambda some: F.when(F.size(some) >= 2, F.flatten(F.transform(some, spread))))
 
-    out = lines.withColumn("cells", cells).withColumn("flat", F.when(F.size(filled) >= 2, F.flatten(F.transform(filled, spread))))
+    out = lines.withColumn("cells", F.transform(F.split("cleaned", r"\|"), strip)).withColumn("flat", flat(F.col("cells")))
     out = out.withColumn("numbers", F.transform("flat", normalize_currency))
-    lead = F.get("numbers", F.lit(0))
-    serial = (F.size("flat") >= 3) & F.get("numbers", F.lit(1)).isNull() & (lead == F.rint(lead)) & (lead > 0) & (lead <= 200)
-    skip = F.when(F.coalesce(serial, F.lit(False)), 1).otherwise(0)
-    at = lambda f: F.get(F.col("cells"), F.col(f"header.{f}"))
+    serial = (F.size("flat") >= 3) & F.get("numbers", F.lit(1)).isNull() & _whole(F.get("numbers", F.lit(0)))
     widest = F.greatest(*(F.coalesce(F.col(f"header.{f}"), F.lit(-1)) for f in ("item", "qty", "price", "total", "hsn", "taxable", "gst")))
-    mapped = F.col("header.item").isNotNull() & F.coalesce("header.qty", "header.price", "header.total").isNotNull() & (F.size("cells") >= widest + 1)
-    out = out.withColumn("skip", skip).withColumn("head_item", normalize_item_name(F.when(mapped, at("item")))).withColumn("place_item", normalize_item_name(F.get("flat", F.col("skip"))))
+    mapped = F.col("header.item").isNotNull() & F.coalesce("header.qty", "header.price", "header.total").isNotNull() & (F.size("cells") > widest)
+    at = lambda f: F.when(mapped, F.get(F.col("cells"), F.col(f"header.{f}")))
+    head = let(F.struct(at("item").alias("item"), *(F.when(at(f).isNotNull(), normalize_currency(at(f))).alias(f) for f in ("qty", "price", "total"))), lambda h: h)
+    return out.withColumn("skip", F.when(F.coalesce(serial, F.lit(False)), 1).otherwise(0)).withColumn("head", head)
+
+
+def _name_texts() -> Column:
+    """The texts that may name a line's item: without its amounts; the heading's cell; the first cell; without anything like a
+    number; before its last two amounts."""
+    line, m, tokens = F.col("cleaned"), F.col("m"), F.col("tokens")
+    bare = F.zip_with(m["gaps"], m["marks"], lambda g, t: F.concat(g, F.when(t["value"].isNotNull() & ~t["is_percent"], " ").otherwise(F.coalesce(t["raw"], F.lit("")))))
+    no_amounts = squeeze(F.regexp_replace(F.array_join(bare, ""), AMOUNT_WORDS, " "))
+    two = F.size(tokens) >= 2
+    plain = F.filter(tokens, lambda t: ~t["is_percent"])
+    pivot = let(plain, lambda p: F.when(F.size(p) >= 2, F.get(p, F.size(p) - 2)["i"]).otherwise(F.get(tokens, F.lit(0))["i"]))
+    left = F.when(two, let(pivot, lambda i: F.concat(F.array_join(F.slice(m["pieces"], F.lit(1), i), ""), F.get(m["gaps"], i))))
+    return F.array(no_amounts, F.col("head.item"), F.get("flat", F.col("skip")), F.when(two, F.regexp_replace(line, NUMBER, " ")), left)
+
+
+def _label_name(words: Column, flags: Column) -> Column:
+    """The name before the first label behind it: the first run of words that are no labels, up to a field word."""
+
+    def run(first: Column) -> Column:
+        rest = lambda x: F.slice(x, F.greatest(first, F.lit(1)), F.size(x))
+        n = lambda stop: F.when(stop > 0, stop - 1).otherwise(F.size(words))
+        return F.when(first > 0, let(F.array_position(rest(flags), True).cast("int"), lambda stop: F.slice(rest(words), F.lit(1), n(stop))))
+
+    text = F.coalesce(F.array_join(let(F.array_position(flags, False).cast("int"), run), " "), F.col("cleaned"))
+    return trim_name(normalize_ocr_text(F.replace(F.get(F.split(text, KEYWORDS, 2), F.lit(0)), F.lit("|"), F.lit(" "))))
+
+
+def _candidates() -> Column:
+    """What each reader makes of a line, in the order in which they count: by the heading's columns, by place in a table row, by
+    labels, and by a name with trailing amounts. Null where a reader has nothing."""
+    name = lambda k: F.coalesce(F.get("names", F.lit(k)), F.lit(""))
+    null = F.lit(None).cast("double")
     v = F.filter(F.slice("numbers", F.col("skip") + 2, F.greatest(F.size("numbers") - F.col("skip") - 1, F.lit(0))), lambda x: x.isNotNull())
-    out = out.withColumn("v", F.when(F.size("flat") >= 2, v))
-    out = out.withColumn("head", F.struct(*(normalize_currency(at(f)).alias(f) for f in ("qty", "price", "total"))))  # computed once, used often
-    by_head = {f: F.col(f"head.{f}") for f in ("qty", "price", "total")}
-    third = F.get("v", F.lit(2))
-    is_tax = (third >= 0) & (third <= 100)
-    by_place = {
-        "qty": F.get("v", F.lit(0)), "price": F.get("v", F.lit(1)), "tax": F.when(is_tax, third),
-        "total": F.coalesce(F.get("v", F.lit(3)), F.when(~is_tax, third)),
-    }
-    head = F.when(F.coalesce(mapped & (F.col("head_item") != "") & F.coalesce(*by_head.values()).isNotNull(), F.lit(False)), _finalized(F.col("head_item"), by_head, F.lit(0.98), "columnar"))
-    place = F.when(F.coalesce((F.col("place_item") != "") & (F.size("v") > 0), F.lit(False)), _finalized(F.col("place_item"), by_place, F.lit(0.95), "columnar"))
-    return out.withColumn("columnar", F.coalesce(head, place)).drop("cells", "flat", "numbers", "skip", "head_item", "place_item", "v", "head")
-
-
-def extract_labeled(lines: DataFrame) -> DataFrame:
-    """Add ``labeled``: amounts behind field labels."""
+
+    def made(own: Column, qty: Column, price: Column, tax: Column, total: Column, confidence: Column, strategy: str, ok: Column) -> Column:
+        stated = F.coalesce(qty, price, tax, total).isNotNull() if strategy != "trailing_numeric" else F.size("tokens") >= 2
+        c = F.struct(
+            F.coalesce(F.nullif(name(0), F.lit("")), own).alias("item"), F.coalesce(qty, "roles.qty").alias("qty"), F.coalesce(price, "roles.price").alias("price"),
+            F.coalesce(tax, "roles.tax").alias("tax"), F.coalesce(total, "roles.total").alias("total"), confidence.alias("confidence"), F.lit(strategy).alias("parse_strategy"),
+        )
+        return F.when(F.coalesce(ok & (own != "") & stated, F.lit(False)), c)
+
+    def by_place(v: Column) -> Column:
+        third = F.get(v, F.lit(2))
+        is_tax = (third >= 0) & (third <= 100)
+        total = F.coalesce(F.get(v, F.lit(3)), F.when(~is_tax, third))
+        return made(name(2), F.get(v, F.lit(0)), F.get(v, F.lit(1)), F.when(is_tax, third), total, F.lit(0.95), "columnar", F.size(v) > 0)
+
+    def by_label(x: Column) -> Column:
+        n = sum(F.when(x[f].isNotNull(), 1).otherwise(0) for f in FIELDS)
+        return made(name(5), x["qty"], x["price"], x["tax"], x["total"], F.when(n >= 2, 0.9).otherwise(0.78), "labeled", F.lit(True))
+
     found = {f: F.nullif(F.regexp_extract("cleaned", p, 1), F.lit("")) for f, p in FIELDS.items()}
-    numbers = F.struct(*((normalize_percentage(c) if f == "tax" else F.when(c.isNotNull(), normalize_currency(c))).alias(f) for f, c in found.items()))
-    lines = lines.withColumn("stated", numbers)  # computed once, used often
-    fields = {f: F.col(f"stated.{f}") for f in FIELDS}
-    n = sum(F.when(c.isNotNull(), 1).otherwise(0) for c in fields.values())
-    made = _finalized(F.col("parts.label_item"), fields, F.when(n >= 2, 0.9).otherwise(0.78), "labeled")
-    return lines.withColumn("labeled", F.when((F.col("parts.label_item") != "") & (n >= 1), made)).drop("stated")
+    stated = F.struct(*(F.when(c.isNotNull(), (normalize_percentage if f == "tax" else normalize_currency)(c)).alias(f) for f, c in found.items()))
+    head = made(name(1), F.col("head.qty"), F.col("head.price"), null, F.col("head.total"), F.lit(0.98), "columnar", F.lit(True))
+    trailing_name = F.coalesce(F.nullif(name(0), F.lit("")), F.nullif(name(3), F.lit("")), name(4))
+    trailing = made(trailing_name, null, null, null, null, null, "trailing_numeric", F.lit(True))
+    return F.array(head, let(v, by_place), let(stated, by_label), trailing)
+
 
+def _finalized(c: Column) -> Column:
+    """A reader's item with its amounts made consistent; null for summary lines and where no amount is left."""
 
-def extract_trailing(lines: DataFrame) -> DataFrame:
-    """Add ``trailing``: at least two numbers behind a name."""
-    fields = {f: F.col(f"roles.{f}") for f in ("qty", "price", "tax", "total")}
-    made = _finalized(F.col("parts.token_item"), fields, F.lit(0.0), "trailing_numeric")
-    n = sum(F.when(made[f].isNotNull(), 1).otherwise(0) for f in fields)
-    sure = made.withField("confidence", F.when(n >= 2, 0.72).otherwise(0.62))
-    return lines.withColumn("trailing", F.when((F.size("parts.tokens") >= 2) & (F.col("parts.token_item") != ""), sure))
+    def item(m: Column) -> Column:
+        amounts = (m["qty"], m["price"], c["tax"], m["total"])
+        n = sum(F.when(x.isNotNull(), 1).otherwise(0) for x in amounts)
+        sure = F.coalesce(c["confidence"], F.when(n >= 2, 0.72).otherwise(0.62))
+        made = F.struct(c["item"], m["qty"], m["price"], c["tax"], m["total"], m["swapped"], m["reconstructed"], sure, c["parse_strategy"]).cast(ITEM)
+        return F.when(F.coalesce(*amounts).isNotNull(), made)
+
+    kept = c.isNotNull() & ~F.col("summary") & ~is_tax_line(c["item"])
+    return F.when(kept, let(reconcile_math(c["qty"], c["price"], c["tax"], c["total"]), item))
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Add ``parsed``, from the first reader that gives an item, and ``reason`` where none does.
 
-    With a document confidence, an item's is the mean of both.
+    With a document confidence, an item's is the mean of both. Each step is a column that is computed once: values that are
+    used several times are bound by ``let``, so that the plan stays as small as it reads.
     """
-    out = extract_trailing(extract_labeled(extract_columnar(with_parts(lines))))
-    # the struct columns are computed once, before they are looked into again
-    parsed = F.coalesce("columnar", "labeled", "trailing")
+    out = with_cells(with_marks(lines)).withColumn("summary", is_tax_line(F.col("cleaned")))
+    out = out.withColumn("told", without_labels(F.col("words"), _name_texts()))
+    out = out.withColumn("names", F.array_append(F.transform("told.texts", trim_name), _label_name(F.col("words"), F.col("told.flags")))).withColumn("read", F.transform(_candidates(), _finalized))
+    parsed = F.get(F.filter("read", lambda x: x.isNotNull()), F.lit(0))
     if "confidence" in lines.columns:
-        parsed = F.when(parsed.isNotNull(), parsed.withField("confidence", F.coalesce(F.round((parsed["confidence"] + F.col("confidence")) / 2, 4), parsed["confidence"])))
-    missing = F.lit(None).cast("string")
-    for c in ("trailing", "labeled", "columnar"):
-        missing = F.when(F.col(c).isNotNull(), F.when(F.col(f"{c}.qty").isNull(), "qty missing").when(F.col(f"{c}.price").isNull(), "price missing").otherwise(missing)).otherwise(missing)
-    any_of = F.coalesce("columnar", "labeled", "trailing").isNotNull()
+        parsed = let(parsed, lambda p: F.when(p.isNotNull(), p.withField("confidence", F.coalesce(F.round((p["confidence"] + F.col("confidence")) / 2, 4), p["confidence"]))))
+    # what no reader makes an item of, none has left a quantity or price of either
     hints = F.col("cleaned").rlike(KEYWORDS) | F.col("cleaned").contains("|")
     reason = (
         F.when(strip(F.col("cleaned")) == "", "no rows found")
-        .when(F.col("parts.label_item") == "", "regex mismatch")
-        .when((F.size("parts.tokens") < 2) & ~hints, "regex mismatch")
-        .when(missing.isNotNull(), missing)
-        .when(any_of, "regex mismatch")
-        .when(hints | (F.size("parts.tokens") > 0), "qty missing")
+        .when(F.get("names", F.lit(5)) == "", "regex mismatch")
+        .when((F.size("tokens") < 2) & ~hints, "regex mismatch")
+        .when(hints | (F.size("tokens") > 0), "qty missing")
         .otherwise("regex mismatch")
     )
-    return out.withColumn("parsed", parsed).withColumn("reason", F.when(F.col("parsed").isNull(), reason)).select("doc_id", "line_no", "raw", "cleaned", "parsed", "reason")
+    both = let(parsed, lambda p: F.struct(p.alias("parsed"), F.when(p.isNull(), reason).alias("reason")))
+    # behind an explode, as filters on what was read would else be pushed down, with all that leads to it repeated in each
+    return out.select("doc_id", "line_no", "raw", "cleaned", F.explode_outer(F.array(both)).alias("x")).select("doc_id", "line_no", "raw", "cleaned", "x.parsed", "x.reason")
 
 
 def dedup_items(rows: DataFrame) -> DataFrame:
@@ -257,42 +322,63 @@ def skipped_of(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("parsed").isNull()).select("doc_id", "line_no", "raw", "cleaned", "reason")
 
 
-def doc_diagnostics(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Counts, score and failure reason of every document. ``docs`` with a text tells coordinate payloads apart."""
-    per = rows.groupBy("doc_id").agg(
-        F.count("*").alias("candidates"), F.count("parsed").alias("items"), F.avg("parsed.confidence").alias("mean"), F.array_sort(F.collect_set("reason")).alias("reasons")
-    )
+def _per_document(rows: DataFrame, *more: Column) -> DataFrame:
+    counts = (F.count("*").alias("candidates"), F.count("parsed").alias("items"), F.avg("parsed.confidence").alias("mean"), F.array_sort(F.collect_set("reason")).alias("reasons"))
+    return rows.groupBy("doc_id").agg(*counts, *more)
+
+
+def _diagnosed(docs: DataFrame, per: DataFrame, *more: str) -> DataFrame:
     j = docs.join(per, "doc_id", "left")
     n, c = F.coalesce("items", F.lit(0)), F.coalesce("candidates", F.lit(0))
     score = F.when(n > 0, F.round(F.col("mean") * 0.7 + F.try_divide(n, c) * 0.3, 4)).otherwise(0.0)
     only = F.when((F.size("reasons") == 1) & F.get("reasons", F.lit(0)).isin("regex mismatch", "qty missing", "price missing"), F.get("reasons", F.lit(0))).otherwise("all rows skipped")
+    failure = F.when(F.col("is_payload"), "coordinate_payload_detected").when(c == 0, "no rows found").when(n == 0, only)
+    return j.select("doc_id", c.alias("candidates"), n.alias("items"), (c - n).alias("skipped"), score.alias("score"), failure.alias("failure_reason"), *more)
+
+
+def _headers(docs: DataFrame, *more: Column) -> DataFrame:
     payload = is_coordinate_payload(F.col("text")) if "text" in docs.columns else F.lit(False)
-    failure = F.when(payload, "coordinate_payload_detected").when(c == 0, "no rows found").when(n == 0, only)
-    return j.select("doc_id", c.alias("candidates"), n.alias("items"), (c - n).alias("skipped"), score.alias("score"), failure.alias("failure_reason"))
+    return docs.select("doc_id", payload.alias("is_payload"), *more)
+
+
+def doc_diagnostics(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Counts, score and failure reason of every document. ``docs`` with a text tells coordinate payloads apart."""
+    return _diagnosed(_headers(docs), _per_document(rows))
+
+
+def stated_totals(text: Column) -> Column:
+    """Array of struct<label, value> of the totals that a text states, in their order; the last of a label counts."""
+
+    def total(m: Column) -> Column:
+        label = F.regexp_replace(F.lower(strip(F.element_at(F.split(F.element_at(F.split(m, ":"), 1), "-"), 1))), r"(?U)\s+", "_")
+        return F.struct(label.alias("label"), normalize_currency(F.regexp_extract(m, r"(?i)((?:rs\.?\s*)?[0-9][0-9, .]*)$", 1)).alias("value"))
+
+    known = F.filter(F.transform(F.regexp_extract_all(text, F.lit(DOCUMENT_TOTALS), F.lit(0)), total), lambda x: x["value"].isNotNull())
+    return let(known, lambda k: F.filter(k, lambda x, i: ~F.exists(F.slice(k, i + 2, F.size(k)), lambda y: y["label"] == x["label"])))
 
 
 def extract_totals(docs: DataFrame) -> DataFrame:
     """(doc_id, label, value) of the totals that a document states; the last of a label counts."""
-    found = F.regexp_extract_all("text", F.lit(DOCUMENT_TOTALS), F.lit(0))
-    rows = docs.select("doc_id", F.posexplode(found).alias("pos", "m"))
-    label = F.regexp_replace(F.lower(strip(F.element_at(F.split(F.element_at(F.split("m", ":"), 1), "-"), 1))), r"(?U)\s+", "_")
-    value = normalize_currency(F.regexp_extract("m", r"(?i)((?:rs\.?\s*)?[0-9][0-9, .]*)$", 1))
-    return rows.select("doc_id", "pos", label.alias("label"), value.alias("value")).where(F.col("value").isNotNull()).groupBy("doc_id", "label").agg(F.max_by("value", "pos").alias("value"))
+    return docs.select("doc_id", F.explode(stated_totals(F.col("text"))).alias("t")).select("doc_id", "t.label", "t.value")
 
 
 def structured_documents(docs: DataFrame) -> DataFrame:
-    """One row for each document: its items in order, totals, skipped rows, diagnostics, and whether anything was found."""
-    rows = dedup_items(parse_lines(split_lines(docs)))
-    items = items_of(rows).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "item", "qty", "price", "tax", "total", "confidence", "parse_strategy", "swapped", "reconstructed"))).alias("line_items"))
-    skipped = skipped_of(rows).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "raw", "cleaned", "reason"))).alias("skipped_rows"))
-    totals = extract_totals(docs).groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "value")))).alias("totals"))
-    out = doc_diagnostics(docs.select("doc_id", "text"), rows).join(items, "doc_id", "left").join(skipped, "doc_id", "left").join(totals, "doc_id", "left")
+    """One row for each document: its items in order, totals, skipped rows, diagnostics, and whether anything was found.
+
+    Lines are parsed once; their rows are dealt by doc_id once, for the repeated rows and for the lists of a document.
+    """
+    rows = dedup_items(parse_lines(split_lines(docs)).repartition("doc_id"))
+    item = F.when(F.col("parsed").isNotNull(), F.struct("line_no", *(f"parsed.{f}" for f in ("item", "qty", "price", "tax", "total", "confidence", "parse_strategy", "swapped", "reconstructed"))))
+    skipped = F.when(F.col("parsed").isNull(), F.struct("line_no", "raw", "cleaned", "reason"))
+    some = lambda c: F.when(F.size(c) > 0, F.array_sort(c))
+    per = _per_document(rows, some(F.collect_list(item)).alias("line_items"), some(F.collect_list(skipped)).alias("skipped_rows"))
+    totals = let(stated_totals(F.col("text")), lambda t: F.when(F.size(t) > 0, F.map_from_entries(t)))
+    out = _diagnosed(_headers(docs, totals.alias("totals")), per, "line_items", "skipped_rows", "totals")
     return out.withColumn("parse_success", F.col("line_items").isNotNull() | F.col("totals").isNotNull())
 
 
-def to_structured_json(structured: DataFrame) -> DataFrame:
-    """The structured document as one JSON text."""
+def to_structured_json(structured: DataFrame, keep: bool = False) -> DataFrame:
+    """The structured document as one JSON text; with ``keep`` beside its columns."""
     names = ["line_items", "totals", "skipped_rows", "score", "failure_reason"]
-    return structured.select("doc_id", F.to_json(F.struct(*names)).alias("structured_json"))
-
-
+    text = F.to_json(F.struct(*names)).alias("structured_json")
+    return structured.select("*", text) if keep else structured.select("doc_id", text)

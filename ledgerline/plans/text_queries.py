@@ -108,17 +108,40 @@ def split_alpha_digit(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", S.split_alpha_digit(F.col("text")).alias("text"))
 
 
-@query("b6_page_confidence", with_ctes(ENTRIES, "SELECT doc_id, page_number, round(avg(confidence), 4) AS confidence FROM entries GROUP BY ALL"))
+#: The mean of whole numbers of 9 places, which does not hang on the order of the rows.
+MEAN = Q.half_up("sum(round({0} * 1e9)::BIGINT)::DOUBLE / count(*) / 1e9::DOUBLE", 4)
+PAGE_MEANS = f"pages AS (SELECT doc_id, page_number, {MEAN.format('confidence')} AS confidence FROM entries GROUP BY ALL)"
+
+
+@query("b6_page_confidence", with_ctes([*ENTRIES, PAGE_MEANS], "SELECT * FROM pages"))
 def page_confidence(spark, sf_dir):
     return O.page_stats(O.with_geometry(_entries(spark, sf_dir))).select("doc_id", "page_number", "confidence")
 
 
-@query("b7_page_quality", with_ctes(ENTRIES, "SELECT doc_id, page_number, round(avg(confidence), 4) < 0.6 AS uncertain FROM entries GROUP BY ALL"))
+PAGE_TEXTS = r"""lines_of AS (
+  SELECT doc_id, page_number, 0 AS part, row_no::BIGINT AS line_no, string_agg(regexp_replace(regexp_replace(text, '([A-Za-z])([0-9])', '\1 \2', 'g'), '([0-9])([A-Za-z])', '\1 \2', 'g'), ' ' ORDER BY x_left, idx) AS line FROM clusters GROUP BY ALL
+  UNION ALL SELECT doc_id, page_number, 1, idx, text FROM entries WHERE NOT has_box),
+texts AS (SELECT doc_id, page_number, string_agg(line, chr(10) ORDER BY part, line_no) AS text FROM lines_of GROUP BY ALL)"""
+
+
+@query("b7_page_quality", with_ctes([*ENTRIES, CLUSTERS, PAGE_MEANS, PAGE_TEXTS], """SELECT doc_id, page_number, confidence < 0.6 AS uncertain,
+    (confidence > 0 AND confidence < 0.5) OR (length(text) > 10 AND NOT regexp_matches(text, '[A-Za-z]')) AS needs_fallback FROM pages JOIN texts USING (doc_id, page_number)"""))
 def page_quality(spark, sf_dir):
-    return O.page_quality(O.page_stats(O.with_geometry(_entries(spark, sf_dir)))).select("doc_id", "page_number", "uncertain")
+    return O.page_quality(O.page_stats(O.with_geometry(_entries(spark, sf_dir)))).select("doc_id", "page_number", "uncertain", "needs_fallback")
+
 
+@query("b7_choose_pages", with_ctes([*ENTRIES, CLUSTERS, PAGE_MEANS, PAGE_TEXTS], """SELECT doc_id, page_number, used AS second_used, CASE WHEN used THEN 0.9::DOUBLE ELSE confidence END AS confidence, CASE WHEN used THEN false ELSE confidence < 0.6 END AS uncertain
+  FROM (SELECT *, ((confidence > 0 AND confidence < 0.5) OR (length(text) > 10 AND NOT regexp_matches(text, '[A-Za-z]'))) AND page_number % 2 = 0 AS used FROM pages JOIN texts USING (doc_id, page_number))"""))
+def choose_pages(spark, sf_dir):
+    """The second engine has read the even pages only."""
+    first = O.page_stats(O.with_geometry(_entries(spark, sf_dir)))
+    second = first.where("page_number % 2 = 0").select("doc_id", "page_number", F.lit("second engine").alias("text"), F.lit(0.9).alias("confidence"))
+    return O.choose_pages(first, second).select("doc_id", "page_number", (F.col("text") == "second engine").alias("second_used"), "confidence", "uncertain")
 
-@query("b8_assemble_docs")
+
+@query("b8_assemble_docs", with_ctes([*ENTRIES, CLUSTERS, PAGE_MEANS, PAGE_TEXTS], f"""SELECT doc_id, {MEAN.format('confidence')} AS confidence,
+    {SPACE.format("regexp_replace(regexp_replace(string_agg(trim(text), chr(10) || chr(10) ORDER BY page_number) FILTER (trim(text) <> ''), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')")} AS text
+  FROM pages JOIN texts USING (doc_id, page_number) GROUP BY 1"""))
 def assemble_docs(spark, sf_dir):
     return O.assemble_docs(O.page_stats(O.with_geometry(_entries(spark, sf_dir))))
 
@@ -279,6 +302,102 @@ def totals(spark, sf_dir):
     return L.extract_totals(_order_texts(spark, sf_dir))
 
 
+# --- whole documents: orders written as tables, with labels, or as names with trailing amounts -----------------------------
+
+
+def _written(items: DataFrame) -> DataFrame:
+    """doc_id and text of orders: pair_id, line_no, item, qty, price and total, in one of three styles by the order's number.
+
+    The total stands under the words that the cleaner leaves on one line; of "Grand Total:" it makes two.
+    """
+    cell = lambda c: F.col(c).cast("string")
+    style = F.col("pair_id") % 3
+    line = (
+        F.when(style == 0, F.concat_ws(" | ", cell("line_no"), "item", cell("qty"), cell("price"), cell("total")))
+        .when(style == 1, F.concat_ws(" ", "item", F.lit("qty"), cell("qty"), F.lit("price"), cell("price")))
+        .otherwise(F.concat_ws(" ", "item", cell("qty"), cell("price"), cell("total")))
+    )
+    docs = items.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("line_no", line.alias("l")))).alias("ls"), F.round(F.sum("total"), 2).alias("sum"))
+    head = F.when(style == 0, "Sr No | Item | Qty | Rate | Amount\n").otherwise("")
+    body = F.array_join(F.transform("ls", lambda x: x["l"]), "\n")
+    return docs.select(F.col("pair_id").alias("doc_id"), F.concat(head, body, F.lit("\nTotal Amount: "), F.col("sum").cast("decimal(18,2)").cast("string")).alias("text"))
+
+
+def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.parse_lines(L.split_lines(_written(_items(spark, sf_dir))))
+
+
+#: What the readers make of the written orders: the table's amounts as they stand, a total worked out where none is written.
+READ = f"""read AS (
+  SELECT pair_id AS doc_id, line_no, item, qty, price, CASE WHEN pair_id % 3 = 1 THEN {Q.half_up('qty * price')} ELSE total END AS total, pair_id % 3 = 1 AS reconstructed,
+    CASE pair_id % 3 WHEN 0 THEN 0.98::DOUBLE WHEN 1 THEN 0.9::DOUBLE ELSE 0.72::DOUBLE END AS confidence, CASE pair_id % 3 WHEN 0 THEN 'columnar' WHEN 1 THEN 'labeled' ELSE 'trailing_numeric' END AS parse_strategy
+  FROM po)"""
+ONCE = """once AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, item, qty, price, total ORDER BY line_no) AS nth FROM read)"""
+#: The heading of a table is a candidate that no reader takes.
+STRUCTURED = """structured AS (
+  SELECT doc_id, count(*) + (doc_id % 3 = 0)::INT AS candidates, count(*) FILTER (nth = 1) AS items, count(*) FILTER (nth > 1) + (doc_id % 3 = 0)::INT AS skipped,
+    round(avg(confidence) * 0.7::DOUBLE + count(*) FILTER (nth = 1)::DOUBLE / (count(*) + (doc_id % 3 = 0)::INT) * 0.3::DOUBLE, 4) AS score FROM once GROUP BY doc_id)"""
+
+
+def _by_reader(strategy: str):
+    def rows(spark, sf_dir):
+        found = _parsed(spark, sf_dir).where("parsed is not null").select("doc_id", "parsed.*").where(F.col("parse_strategy") == strategy)
+        return found.select("doc_id", "item", "qty", "price", "total", "reconstructed", "confidence")
+
+    return rows
+
+
+for _name, _strategy in (("d5_columnar", "columnar"), ("d6_labeled", "labeled"), ("d7_trailing", "trailing_numeric")):
+    query(_name, with_ctes([Q.PO, READ], f"SELECT doc_id, item, qty, price, total, reconstructed, confidence FROM read WHERE parse_strategy = '{_strategy}'"))(_by_reader(_strategy))
+
+
+@query("d8_numeric_tokens", with_ctes([Q.PO], "SELECT pair_id, line_no, qty || '/' || price || '/' || total AS amounts, 3 AS n, false AS any_percent FROM po"))
+def numeric_tokens(spark, sf_dir):
+    line = F.concat_ws(" ", "item", F.col("qty").cast("string"), F.lit("x"), F.col("price").cast("string"), F.lit("="), F.col("total").cast("string"))
+    tokens = _items(spark, sf_dir).select("pair_id", "line_no", L.numeric_tokens(line).alias("t"))
+    return tokens.select("pair_id", "line_no", F.array_join(F.transform("t", lambda x: x["value"].cast("string")), "/").alias("amounts"), F.size("t").alias("n"), F.exists("t", lambda x: x["is_percent"]).alias("any_percent"))
+
+
+@query("d9_assign_roles", with_ctes([Q.PO], """SELECT pair_id, line_no, qty AS qty, CASE WHEN k % 2 = 0 THEN price END AS price, CASE WHEN k % 2 = 1 THEN tax END AS tax, CASE WHEN k % 2 = 0 THEN total END AS total FROM po"""))
+def roles(spark, sf_dir):
+    """Name and amounts behind a serial number; or a quantity and a tax rate only."""
+    n = lambda c: F.col(c).cast("string")
+    line = F.when(F.col("k") % 2 == 0, F.concat_ws(" ", n("line_no"), "item", n("qty"), n("price"), n("total"))).otherwise(F.concat("item", F.lit(" qty "), n("qty"), F.lit(", twenty units apiece "), n("tax"), F.lit("%")))
+    marks = _items(spark, sf_dir).select("pair_id", "line_no", L.line_marks(line).alias("m"))
+    tokens = F.filter("m.marks", lambda t: t["value"].isNotNull())
+    return marks.select("pair_id", "line_no", L.assign_roles(tokens, F.get("m.gaps", F.lit(0))).alias("r")).select("pair_id", "line_no", "r.*")
+
+
+@query("d13_parse_lines", with_ctes([Q.PO, READ], "SELECT doc_id, item, qty, price, NULL::DOUBLE AS tax, total, false AS swapped, reconstructed, confidence, parse_strategy FROM read"))
+def parse_lines(spark, sf_dir):
+    return _parsed(spark, sf_dir).where("parsed is not null").select("doc_id", "parsed.*")
+
+
+@query("d14_skip_reasons", with_ctes([Q.PO], "SELECT DISTINCT pair_id AS doc_id, 0 AS line_no, 'qty missing' AS reason FROM po WHERE pair_id % 3 = 0"))
+def skip_reasons(spark, sf_dir):
+    return _parsed(spark, sf_dir).where("parsed is null").select("doc_id", "line_no", "reason")
+
+
+@query("d18_structured_documents", with_ctes([Q.PO, READ, ONCE, STRUCTURED, "sums AS (SELECT pair_id AS doc_id, round(sum(total), 2) AS total_amount FROM po GROUP BY 1)"], "SELECT *, NULL::VARCHAR AS failure_reason, true AS parse_success FROM structured JOIN sums USING (doc_id)"))
+def structured(spark, sf_dir):
+    docs = L.structured_documents(_written(_items(spark, sf_dir)))
+    return docs.select("doc_id", "candidates", "items", "skipped", "score", F.col("totals")["total_amount"].alias("total_amount"), "failure_reason", "parse_success")
+
+
+@query("d18_prose_documents")
+def prose_documents(spark, sf_dir):
+    """The parser on the documents, which are prose with few amounts."""
+    return L.structured_documents(_docs(spark, sf_dir)).select("doc_id", "candidates", "items", "skipped", "score", "failure_reason", "parse_success")
+
+
+@query("a10_structured_json", with_ctes([Q.PO, READ, ONCE], """SELECT doc_id, to_json(list(item ORDER BY line_no)) AS names, to_json(list(qty ORDER BY line_no)) AS amounts FROM once WHERE nth = 1 GROUP BY doc_id"""))
+def structured_json(spark, sf_dir):
+    made = L.to_structured_json(L.structured_documents(_written(_items(spark, sf_dir))))
+    back = F.from_json("structured_json", "line_items array<struct<item:string,qty:double>>")
+    return made.select("doc_id", back["line_items"].alias("x")).select("doc_id", F.to_json("x.item").alias("names"), F.to_json("x.qty").alias("amounts"))
+
+
 # --- model responses: one JSON text for each order, fenced or in prose, some broken ---------------------------------------
 
 
