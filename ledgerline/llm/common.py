@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline import ship
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
@@ -33,6 +35,18 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{spark.conf.get('spark.sql.warehouse.dir')}/ledgerline-scratch"
 
 
+#: Rows that go to a Python worker at once. Texts are long: the default of 10,000 would hold tens of megabytes at both ends.
+BATCH_ROWS = 2_000
+
+
+def ready(spark: SparkSession) -> None:
+    """Send the package to the executors, and bound the batches of texts for Python workers, unless the session has smaller ones."""
+    ship(spark)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def stored(df: DataFrame, name: str) -> str:
     """Write ``df`` once as Parquet in the shared folder; gives the path."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"

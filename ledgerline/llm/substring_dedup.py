@@ -2,20 +2,22 @@
 
 A window of words can only repeat where each shorter window inside it repeats. So the search starts at
 about half the length, and windows repeated at one length alone are extended to at most twice that
-length, until the wanted length is reached or none are left. At the first length only one window in
+length, until the wanted length is reached or no candidate is left; then the search stops. At the first length only one window in
 several is looked at: of the short windows inside each wanted window the one with the least hash, which
 is the same one wherever the wanted window stands.
 
-* Texts are dealt by doc_id once; every level and the cut read that same exchange.
-* Short windows that a sample of the documents shows to be frequent count as repeated without being counted, so
-  that no key of the first level is hot. That only adds candidates: the wanted windows themselves are
-  always compared, with map-side combination, and their join can be split where it is skewed.
+* Texts are dealt by doc_id once; every level and the cut read that same exchange. Rows without a doc_id are spread
+  by their text.
+* Short windows that hold more than 1 / HOT_SHARE of a sample's rows count as repeated without being counted, so
+  that no key of the first level is hot; there are fewer than HOT_SHARE of them at any size. That only adds candidates: the
+  wanted windows themselves are always compared, with map-side combination, and their join can be split where it is skewed.
+* The windows of a level are written once and read for the count and for the way back.
 * Of texts equal to the byte, only the one with the smallest doc_id is searched; the others are its repeats.
 * Wanted windows are compared by 96 bits of hash.
 
 Null, empty and short texts (fewer words than the window) lose nothing; kept_sha256 is that of their
 words. Rows with the same doc_id are not smaller than each other and stay both. Rows with a null
-doc_id come after all others. An empty table gives no rows.
+doc_id come after all others. An empty table gives no rows. All columns of the input stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,20 +27,21 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
-from .common import text_batches
+from .common import released, stored, text_batches
 from .hashing import grams, hash_words, mix
 
 WINDOW, START = 13, 7
-#: Sorts after every doc_id.
-_LAST = (1 << 63) - 1
+#: Rows without a doc_id are spread, by their text, over the numbers from here on, which count as one and the same place after
+#: every doc_id.
+_NULLS, _SPREAD = (1 << 63) - (1 << 20), (1 << 20) - 1
 _LOW48 = np.uint64((1 << 48) - 1)
-#: One document in so many is in the sample for frequent short windows; seen so often there, one is frequent; at most so many of them.
-_SAMPLE, _OFTEN, _MOST = 32, 16, 16_384
+#: One document in so many is in the sample for hot short windows; a hot one has more than 1 / HOT_SHARE of its rows, and OFTEN of them.
+SAMPLE, HOT_SHARE, OFTEN = 32, 16_384, 16
 
 
 def levels(window: int, start: int = START) -> list[int]:
@@ -80,16 +83,16 @@ def candidates(hashed: np.ndarray, window: int, before: int, length: int, first:
     return np.flatnonzero(ok)
 
 
-def _map(df: DataFrame, schema: str, work: Callable[[list[tuple]], list[np.ndarray] | None]) -> DataFrame:
-    """Rows of numbers made from (ord, words, hits) of each document."""
+def _map(df: DataFrame, schema: str, work: Callable[[int, list[bytes], list | None], tuple | None]) -> DataFrame:
+    """Rows of numbers made from (_ord, words, _hits) of each document."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 300):
                 part = batch.slice(k, 300)
-                hits = part.column("hits").to_pylist() if "hits" in part.schema.names else [None] * part.num_rows
-                made = [m for o, t, h in zip(part.column("ord").to_pylist(), text_batches(part), hits) if (m := work(o, t.split(), h)) is not None]
+                hits = part.column("_hits").to_pylist() if "_hits" in part.schema.names else [None] * part.num_rows
+                made = [m for o, t, h in zip(part.column("_ord").to_pylist(), text_batches(part, "_text"), hits) if (m := work(o, t.split(), h)) is not None]
                 if made:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*made)], names=names)
 
@@ -126,37 +129,68 @@ def _level_rows(df: DataFrame, window: int, before: int, length: int, first: boo
     return _map(df, "h long, g int, ord long", work)
 
 
+def _ord() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULLS) + F.pmod(F.xxhash64("text"), F.lit(_SPREAD)))
+
+
+def _place(ord_: str) -> Column:
+    """What is compared: equal for all rows without a doc_id."""
+    return F.least(F.col(ord_), F.lit(_NULLS))
+
+
 def _dealt(docs: DataFrame) -> DataFrame:
-    """All columns and ``ord``, dealt by ord."""
-    return docs.withColumn("ord", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).repartition("ord")
+    """_ord, _text and the whole row as _row, dealt by _ord."""
+    return docs.select(_ord().alias("_ord"), F.col("text").cast("string").alias("_text"), F.struct("*").alias("_row")).repartition("_ord")
+
 
+def _often(docs: DataFrame, window: int, length: int) -> np.ndarray:
+    """The hot short windows of the sample; fewer than HOT_SHARE."""
+    some = docs.select(_ord().alias("_ord"), F.col("text").cast("string").alias("_text"))
+    some = some.where(F.pmod(F.xxhash64("_ord", F.length("_text")), F.lit(SAMPLE)) == 0)
+    at = stored(_first_rows(some, window, length, np.zeros(0, dtype=np.int64)), "sampled-windows")
+    rows = docs.sparkSession.read.schema("h long, ord long").parquet(at)
+    least = max(OFTEN, rows.count() / HOT_SHARE)
+    hot = np.sort(np.array([r["h"] for r in rows.groupBy("h").count().where(F.col("count") > least).collect()], dtype=np.int64))
+    released(docs.sparkSession, at)
+    return hot
 
-def _hits(docs: DataFrame, base: DataFrame, window: int, start: int) -> tuple[DataFrame, DataFrame]:
+
+def _by_ord(df: DataFrame, hits: DataFrame | None) -> DataFrame:
+    """``df`` with _hits of its _ord."""
+    return df if hits is None else df.join(hits.select(F.col("ord").alias("_ord"), F.col("hits").alias("_hits")), "_ord", "left")
+
+
+def _search(docs: DataFrame, base: DataFrame, window: int, start: int) -> tuple[DataFrame, DataFrame]:
     """By ord: the hashes of wanted windows that start in a smaller document; the digests of texts that a smaller document has too."""
-    key = F.md5(F.coalesce(F.col("text"), F.lit("")))
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("ord"), F.unhex(key).alias("key"))
-    firsts = keyed.groupBy("key").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).where("first < last").drop("last")
-    copies = keyed.join(firsts, "key").where("first < ord").groupBy("ord").agg(F.collect_set("key").alias("copy_keys"))
+    spark = docs.sparkSession
+    key = lambda text: F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit(""))))
+    # a text shorter than so many characters has fewer words than the window
+    keyed = docs.where(F.length("text") >= 2 * window - 1).select(_ord().alias("ord"), key(F.col("text")).alias("key"))
+    firsts = keyed.groupBy("key").agg(F.min(_place("ord")).alias("first"), F.max(_place("ord")).alias("last")).where("first < last").drop("last")
+    copies = keyed.join(firsts, "key").where(F.col("first") < _place("ord")).groupBy("ord").agg(F.collect_set("key").alias("copy_keys"))
+    copies = copies.select(F.col("ord").alias("_ord"), F.col("copy_keys").alias("_copies"))
 
     steps = levels(window, start)
-    searched = base.join(copies, "ord", "left").where(F.col("copy_keys").isNull() | ~F.array_contains("copy_keys", F.unhex(key))).drop("copy_keys")
-    always = np.zeros(0, dtype=np.int64)
-    found = None
+    searched = base.select("_ord", "_text").join(copies, "_ord", "left").where(F.col("_copies").isNull() | ~F.array_contains("_copies", key(F.col("_text")))).drop("_copies")
+    always, found = np.zeros(0, dtype=np.int64), None
     if len(steps) > 1:
-        some = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("ord"), "text").where(F.pmod(F.xxhash64("ord", F.length("text")), F.lit(_SAMPLE)) == 0)
-        often = _first_rows(some, window, steps[0], always).groupBy("h").count().where(F.col("count") >= _OFTEN).orderBy(F.desc("count"), "h").limit(_MOST)
-        always = np.sort(np.array([r["h"] for r in often.collect()], dtype=np.int64))
+        always = _often(docs, window, steps[0])
         rows = _first_rows(searched, window, steps[0], always)
         rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1")
         found = rows.groupBy("ord").agg(F.collect_list("h").alias("hits"))
+    hits_schema = "ord long, hits array<long>"
     for before, length in zip(steps, steps[1:] or steps):
-        source = searched if found is None else searched.join(found, "ord", "left")
-        rows = _level_rows(source, window, before, length, before == steps[0], always)
-        ends = rows.groupBy("h", "g").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).where("first < last").drop("last")
+        first = before == steps[0]
+        at = stored(_level_rows(_by_ord(searched, found), window, before, length, first, always), f"windows-{length}")
+        rows = spark.read.schema("h long, g int, ord long").parquet(at)
+        ends = rows.groupBy("h", "g").agg(F.min(_place("ord")).alias("first"), F.max(_place("ord")).alias("last")).where("first < last").drop("last")
         rows = rows.join(ends, ["h", "g"])
         if length == window:
-            rows = rows.where("first < ord")
-        found = rows.groupBy("ord").agg(F.collect_list("h").alias("hits"))
+            rows = rows.where(F.col("first") < _place("ord"))
+        found = spark.read.schema(hits_schema).parquet(stored(rows.groupBy("ord").agg(F.collect_list("h").alias("hits")), f"hits-{length}"))
+        released(spark, at)
+        if not found.limit(1).count():
+            break
     return found, copies
 
 
@@ -173,12 +207,12 @@ def cut_words(words: list[bytes], window: int, hits: np.ndarray) -> list[bytes]:
 
 def _with_hits(docs: DataFrame, window: int, start: int) -> DataFrame:
     base = _dealt(docs)
-    hits, copies = _hits(docs, base, window, start)
-    return base.join(hits, "ord", "left").join(copies, "ord", "left")
+    hits, copies = _search(docs, base, window, start)
+    return _by_ord(base, hits).join(copies, "_ord", "left")
 
 
 def _kept(batch: pa.RecordBatch, window: int) -> Iterator[tuple[list[bytes], list[bytes]]]:
-    for t, hits, copies in zip(text_batches(batch), batch.column("hits").to_pylist(), batch.column("copy_keys").to_pylist()):
+    for t, hits, copies in zip(text_batches(batch, "_text"), batch.column("_hits").to_pylist(), batch.column("_copies").to_pylist()):
         words = t.split()
         if copies and len(words) >= window and hashlib.md5(t).digest() in copies:
             yield words, []
@@ -195,12 +229,11 @@ def removals(docs: DataFrame, window: int = WINDOW, start: int = START) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [None if o == _LAST else o for o in batch.column("ord").to_pylist()]
             rows = [(len(w), len(w) - len(k), hashlib.sha256(b" ".join(k)).hexdigest()) for w, k in _kept(batch, window)]
             columns = [[r[i] for r in rows] for i in range(3)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return _with_hits(docs.select("doc_id", F.col("text").cast("string").alias("text")), window, start).mapInArrow(run, schema)
+    return _with_hits(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), window, start).select("_text", "_hits", "_copies", F.col("_row.doc_id").alias("_id")).mapInArrow(run, schema)
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, start: int = START) -> DataFrame:
@@ -212,12 +245,13 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, start: int = START) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, keep = batch.column("text").to_pylist(), []
+            row = batch.column("_row")
+            texts, keep = row.field("text").to_pylist(), []
             for i, (w, k) in enumerate(_kept(batch, window)):
                 keep.append(bool(k) or not w)
                 if len(k) < len(w):
                     texts[i] = b" ".join(k).decode("utf-8", "replace")
-            columns = [pa.array(texts, type=f.type) if f.name == "text" else batch.column(f.name) for f in arrow]
+            columns = [pa.array(texts, type=f.type) if f.name == "text" else row.field(i) for i, f in enumerate(arrow)]
             yield pa.RecordBatch.from_arrays(columns, schema=arrow).filter(pa.array(keep, pa.bool_()))
 
     return _with_hits(docs, window, start).mapInArrow(run, docs.schema)
