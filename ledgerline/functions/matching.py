@@ -1,12 +1,14 @@
-"""Token-set similarity of short names. The only scoring that built-in expressions can't do: distinct pairs of names are
-scored once, in Arrow batches."""
+"""Token-set similarity of short names. The only scoring that built-in expressions can't do: the names of a pair's two sides are
+compared in Arrow batches, and a worker remembers the scores of pairs of names."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,28 +51,81 @@ def token_set_ratio(a: str, b: str) -> float:
     return best
 
 
-def can_reach(a: Column, b: Column, threshold: float) -> Column:
-    """A bound that no pair over the threshold fails: a shared token, or distinct tokens that together are close enough in length.
+class Names:
+    """The names of one side of a pair, for finding those that are like a given one without scoring each.
 
-    Without a shared token the score is at most what it would be if only the lengths differed; it is worked out in the same way.
+    Without a shared token the score is at most what the letters that two names have in common allow; that bound is
+    worked out for all names at once. Names with a shared token are scored.
     """
-    x, y = (F.array_distinct(F.split(c, " ")) for c in (a, b))
-    nx, ny = (F.length(F.array_join(t, " ")) for t in (x, y))
-    best = F.lit(100.0) - F.lit(100.0) * F.abs(nx - ny) / F.greatest(nx + ny, F.lit(1))
-    return F.arrays_overlap(x, y) | (best >= threshold)
 
+    def __init__(self, names: list[str]):
+        # as in the score, a name is its distinct tokens
+        self.names, self.plain = names, [" ".join(sorted(set(n.split()))) for n in names]
+        alphabet = sorted({c for n in self.plain for c in n})
+        self.letters = {c: k for k, c in enumerate(alphabet)}
+        self.counts = np.zeros((len(names), len(alphabet)), dtype=np.int16)
+        for k, n in enumerate(self.plain):
+            for c in n:
+                self.counts[k, self.letters[c]] += 1
+        self.length = np.array([len(n) for n in self.plain], dtype=np.int64)
+        self.with_token: dict[str, list[int]] = {}
+        for k, n in enumerate(names):
+            for t in set(n.split()):
+                self.with_token.setdefault(t, []).append(k)
+
+    def like(self, name: str, threshold: float) -> list[tuple[int, float]]:
+        """(number, score) of the names with at least the threshold."""
+        plain = " ".join(sorted(set(name.split())))
+        own = np.zeros(len(self.letters), dtype=np.int16)
+        for c in plain:
+            if c in self.letters:
+                own[self.letters[c]] += 1
+        common = np.minimum(self.counts, own).sum(1)
+        both = self.length + len(plain)
+        # a hair below the threshold, so that rounding loses nothing
+        near = set(np.flatnonzero((200 * common >= (threshold - 1e-6) * both) & (both > 0)).tolist())
+        near.update(k for t in set(name.split()) for k in self.with_token.get(t, ()))
+        return [(k, s) for k in sorted(near) if (s := _scored(name, self.names[k])) >= threshold]
+
+
+@lru_cache(maxsize=100_000)
+def _scored(a: str, b: str) -> float:
+    return token_set_ratio(a, b)
+
+
+def _exact(a: list[str], b: list[str]) -> list[list[tuple[int, float]]]:
+    at: dict[str, list[int]] = {}
+    for k, n in enumerate(b):
+        if n:
+            at.setdefault(n, []).append(k)
+    return [[(k, 100.0) for k in at.get(n, ())] for n in a]
+
+
+def like_names(threshold: float, scorer: str = "token_set", greedy: bool = False) -> Callable[[Column, Column], Column]:
+    """A function of two arrays of matching keys: array of struct<a, b, score>, the numbers from 0 of the names of both that score enough.
+
+    With ``greedy`` each name of the first, in order, takes the best free one of the second (of equal ones the first).
+    """
 
-def score_pairs(pairs: DataFrame, scorer: str = "token_set") -> DataFrame:
-    """name_a, name_b and score of the distinct pairs of ``pairs``. The scorer "exact" gives 100 to equal names, else 0."""
-    distinct = pairs.select("name_a", "name_b").distinct()
-    if scorer == "exact":
-        return distinct.withColumn("score", F.when((F.col("name_a") == F.col("name_b")) & (F.col("name_a") != ""), 100.0).otherwise(0.0))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.assign(score=[token_set_ratio(x, y) for x, y in zip(b["name_a"], b["name_b"])])
-
-    return distinct.mapInPandas(run, "name_a string, name_b string, score double")
+    def find(left: pd.Series, right: pd.Series) -> pd.Series:
+        out = []
+        for a, b in zip(left, right):
+            a, b = list(a), list(b)
+            if scorer == "exact":
+                found = _exact(a, b)
+            else:
+                index = Names(b)
+                found = [index.like(n, threshold) if n else [] for n in a]
+            if greedy:
+                taken: set[int] = set()
+                for i, hits in enumerate(found):
+                    best = min(((-s, k) for k, s in hits if k not in taken), default=None)
+                    found[i] = [(best[1], -best[0])] if best else []
+                    taken.update(k for k, _ in found[i])
+            out.append([{"a": i, "b": k, "score": s} for i, hits in enumerate(found) for k, s in hits])
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(find, "array<struct<a:int,b:int,score:double>>")
 
 
 def labels_among(words: set[str], labels: list[str] | None = None) -> set[str]:

@@ -6,11 +6,14 @@ is keyed by pair_id, so one hash partitioning by it serves most steps.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.matching import can_reach, score_pairs
-from ..functions.scalars import difference, is_trailing_drift, normalize_for_matching
+from ..functions.matching import like_names
+from ..functions.scalars import difference, is_trailing_drift, let, normalize_for_matching
 
 ITEM_MATCH_THRESHOLD = 85.0
 PRICE_TOLERANCE = 0.0
@@ -50,6 +53,26 @@ def align_exact(invoice: DataFrame, po: DataFrame) -> DataFrame:
     return both.withColumn("section", section)
 
 
+def align_items(invoice: DataFrame, po: DataFrame) -> DataFrame:
+    """``align_exact`` of the groups of two item tables, in one aggregation: both sides are dealt by pair_id together, and what comes
+    after finds them there."""
+    side = lambda df, is_inv: df.where(F.trim("item") != "").select("pair_id", "item", F.col("qty").cast("double").alias("qty"), F.col("price").cast("double").alias("price"), F.lit(is_inv).alias("is_inv"))
+    rows = side(invoice, True).unionByName(side(po, False)).repartition("pair_id")
+
+    def of(p: str, mine: Column) -> list[Column]:
+        qty, price = F.when(mine, F.col("qty")), F.when(mine, F.col("price"))
+        n = F.count_if(mine)
+        there = lambda c: F.when(n > 0, c)
+        return [
+            there(F.coalesce(F.sum(qty), F.lit(0.0))).alias(f"{p}_qty"), there(F.count(qty) > 0).alias(f"{p}_has_qty"),
+            there(F.when(F.min(price) == F.max(price), F.min(price))).alias(f"{p}_price"), there(n).alias(f"{p}_entry_count"),
+        ]
+
+    both = rows.groupBy("pair_id", "item").agg(*of("inv", F.col("is_inv")), *of("po", ~F.col("is_inv")))
+    section = F.when(F.col("inv_entry_count").isNull(), "po_only").when(F.col("po_entry_count").isNull(), "invoice_only").otherwise("exact")
+    return both.withColumn("section", section)
+
+
 def match_exact(invoice: DataFrame, po: DataFrame) -> DataFrame:
     return invoice.select("pair_id", "item").join(po.select("pair_id", "item"), ["pair_id", "item"], "inner")
 
@@ -58,28 +81,59 @@ def unmatched(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(b, ["pair_id", "item"], "left_anti")
 
 
+def _by_pair(invoice: DataFrame, po: DataFrame) -> DataFrame:
+    """One row for each pair that has names on both sides: arrays a and b of their names, ascending."""
+    rows = invoice.select("pair_id", "item", F.lit(True).alias("is_inv")).unionByName(po.select("pair_id", "item", F.lit(False).alias("is_inv")))
+    names = lambda mine: F.array_sort(F.collect_list(F.when(mine, F.col("item"))))
+    return rows.groupBy("pair_id").agg(names(F.col("is_inv")).alias("a"), names(~F.col("is_inv")).alias("b")).where((F.size("a") > 0) & (F.size("b") > 0))
+
+
+def _keys(names: Column) -> Column:
+    return F.transform(names, normalize_for_matching)
+
+
 def fuzzy_candidates(invoice: DataFrame, po: DataFrame, threshold: float = ITEM_MATCH_THRESHOLD, scorer: str = "token_set") -> DataFrame:
     """(pair_id, inv_item, po_item, score) of unmatched names of one pair whose score reaches the threshold.
 
-    The join is by pair_id and a bound that no good pair fails; each distinct pair of names is scored once.
+    The names of a pair meet on one row; only names that a bound lets through are scored.
     """
-    a = invoice.select("pair_id", F.col("item").alias("inv_item"), normalize_for_matching(F.col("item")).alias("name_a"))
-    b = po.select("pair_id", F.col("item").alias("po_item"), normalize_for_matching(F.col("item")).alias("name_b"))
-    near = a.join(b, "pair_id").where(F.col("name_a") == F.col("name_b") if scorer == "exact" else can_reach(F.col("name_a"), F.col("name_b"), threshold))
-    return near.join(score_pairs(near, scorer), ["name_a", "name_b"]).where(F.col("score") >= threshold).select("pair_id", "inv_item", "po_item", "score")
+    found = _by_pair(invoice, po).withColumn("m", like_names(threshold, scorer)(_keys(F.col("a")), _keys(F.col("b"))))
+    pairs = F.transform("m", lambda m: F.struct(F.get("a", m["a"]).alias("inv_item"), F.get("b", m["b"]).alias("po_item"), m["score"].alias("score")))
+    return found.select("pair_id", F.explode(pairs).alias("c")).select("pair_id", "c.*")
 
 
 def assign_greedy(candidates: DataFrame) -> DataFrame:
-    """One-to-one matches: invoice names ascending, each takes its best free PO name (ties: the smaller name)."""
-    best_first = F.array_sort(F.collect_list(F.struct("inv_item", (-F.col("score")).alias("cost"), "po_item")))
-    start = F.expr("cast(array() as array<struct<inv_item:string,po_item:string,score:double>>)")
+    """One-to-one matches: invoice names ascending, each takes its best free PO name (ties: the smaller name).
 
-    def step(done: Column, c: Column) -> Column:
-        taken = F.exists(done, lambda d: (d["inv_item"] == c["inv_item"]) | (d["po_item"] == c["po_item"]))
-        return F.when(taken, done).otherwise(F.array_append(done, F.struct(c["inv_item"].alias("inv_item"), c["po_item"].alias("po_item"), (-c["cost"]).alias("score"))))
+    One pass over the candidates in that order; what is held is the names taken of the pair at hand.
+    """
 
-    folded = candidates.groupBy("pair_id").agg(best_first.alias("c")).select("pair_id", F.explode(F.aggregate("c", start, step)).alias("m"))
-    return folded.select("pair_id", "m.inv_item", "m.po_item", "m.score")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, last, taken = None, None, set()
+        for batch in batches:
+            keep = []
+            for p, a, b in zip(*(batch.column(c).to_pylist() for c in ("pair_id", "inv_item", "po_item"))):
+                if p != pair:
+                    pair, last, taken = p, None, set()
+                free = a != last and b not in taken
+                if free:
+                    last = a
+                    taken.add(b)
+                keep.append(free)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    rows = candidates.select("pair_id", "inv_item", "po_item", "score")
+    return rows.repartition("pair_id").sortWithinPartitions("pair_id", "inv_item", F.desc("score"), "po_item").mapInArrow(run, rows.schema)
+
+
+def _matched_rows(rest: DataFrame, threshold: float, scorer: str) -> DataFrame:
+    """One row for each pair: the unmatched groups of both sides as arrays a and b by name, and m: the numbers of those that match, one to one."""
+    group = lambda p: F.struct("item", *(F.col(f"{p}_{c}") for c in ("qty", "has_qty", "price", "entry_count")))
+    side = lambda p, s: F.array_sort(F.collect_list(F.when(F.col("section") == s, group(p))))
+    pairs = rest.groupBy("pair_id").agg(side("inv", "invoice_only").alias("a"), side("po", "po_only").alias("b"))
+    names = lambda c: _keys(F.transform(c, lambda x: x["item"]))
+    found = like_names(threshold, scorer, greedy=True)(names(F.col("a")), names(F.col("b")))
+    return pairs.withColumn("m", found)
 
 
 def compare_values(matched: DataFrame, tolerance: float = PRICE_TOLERANCE) -> DataFrame:
@@ -129,7 +183,7 @@ def _flat(groups: DataFrame, section: str, kind: str, field: str, issue: str) ->
     return groups.select(
         "pair_id", "item", F.lit(section).alias("section"), F.lit(kind).alias("type"), F.lit(field).alias("field"), F.lit(0).alias("field_rank"),
         F.lit(None).cast("double").alias("invoice_num"), F.lit(None).cast("double").alias("po_num"), F.lit(None).cast("double").alias("difference"),
-        F.lit(issue).alias("issue"), F.lit(False).alias("review_required"),
+        F.lit(issue).alias("issue"), F.lit(False).alias("review_required"), F.col("entry_count").cast("long").alias("entry_count"),
     )
 
 
@@ -137,7 +191,13 @@ def missing_items(aligned: DataFrame, matches: DataFrame) -> DataFrame:
     """Names of one side that neither an exact nor a fuzzy match has."""
     inv = aligned.where("section = 'invoice_only'").join(matches.select("pair_id", F.col("inv_item").alias("item")), ["pair_id", "item"], "left_anti")
     po = aligned.where("section = 'po_only'").join(matches.select("pair_id", F.col("po_item").alias("item")), ["pair_id", "item"], "left_anti")
-    return _flat(po, "5_po_only", "missing_in_invoice", "item", "missing in invoice").unionByName(_flat(inv, "6_invoice_only", "missing_in_po", "item", "missing in PO"))
+    return _missing(po.withColumn("entry_count", F.col("po_entry_count")), "po").unionByName(_missing(inv.withColumn("entry_count", F.col("inv_entry_count")), "invoice"))
+
+
+def _missing(groups: DataFrame, side: str) -> DataFrame:
+    if side == "po":
+        return _flat(groups, "5_po_only", "missing_in_invoice", "item", "missing in invoice")
+    return _flat(groups, "6_invoice_only", "missing_in_po", "item", "missing in PO")
 
 
 def duplicate_items(groups: DataFrame, side: str) -> DataFrame:
@@ -160,12 +220,31 @@ def matched_pairs(aligned: DataFrame, matches: DataFrame) -> DataFrame:
     return exact.unionByName(fuzzy.withColumn("item", F.col("inv_item")).withColumn("section", F.lit("4_fuzzy")).drop("inv_item", "po_item"))
 
 
+def discrepancies_of(aligned: DataFrame, tolerance: float = PRICE_TOLERANCE, threshold: float = ITEM_MATCH_THRESHOLD, scorer: str = "token_set") -> DataFrame:
+    """All discrepancy rows of aligned groups. Order them by section, item, field_rank within a pair.
+
+    What one side only has meets on one row for each pair, where it is matched, compared and told missing; nothing is joined back.
+    """
+    pairs = _matched_rows(aligned.where("section <> 'exact'"), threshold, scorer)
+    side = lambda x, p: [x[f"{p}_{c}"].alias(f"{p}_{c}") for c in ("qty", "has_qty", "price", "entry_count")]
+    both = F.transform("m", lambda m: let(F.struct(F.get("a", m["a"]).alias("x"), F.get("b", m["b"]).alias("y")), lambda t: F.struct(t["x"]["item"].alias("item"), *side(t["x"], "inv"), *side(t["y"], "po"))))
+    fuzzy = pairs.where(F.size("m") > 0).select("pair_id", F.explode(both).alias("t")).select("pair_id", "t.*", F.lit("4_fuzzy").alias("section"))
+    exact = aligned.where("section = 'exact'").withColumn("section", F.lit("3_exact"))
+    values = value_discrepancies(compare_values(exact.unionByName(fuzzy), tolerance))
+
+    def left(c: str, p: str) -> DataFrame:
+        taken = F.transform("m", lambda m: m[c])
+        rows = pairs.select("pair_id", F.explode(F.filter(c, lambda x, i: ~F.array_contains(taken, i))).alias("x"))
+        return rows.select("pair_id", "x.item", F.col(f"x.{p}_entry_count").alias("entry_count"))
+
+    twice = lambda p, name: duplicate_items(aligned.where(f"{p}_entry_count > 1").select("pair_id", "item", F.lit(True).alias("has_duplicate"), F.col(f"{p}_entry_count").alias("entry_count")), name)
+    none = F.lit(None).cast("long").alias("entry_count")
+    return twice("inv", "invoice").unionByName(twice("po", "po")).unionByName(values.select("*", none)).unionByName(_missing(left("b", "po"), "po")).unionByName(_missing(left("a", "inv"), "invoice"))
+
+
 def discrepancies(invoice: DataFrame, po: DataFrame, tolerance: float = PRICE_TOLERANCE, threshold: float = ITEM_MATCH_THRESHOLD, scorer: str = "token_set") -> DataFrame:
-    """All discrepancy rows of grouped sides. Order them by section, item, field_rank within a pair."""
-    aligned = align_exact(invoice, po)
-    matches = fuzzy_matches(aligned, threshold, scorer)
-    values = value_discrepancies(compare_values(matched_pairs(aligned, matches), tolerance))
-    return duplicate_items(invoice, "invoice").unionByName(duplicate_items(po, "po")).unionByName(values).unionByName(missing_items(aligned, matches))
+    """All discrepancy rows of grouped sides."""
+    return discrepancies_of(align_exact(invoice, po), tolerance, threshold, scorer)
 
 
 def summarize_pairs(pairs: DataFrame, found: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import analytics as A
 from ..operators import evaluate as E
 from ..streaming import jobs
+from ..sources.tables import shared_folder
 from . import inputs
 from . import reconcile_queries as Q
 from .registry import query, with_ctes
@@ -168,7 +169,7 @@ def accuracy_summary(spark, sf_dir):
 @query("s1_verify_stream", with_ctes(Q.SUMMARY_CTES, "SELECT pair_id, discrepancies, total_difference, status FROM summary"))
 def verify_stream(spark, sf_dir):
     """Invoices arrive as files, one row for each pair; each micro-batch is verified and its results written under its number."""
-    top = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir') + '/ledgerline-scratch'}/stream-{uuid.uuid4().hex}"
+    top = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     entry = F.struct("line_no", "item", F.col("qty").cast("double").alias("qty"), F.col("price").cast("double").alias("price"))
     items = inputs.invoice_items(spark, sf_dir).groupBy("pair_id").agg(F.collect_list(entry).alias("items"))
     inputs.pairs(spark, sf_dir).select("pair_id").join(items, "pair_id", "left").write.parquet(f"{top}/in")

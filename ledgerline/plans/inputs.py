@@ -46,6 +46,40 @@ def raw_invoice_items(po: DataFrame) -> DataFrame:
     )
 
 
+def readable_invoice_items(po: DataFrame) -> DataFrame:
+    """Noise that leaves the text of a line readable: lines dropped, amounts off, names misread, by the key k."""
+    k, qty, price = F.col("k"), F.col("qty"), F.col("price")
+    return po.where(k != 0).select(
+        "pair_id",
+        "line_no",
+        F.when(k == 5, F.replace(F.replace("item", F.lit("hot"), F.lit("h0t")), F.lit("rod"), F.lit("r0d"))).otherwise(F.col("item")).alias("item"),
+        F.when(k == 1, qty + 12).when(k == 2, qty + 1).otherwise(qty).alias("qty"),
+        F.when(k == 3, price + 1000).when(k == 4, price + 9).otherwise(price).alias("price"),
+        "total",
+    )
+
+
+HEADING = "Sr No | Item | Qty | Rate | Amount"
+
+
+def written_orders(items: DataFrame) -> DataFrame:
+    """doc_id and text of orders: pair_id, line_no, item, qty, price and total, in one of three styles by the order's number.
+
+    The total stands under the words that the cleaner leaves on one line; of "Grand Total:" it makes two.
+    """
+    cell = lambda c: F.col(c).cast("string")
+    style = F.col("pair_id") % 3
+    line = (
+        F.when(style == 0, F.concat_ws(" | ", cell("line_no"), "item", cell("qty"), cell("price"), cell("total")))
+        .when(style == 1, F.concat_ws(" ", "item", F.lit("qty"), cell("qty"), F.lit("price"), cell("price")))
+        .otherwise(F.concat_ws(" ", "item", cell("qty"), cell("price"), cell("total")))
+    )
+    docs = items.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("line_no", line.alias("l")))).alias("ls"), F.round(F.sum("total"), 2).alias("sum"))
+    head = F.when(style == 0, HEADING + "\n").otherwise("")
+    body = F.array_join(F.transform("ls", lambda x: x["l"]), "\n")
+    return docs.select(F.col("pair_id").alias("doc_id"), F.concat(head, body, F.lit("\nTotal Amount: "), F.col("sum").cast("decimal(18,2)").cast("string")).alias("text"))
+
+
 def repaired(items: DataFrame) -> DataFrame:
     """Items with their amounts made consistent, and the marks of what was done."""
     fixed = items.withColumn("m", reconcile_math(F.col("qty"), F.col("price"), F.col("tax"), F.col("total")))

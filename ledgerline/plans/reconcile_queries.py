@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import reconcile as R
+from ..operators.verify import verify_texts
 from ..functions.scalars import difference, is_trailing_drift
 from ..sources import files
 from . import inputs
@@ -114,26 +115,26 @@ compared AS (
     WHEN {drift_sql('inv_price', 'po_price')} THEN CASE WHEN abs(inv_price - po_price) <= 1 OR abs(inv_price - po_price) / greatest(inv_price, po_price) < 0.01 THEN 'suppressed' ELSE 'review' END
     ELSE 'mismatch' END AS price_check FROM compared_q)"""
 MISSING = """missing AS (
-  SELECT pair_id, item, '5_po_only' AS section, 'missing_in_invoice' AS type, 'missing in invoice' AS issue FROM aligned a
+  SELECT pair_id, item, '5_po_only' AS section, 'missing_in_invoice' AS type, 'missing in invoice' AS issue, po_entry_count AS entry_count FROM aligned a
   WHERE section = 'po_only' AND NOT EXISTS (FROM matches m WHERE m.pair_id = a.pair_id AND m.po_item = a.item)
   UNION ALL
-  SELECT pair_id, item, '6_invoice_only', 'missing_in_po', 'missing in PO' FROM aligned a
+  SELECT pair_id, item, '6_invoice_only', 'missing_in_po', 'missing in PO', inv_entry_count FROM aligned a
   WHERE section = 'invoice_only' AND NOT EXISTS (FROM matches m WHERE m.pair_id = a.pair_id AND m.inv_item = a.item))"""
 DUPLICATES = """duplicates AS (
-  SELECT pair_id, item, '1_dup_invoice' AS section, 'duplicate_item' AS type, 'duplicate item in invoice' AS issue FROM gi WHERE entry_count > 1
-  UNION ALL SELECT pair_id, item, '2_dup_po', 'duplicate_item', 'duplicate item in po' FROM gp WHERE entry_count > 1)"""
+  SELECT pair_id, item, '1_dup_invoice' AS section, 'duplicate_item' AS type, 'duplicate item in invoice' AS issue, entry_count FROM gi WHERE entry_count > 1
+  UNION ALL SELECT pair_id, item, '2_dup_po', 'duplicate_item', 'duplicate item in po', entry_count FROM gp WHERE entry_count > 1)"""
 
 
 def _values(field: str, rank: int, name: str) -> str:
     return f"""SELECT pair_id, item, section, '{field}_mismatch' AS type, '{field}' AS field, {rank} AS field_rank, inv_{name} AS invoice_num, po_{name} AS po_num,
-    round(abs(inv_{name} - po_{name}), 2) AS difference, '{field} mismatch' || CASE WHEN {name}_check = 'review' THEN ' (probable OCR noise)' ELSE '' END AS issue, {name}_check = 'review' AS review_required
+    round(abs(inv_{name} - po_{name}), 2) AS difference, '{field} mismatch' || CASE WHEN {name}_check = 'review' THEN ' (probable OCR noise)' ELSE '' END AS issue, {name}_check = 'review' AS review_required, NULL::BIGINT AS entry_count
   FROM compared WHERE {name}_check IN ('review', 'mismatch')"""
 
 
 FOUND = f"""found AS (
   {_values('quantity', 0, 'qty')}
   UNION ALL {_values('price', 1, 'price')}
-  UNION ALL SELECT pair_id, item, section, type, 'item', 0, NULL, NULL, NULL, issue, false FROM (FROM missing UNION ALL FROM duplicates))"""
+  UNION ALL SELECT pair_id, item, section, type, 'item', 0, NULL, NULL, NULL, issue, false, entry_count FROM (FROM missing UNION ALL FROM duplicates))"""
 PAIRS = """pairs AS (
   SELECT o_orderkey AS pair_id, o_orderdate AS ts, s_name AS vendor
   FROM orders JOIN (SELECT l_orderkey, min(l_suppkey) AS s FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey LEFT JOIN supplier ON s = s_suppkey)"""
@@ -169,11 +170,11 @@ def grouped(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.align_exact(*grouped(spark, sf_dir))
+    return R.align_items(inputs.invoice_items(spark, sf_dir), inputs.marked_po_items(spark, sf_dir))
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.discrepancies(*grouped(spark, sf_dir))
+    return R.discrepancies_of(aligned(spark, sf_dir))
 
 
 def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,16 +245,16 @@ def price_check(spark, sf_dir):
     return _compared(spark, sf_dir).select("pair_id", "item", "section", "inv_price", "po_price", "price_check")
 
 
-@query("f8_missing_items", with_ctes([*_ASSIGNED, MISSING], "SELECT pair_id, item, section, type, issue FROM missing"))
+@query("f8_missing_items", with_ctes([*_ASSIGNED, MISSING], "SELECT pair_id, item, section, type, issue, entry_count FROM missing"))
 def missing_items(spark, sf_dir):
     a = aligned(spark, sf_dir)
-    return R.missing_items(a, R.fuzzy_matches(a)).select("pair_id", "item", "section", "type", "issue")
+    return R.missing_items(a, R.fuzzy_matches(a)).select("pair_id", "item", "section", "type", "issue", "entry_count")
 
 
-@query("f9_duplicate_items", with_ctes([*_INPUT, _groups("gi", "inv"), _groups("gp", "po"), DUPLICATES], "SELECT pair_id, item, section, type, issue FROM duplicates"))
+@query("f9_duplicate_items", with_ctes([*_INPUT, _groups("gi", "inv"), _groups("gp", "po"), DUPLICATES], "SELECT pair_id, item, section, type, issue, entry_count FROM duplicates"))
 def duplicate_items(spark, sf_dir):
     inv, po = grouped(spark, sf_dir)
-    return R.duplicate_items(inv, "invoice").unionByName(R.duplicate_items(po, "po")).select("pair_id", "item", "section", "type", "issue")
+    return R.duplicate_items(inv, "invoice").unionByName(R.duplicate_items(po, "po")).select("pair_id", "item", "section", "type", "issue", "entry_count")
 
 
 @query("f10_discrepancies", with_ctes(FOUND_CTES, "SELECT * FROM found"))
@@ -313,3 +314,44 @@ def report_rows(spark, sf_dir):
 @query("a8_report_header", with_ctes(SUMMARY_CTES, "SELECT pair_id, status, discrepancies AS total_discrepancies, total_difference FROM summary"))
 def report_header(spark, sf_dir):
     return files.report_header(summary(spark, sf_dir))
+
+
+# --- from text to verdict ---------------------------------------------------------------------------------------------
+
+#: The lines as they stand in the texts of both sides: the invoice's with noise that leaves the text readable.
+NOISY = """noisy AS (
+  SELECT pair_id, line_no, CASE WHEN k = 5 THEN replace(replace(item, 'hot', 'h0t'), 'rod', 'r0d') ELSE item END AS item, CASE k WHEN 1 THEN qty + 12 WHEN 2 THEN qty + 1 ELSE qty END AS qty,
+    CASE k WHEN 3 THEN price + 1000 WHEN 4 THEN price + 9 ELSE price END AS price, total FROM po WHERE k <> 0)"""
+
+
+def _read(name: str, source: str) -> str:
+    """What the parser makes of the texts: a labelled order's totals are worked out, repeated rows of a document count once."""
+    total = f"CASE WHEN pair_id % 3 = 1 THEN {half_up('qty * price')} ELSE total END"
+    return f"""{name}_all AS (
+  SELECT *, row_number() OVER (PARTITION BY pair_id, item, qty, price, amount ORDER BY line_no) AS nth FROM (SELECT *, {total} AS amount FROM {source})),
+{name} AS (SELECT pair_id, line_no, item, qty, price, NULL::DOUBLE AS tax, amount AS total, false AS swapped, pair_id % 3 = 1 AS reconstructed FROM {name}_all WHERE nth = 1),
+{name}_score AS (
+  SELECT pair_id, round(CASE pair_id % 3 WHEN 0 THEN 0.98::DOUBLE WHEN 1 THEN 0.9::DOUBLE ELSE 0.72::DOUBLE END * 0.7::DOUBLE
+      + count(*) FILTER (nth = 1)::DOUBLE / (count(*) + (pair_id % 3 = 0)::INT) * 0.3::DOUBLE, 4) AS score FROM {name}_all GROUP BY pair_id)"""
+
+
+VERDICT = """verdict AS (
+  SELECT pair_id, discrepancies, summary, total_difference, status, concat_ws(',', CASE WHEN coalesce(i.score, 0) < 0.65 OR coalesce(p.score, 0) < 0.65 THEN 'POSSIBLE_COLUMN_SHIFT' END,
+      CASE WHEN pair_id % 3 = 1 THEN 'MATHEMATICAL_RECONSTRUCTION_USED' END, CASE WHEN flags LIKE '%LOW_MATCH%' THEN 'LOW_MATCH_CONFIDENCE' END) AS flags,
+    CASE WHEN i.pair_id IS NULL THEN 'Invoice parser returned no line items; continuing reconciliation with PO items only. invoice_failure_reason=' || CASE WHEN pair_id % 3 = 0 THEN 'qty missing' ELSE 'no rows found' END END AS warning
+  FROM summary JOIN flags USING (pair_id) LEFT JOIN inv_score i USING (pair_id) LEFT JOIN tpo_score p USING (pair_id))"""
+
+
+def _two_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pair_id, invoice_text and po_text. An invoice without lines has only its heading and total."""
+    po = inputs.po_items(spark, sf_dir)
+    texts = inputs.written_orders(inputs.readable_invoice_items(po)).withColumnRenamed("text", "invoice_text")
+    both = inputs.written_orders(po).withColumnRenamed("text", "po_text").join(texts, "doc_id", "left")
+    nothing = F.concat(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(inputs.HEADING), F.lit("\n"))).otherwise(""), F.lit("No position of this order has been invoiced"))
+    return both.select(F.col("doc_id").alias("pair_id"), F.coalesce("invoice_text", nothing).alias("invoice_text"), "po_text")
+
+
+@query("w1_text_to_verdict", with_ctes([PO, NOISY, _read("inv", "noisy"), _read("tpo", "po"), _groups("gi", "inv"), _groups("gp", "tpo"), ALIGNED, NEAR, SCORES, CANDS, GREEDY, MATCHED, COMPARED, MISSING, DUPLICATES, FOUND, PAIRS, SUMMARY, FLAGS, VERDICT], "SELECT *, NULL::VARCHAR AS error FROM verdict"))
+def text_to_verdict(spark, sf_dir):
+    out = verify_texts(_two_texts(spark, sf_dir))
+    return out.select("pair_id", "discrepancies", "summary", "total_difference", "status", F.array_join("confidence_flags", ",").alias("flags"), "error", "warning")

@@ -78,7 +78,7 @@ placed AS (
     (i * 7 + row_no) % 23 <> 0 AS has_box, i * 40.0::DOUBLE AS x_left, row_no * 30.0::DOUBLE + i % 3 + (5 + i % 5) AS y, (10 + (i % 5) * 2)::DOUBLE AS height
   FROM words),
 entries AS (SELECT * FROM placed WHERE text <> '')""", """limits AS (
-  SELECT doc_id, page_number, coalesce(greatest(8.0::DOUBLE, least(40.0::DOUBLE, 0.6::DOUBLE * h[len(h) // 2 + 1])), 15.0::DOUBLE) AS threshold
+  SELECT doc_id, page_number, CASE WHEN len(h) > 0 THEN greatest(8.0::DOUBLE, least(40.0::DOUBLE, 0.6::DOUBLE * h[len(h) // 2 + 1])) ELSE 15.0::DOUBLE END AS threshold
   FROM (SELECT doc_id, page_number, list(height ORDER BY height) FILTER (has_box) AS h FROM entries GROUP BY ALL))"""]
 CLUSTERS = """ordered AS (
   SELECT *, lag(y) OVER o AS before, row_number() OVER o AS place FROM entries JOIN limits USING (doc_id, page_number) WHERE has_box
@@ -305,26 +305,8 @@ def totals(spark, sf_dir):
 # --- whole documents: orders written as tables, with labels, or as names with trailing amounts -----------------------------
 
 
-def _written(items: DataFrame) -> DataFrame:
-    """doc_id and text of orders: pair_id, line_no, item, qty, price and total, in one of three styles by the order's number.
-
-    The total stands under the words that the cleaner leaves on one line; of "Grand Total:" it makes two.
-    """
-    cell = lambda c: F.col(c).cast("string")
-    style = F.col("pair_id") % 3
-    line = (
-        F.when(style == 0, F.concat_ws(" | ", cell("line_no"), "item", cell("qty"), cell("price"), cell("total")))
-        .when(style == 1, F.concat_ws(" ", "item", F.lit("qty"), cell("qty"), F.lit("price"), cell("price")))
-        .otherwise(F.concat_ws(" ", "item", cell("qty"), cell("price"), cell("total")))
-    )
-    docs = items.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("line_no", line.alias("l")))).alias("ls"), F.round(F.sum("total"), 2).alias("sum"))
-    head = F.when(style == 0, "Sr No | Item | Qty | Rate | Amount\n").otherwise("")
-    body = F.array_join(F.transform("ls", lambda x: x["l"]), "\n")
-    return docs.select(F.col("pair_id").alias("doc_id"), F.concat(head, body, F.lit("\nTotal Amount: "), F.col("sum").cast("decimal(18,2)").cast("string")).alias("text"))
-
-
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.parse_lines(L.split_lines(_written(_items(spark, sf_dir))))
+    return L.parse_lines(L.split_lines(inputs.written_orders(_items(spark, sf_dir))))
 
 
 #: What the readers make of the written orders: the table's amounts as they stand, a total worked out where none is written.
@@ -381,7 +363,7 @@ def skip_reasons(spark, sf_dir):
 
 @query("d18_structured_documents", with_ctes([Q.PO, READ, ONCE, STRUCTURED, "sums AS (SELECT pair_id AS doc_id, round(sum(total), 2) AS total_amount FROM po GROUP BY 1)"], "SELECT *, NULL::VARCHAR AS failure_reason, true AS parse_success FROM structured JOIN sums USING (doc_id)"))
 def structured(spark, sf_dir):
-    docs = L.structured_documents(_written(_items(spark, sf_dir)))
+    docs = L.structured_documents(inputs.written_orders(_items(spark, sf_dir)))
     return docs.select("doc_id", "candidates", "items", "skipped", "score", F.col("totals")["total_amount"].alias("total_amount"), "failure_reason", "parse_success")
 
 
@@ -393,7 +375,7 @@ def prose_documents(spark, sf_dir):
 
 @query("a10_structured_json", with_ctes([Q.PO, READ, ONCE], """SELECT doc_id, to_json(list(item ORDER BY line_no)) AS names, to_json(list(qty ORDER BY line_no)) AS amounts FROM once WHERE nth = 1 GROUP BY doc_id"""))
 def structured_json(spark, sf_dir):
-    made = L.to_structured_json(L.structured_documents(_written(_items(spark, sf_dir))))
+    made = L.to_structured_json(L.structured_documents(inputs.written_orders(_items(spark, sf_dir))))
     back = F.from_json("structured_json", "line_items array<struct<item:string,qty:double>>")
     return made.select("doc_id", back["line_items"].alias("x")).select("doc_id", F.to_json("x.item").alias("names"), F.to_json("x.qty").alias("amounts"))
 

@@ -12,7 +12,7 @@ HISTORY = "id string, vendor string, status string, discrepancies int, time time
 
 
 def read_uploads(spark: SparkSession, path: str) -> DataFrame:
-    """path, length and content of each file."""
+    """path, length and content of each file; the source leaves out files of no bytes."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "content")
 
 
@@ -30,7 +30,7 @@ def gate_uploads(files: DataFrame, max_bytes: int = MAX_UPLOAD_BYTES) -> DataFra
         .when(~is_pdf & ~low.endswith(".txt"), "unsupported file type")
         .when(F.coalesce("length", F.lit(0)) == 0, "empty file")
         .when(F.col("length") > max_bytes, "file too large")
-        .when(is_pdf & (F.substring("content", 1, 4) != F.lit(b"%PDF")), "not a PDF")
+        .when(is_pdf & ~F.coalesce(F.substring("content", 1, 4) == F.lit(b"%PDF"), F.lit(False)), "not a PDF")
     )
     return files.withColumn("reject_reason", reason)
 
@@ -98,5 +98,5 @@ def failure_rows(failures: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def write_failures(rows: DataFrame, path: str) -> None:
-    """JSON by category; each category is dealt to few files."""
-    rows.repartition("category").write.partitionBy("category").mode("append").json(path)
+    """JSON by category. Rows stay in their tasks, which each write a file for a category they hold; merge tasks before, if they are small."""
+    rows.write.partitionBy("category").mode("append").json(path)
