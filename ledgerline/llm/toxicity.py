@@ -5,10 +5,16 @@ P(grade > k) = sigmoid(w . x - t_k) with t_0 < t_1 < ..., and the score is the e
 these probabilities. x holds log(1 + count) of each vocabulary word and is never scaled by length, so a long
 text with the same words stays as severe.
 
-Training takes a bounded sample of labelled rows (``sample`` of each class at most, by a hash of the id). Labels
-only say toxic or not; the grade of a toxic row is taken from how many telling words it has, by
-``grade_cuts``. Telling words are those whose share of toxic rows, seen against the other rows, is far
-above chance; at most ``vocabulary`` of them become features.
+Training takes a bounded sample of labelled rows (``sample`` of each class at most, those with the least hashes). Telling
+words are those whose share of toxic rows, seen against the other rows, is far above chance; at most ``vocabulary`` of
+them become features.
+
+Labels only say toxic or not, so the order of the toxic rows comes from evidence that a model does not see: the telling
+words are dealt to two views by a hash. The weights of one view's words are fitted to grades that the other view's words give, toxic
+rows being ranked by how many of these they have and cut into ``grades`` equal parts. A word so gets its severity from the
+company it keeps, not from its own count. That and what the labels alone tell make one score, which all thresholds share: its scale is fitted to
+the labels, the first threshold is where at most ``false_alarms`` of the other rows pass, and the next ones part the toxic
+rows behind it into equal parts.
 
 Null and empty texts have no features and get the severity of the thresholds alone (close to 0).
 Labels that are null, or whose doc_id is null or not among the documents, are not used. With no label of one
@@ -23,12 +29,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import id_and_text, map_texts
 
-SAMPLE, VOCABULARY, GRADE_CUTS = 1_500, 2_000, (3, 6)
+SAMPLE, VOCABULARY, GRADES, FALSE_ALARMS = 1_500, 2_000, 3, 0.003
 #: Lower-cases A-Z and makes every other ASCII character but digits a blank.
 _LOWER_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
 
@@ -56,9 +64,8 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, k: int, ridge: float = 0.02, s
     """Weights and increasing thresholds by maximum likelihood with a ridge, full-batch Adam."""
     n, d = x.shape
     weights = np.zeros(d)
-    cuts = np.concatenate([[1.0], np.zeros(k - 2)])  # first threshold, then logs of the gaps
+    cuts = np.concatenate([[1.0], np.zeros(max(0, k - 2))])  # first threshold, then logs of the gaps
     m, v = np.zeros(d + k - 1), np.zeros(d + k - 1)
-    at_most = np.concatenate([[-np.inf], np.arange(k - 1), [np.inf]])  # noqa: F841
     for step in range(1, steps + 1):
         t = np.cumsum(np.concatenate([cuts[:1], np.exp(cuts[1:])]))
         s = x @ weights
@@ -81,8 +88,15 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, k: int, ridge: float = 0.02, s
     return weights, np.cumsum(np.concatenate([cuts[:1], np.exp(cuts[1:])]))
 
 
-def fit_rows(rows: list[tuple[bytes, int]], vocabulary: int = VOCABULARY, grade_cuts: tuple[int, ...] = GRADE_CUTS) -> OrdinalModel:
-    k = len(grade_cuts) + 2
+def ranked(evidence: np.ndarray, parts: int) -> np.ndarray:
+    """Grades 1 to ``parts`` by rank, equal parts; equal evidence has one grade, that of its middle rank."""
+    order = np.sort(evidence)
+    middle = (np.searchsorted(order, evidence, "left") + np.searchsorted(order, evidence, "right")) / (2 * max(1, len(order)))
+    return 1 + np.minimum(parts - 1, (middle * parts).astype(np.int64))
+
+
+def fit_rows(rows: list[tuple[bytes, int]], vocabulary: int = VOCABULARY, grades: int = GRADES, false_alarms: float = FALSE_ALARMS) -> OrdinalModel:
+    k = grades + 1
     rows = list({hash(t): (t, y) for t, y in rows}.values())  # copies of one text count once
     counts = [Counter(words_of(t)) for t, _ in rows]
     y = np.array([y for _, y in rows])
@@ -103,26 +117,40 @@ def fit_rows(rows: list[tuple[bytes, int]], vocabulary: int = VOCABULARY, grade_
     names = sorted(telling, key=lambda w: (-telling[w], w))[:vocabulary]
     column = {w: j for j, w in enumerate(names)}
     x = np.zeros((len(rows), len(names)))
-    grade = np.zeros(len(rows), dtype=np.int64)
+    hits = np.zeros((len(rows), 2))
+    view = {w: xxhash.xxh3_64_intdigest(w) & 1 for w in names}
     for i, c in enumerate(counts):
-        hits = 0
         for w in c.keys() & column.keys():
             x[i, column[w]] = math.log1p(c[w])
-            hits += c[w]
-        grade[i] = 1 + sum(hits >= g for g in grade_cuts) if y[i] else 0
-    weights, thresholds = fit_ordinal(x, grade, k)
-    return OrdinalModel({w: float(weights[j]) for w, j in column.items()}, [float(t) for t in thresholds])
+            hits[i, view[w]] += c[w]
+    bad_rows, of = y == 1, np.array([view[w] for w in names])
+    weights = fit_ordinal(x, bad_rows.astype(np.int64), 2)[0]
+    for v in (0, 1):
+        grade = np.zeros(len(rows), dtype=np.int64)
+        grade[bad_rows] = ranked(hits[bad_rows, 1 - v], grades)
+        weights[of == v] += np.maximum(0, fit_ordinal(x[:, of == v], grade, k)[0])
+    # the scale is fitted to the labels; the first threshold lets hardly any other row pass, the next ones part the toxic rows behind it
+    weights *= fit_ordinal((x @ weights)[:, None], bad_rows.astype(np.int64), 2, ridge=0.0)[0][0]
+    score = x @ weights
+    first = np.quantile(score[~bad_rows], 1 - false_alarms, method="higher") + 1e-3
+    over = score[bad_rows & (score > first)]
+    cuts = np.quantile(over, np.arange(1, grades) / grades) if len(over) else first + np.arange(1, grades)
+    thresholds = np.maximum.accumulate(np.concatenate([[first], cuts]) + 1e-6 * np.arange(grades))
+    return OrdinalModel({w: float(weights[j]) for w, j in column.items()}, thresholds.tolist())
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalModel:
-    """Fit on at most about ``sample`` labelled rows of each class, chosen by hash; texts of the sample go to the driver."""
-    marked = labels.where(F.col("toxic").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+    """Fit on at most ``sample`` labelled rows of each class, those with the least hashes; their texts go to the driver."""
+    marked = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     sizes = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
+    # four times the sample by the hash alone, of which the least hashes are taken: few rows are sorted, and the bound is sure
     chance = F.lit(0.0)
     for label, n in sizes.items():
-        chance = F.when(F.col("toxic") == label, F.lit(min(1.0, sample / n))).otherwise(chance)
-    chosen = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < chance * 1_000_003)
-    rows = id_and_text(docs).join(F.broadcast(chosen), "doc_id").select("text", "toxic").limit(4 * sample)
+        chance = F.when(F.col("toxic") == label, F.lit(min(1.0, 4 * sample / n))).otherwise(chance)
+    least = lambda df, *by: df.withColumn("_rank", F.row_number().over(Window.partitionBy("toxic").orderBy(*by))).where(F.col("_rank") <= sample).drop("_rank")
+    chosen = least(marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < chance * 1_000_003), F.xxhash64("doc_id"), "doc_id")
+    # at most two times ``sample`` rows are broadcast; a doc_id may stand for many rows, so the bound is applied again
+    rows = least(id_and_text(docs).join(F.broadcast(chosen), "doc_id"), F.xxhash64("doc_id", "text"), "text").select("text", "toxic")
     table = rows.toArrow()
     texts = [t or b"" for t in table.column("text").cast(pa.binary()).to_pylist()]
     return fit_rows(sorted(zip(texts, table.column("toxic").to_pylist())))
