@@ -4,26 +4,32 @@ Bytes are embedded; filters of several widths slide over a window of fixed lengt
 window goes through a softmax layer. A text is cut into all its windows, and its language is the one with
 the largest mean probability, weighted by the bytes of each window.
 
-Training takes a bounded sample of labelled rows: about ``SAMPLE`` rows for each language, by a hash of the id, and
-``PER_ROW`` windows of each at most. Prediction covers whole texts and looks at nothing but the text.
+Training takes a bounded sample of labelled rows, which the parameters of ``fit`` state: ``sample`` rows at most for each
+language, by a hash of id and text, ``per_row`` windows of each, spread over its whole text, and the ``languages`` most
+frequent languages. The windows are cut on the executors; the driver gets nothing else. Prediction covers whole texts and looks at
+nothing but the text.
 
 A null text, or one without letters, is ``und`` with score 0. Rows that repeat are predicted alike. With no
-labelled rows every text is ``und``.
+labelled rows every text is ``und``. A row without a doc_id is never held out (``held_out`` is false), and may be learned from. Texts are
+laid out as windows in groups of about ``GROUP_BYTES``, whatever their number and length.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import map_texts
+from .common import map_texts, text_batches
 
 WINDOW, WIDTHS, FILTERS, EMBED = 128, (2, 3, 4), 12, 8
-SAMPLE, PER_ROW, LANGUAGES = 250, 6, 200
+SAMPLE, PER_ROW, LANGUAGES = 250, 6, 1_000
+GROUP_BYTES = 1 << 20
 WIDEST = max(WIDTHS)
 UNKNOWN = "und"
 
@@ -69,7 +75,14 @@ def cut_windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return flat.reshape(-1, WINDOW), owner, np.minimum(WINDOW, n[owner] - number * WINDOW)
 
 
+def spread_windows(text: bytes, n: int) -> list[bytes]:
+    """At most ``n`` of the windows of a text, spread evenly over it."""
+    total = -(-len(text) // WINDOW)
+    return [text[WINDOW * k : WINDOW * (k + 1)] for k in sorted({i * total // n for i in range(n)} if total > n else range(total))]
+
+
 def train(rows: list[tuple[bytes, str]], epochs: int = 6, seed: int = 7) -> ByteNet | None:
+    """Fit on (window, language). Null where there is no language."""
     languages = sorted({lang for _, lang in rows})
     if not languages:
         return None
@@ -86,11 +99,8 @@ def train(rows: list[tuple[bytes, str]], epochs: int = 6, seed: int = 7) -> Byte
     )
     net.embed[256] = 0
     number = {lang: k for k, lang in enumerate(languages)}
-    x, owner, sizes = cut_windows([t for t, _ in rows])
-    place = np.arange(len(owner)) - np.searchsorted(owner, owner)
-    total = np.bincount(owner, minlength=len(rows))[owner]
-    pick = (place * PER_ROW // total != (place - 1) * PER_ROW // total) | (total <= PER_ROW)  # spread over the text
-    x, y = x[pick], np.array([number[rows[o][1]] for o in owner[pick]], dtype=np.int64)
+    rows = [(t, lang) for t, lang in rows if t]
+    x, y = cut_windows([t for t, _ in rows])[0], np.array([number[lang] for _, lang in rows], dtype=np.int64)
     # short windows too, so that short texts are known
     cutoff = rng.integers(6, 2 * WINDOW, len(x))
     x = np.where(np.arange(WINDOW)[None] < cutoff[:, None], x, 256)
@@ -144,24 +154,41 @@ def predict(net: ByteNet, texts: list[bytes], group: int = 512) -> tuple[np.ndar
 
 
 def held_out() -> Column:
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    """Whether crc32 of the doc_id as text leaves 2 over 4; false without a doc_id."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> ByteNet | None:
-    """Train on about ``sample`` rows of each language, none of them held out. A corpus may have up to LANGUAGES of them."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(), F.lit(False))).select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    sizes = rows.groupBy("lang").count().limit(LANGUAGES + 1).collect()
-    if len(sizes) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+def fit(docs: DataFrame, sample: int = SAMPLE, per_row: int = PER_ROW, languages: int = LANGUAGES) -> ByteNet | None:
+    """Train on at most ``sample`` rows of each of the ``languages`` most frequent languages, none of them held out."""
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
+    rows = labelled.select(F.col("lang").cast("string").alias("_lang"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("_h"))
+    sizes = rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(languages).collect()
     if not sizes:
         return None
-    chance = F.lit(0.0)
-    for r in sizes:
-        chance = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, sample / r["count"]))).otherwise(chance)
-    # a row's bytes are bounded too: windows are taken from at most 64 Ki characters of a sampled row
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < chance * 1_000_003).select("doc_id", "lang", F.substring("text", 1, 65_536).alias("text")).limit(2 * sample * len(sizes))
-    table = chosen.orderBy("doc_id", "text").drop("doc_id").toArrow()
-    return train(list(zip(table.column("text").cast(pa.binary()).to_pylist(), table.column("lang").to_pylist())))
+    # four times the sample by the hash alone, of which the least hashes are taken: few rows are sorted, and the bound is sure
+    chance = F.create_map(*(x for r in sizes for x in (F.lit(r["_lang"]), F.lit(min(1.0, 4 * sample / r["count"])))))[F.col("_lang")]
+    some = rows.where(F.pmod(F.col("_h"), F.lit(1_000_003)) < chance * 1_000_003)
+    least = some.withColumn("_rank", F.row_number().over(Window.partitionBy("_lang").orderBy("_h"))).where(F.col("_rank") <= sample)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [(w, lang) for t, lang in zip(text_batches(batch), batch.column("_lang").to_pylist()) for w in spread_windows(t, per_row)]
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in made], pa.binary()), pa.array([x for _, x in made], pa.string())], names=["window", "lang"])
+
+    table = least.select("text", "_lang").mapInArrow(cut, "window binary, lang string").toArrow()
+    return train(sorted(zip(table.column("window").to_pylist(), table.column("lang").to_pylist())))
+
+
+def in_groups(texts: list[bytes], most: int = GROUP_BYTES) -> Iterator[slice]:
+    """Slices of a list of texts of about ``most`` bytes each; a longer text is one by itself."""
+    start = size = 0
+    for k, t in enumerate(texts):
+        if k > start and size + len(t) > most:
+            yield slice(start, k)
+            start, size = k, 0
+        size += len(t)
+    if start < len(texts):
+        yield slice(start, len(texts))
 
 
 def label_texts(net: ByteNet | None, texts: list[bytes], letters: list[bool]) -> tuple[list[str], list[float]]:
@@ -181,8 +208,7 @@ def identify(docs: DataFrame, net: ByteNet | None) -> DataFrame:
 
     def work(texts: list[bytes]) -> dict:
         out: dict = {"lang_pred": [], "score": []}
-        for k in range(0, len(texts), 100):
-            some = texts[k : k + 100]
+        for some in map(texts.__getitem__, in_groups(texts)):
             langs, scores = label_texts(bound.value, some, [has_letters(t) for t in some])
             out["lang_pred"] += langs
             out["score"] += scores
