@@ -4,12 +4,14 @@ A text's terms are its words and its pairs of neighbouring words, pairs counting
 1 + log(count). Every term has a 128-bit hash; each bit of the fingerprint is the sign of the weighted votes of
 that bit. ``likeness`` turns the share of differing bits into the cosine it estimates, 0 at the least.
 
-``near_pairs`` finds all fingerprints within a radius by permuted block tables: with radius + 1 (or more) blocks, two fingerprints
-within the radius agree in the block left untouched, so each table brings one block to the front as its key.
+``within`` finds, for a stated set of query documents, how many others have a fingerprint within a radius, by permuted block
+tables: with radius + 1 blocks, two fingerprints within the radius agree in a block, so there is a table for each block that has it
+as its key. Equal fingerprints go into the tables once with their number. The rows of a key are compared with its queries in parts of
+bounded size, and only counts go out; a pair counts in the first table in which it meets.
 
 Null and empty texts have the fingerprint of no votes (all bits 0), and likeness 1 to each other. The next
 document of the last is the first; a single document follows itself. Rows with equal doc_id follow each other in the
-order of their texts; rows with null doc_id come first.
+order of their texts; rows with null doc_id come first and are no queries. A long text takes memory in proportion to its words.
 """
 
 from __future__ import annotations
@@ -23,10 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, text_batches
+from .common import id_and_text, text_batches, written
 from .hashing import grams, hash_words, mix
 
 BITS = 128
+#: Radius of the search, and which rows are its queries: those whose doc_id this number divides.
+RADIUS, QUERIES_EACH = 3, 50
+#: Rows of a key of a block table that meet its queries at once.
+PART = 4_096
 _ROW = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -53,38 +59,42 @@ def as_text(f: int) -> str:
 
 
 def likeness(a: int, b: int) -> float:
-    return max(0.0, math.cos(math.pi * (a ^ b).bit_count() / BITS))
+    return round(max(0.0, math.cos(math.pi * (a ^ b).bit_count() / BITS)), 12)
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """Texts dealt to ascending ranges of doc_id, with the first text of the next range at the end of each.
 
-    ``bucket`` numbers the ranges; ``extra`` marks the row that only serves as the next one. Range limits
-    are quantiles of doc_id; the first ids of the ranges, one for each range, pass through the driver.
+    ``bucket`` numbers the ranges, null ids first, several for each shuffle partition so that these get even shares; ``extra`` marks
+    the row that only serves as the next one. Range limits are quantiles of doc_id; these and the first ids of the ranges pass
+    through the driver, a few for each shuffle partition.
     """
     docs = id_and_text(docs)
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    limits = docs.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n) if n > 1 else []
-    limits = sorted({int(x) for x in limits})
-    bucket = F.lit(0)
-    if limits:
-        array = F.array(*(F.lit(x).cast("long") for x in limits))
-        # the number of limits at or below the id; null ids come first
-        bucket = F.coalesce(F.size(F.filter(array, lambda x: x <= F.col("doc_id"))), F.lit(0))
-    placed = docs.withColumn("bucket", bucket)
-    firsts = {r["bucket"]: (r["has_null"], r["first"]) for r in placed.groupBy("bucket").agg(F.min("doc_id").alias("first"), F.max(F.col("doc_id").isNull()).alias("has_null")).collect()}
+    n = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    limits = np.unique(np.array(docs.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n), dtype=np.int64))
+
+    def bucket_of(ids: pa.Array) -> np.ndarray:
+        at = np.searchsorted(limits, ids.fill_null(0).to_numpy(), side="right")
+        return np.where(ids.is_null().to_numpy(zero_copy_only=False), -1, at)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(bucket_of(batch.column(0))), batch.column(0)], names=["bucket", "doc_id"])
+
+    firsts = {r["bucket"]: r["first"] for r in docs.select("doc_id").mapInArrow(count, "bucket long, doc_id long").groupBy("bucket").agg(F.min("doc_id").alias("first")).collect()}
     order = sorted(firsts)
-    if not order:
-        return placed.withColumn("extra", F.lit(0))
-    extra = F.array().cast("array<int>")
-    for k, b in enumerate(order):
-        before = order[k - 1] if k else order[-1]
-        has_null, first = firsts[b]
-        is_first = F.col("doc_id").isNull() if has_null else F.col("doc_id") == first
-        extra = F.when((F.col("bucket") == b) & is_first, F.array(F.lit(before))).otherwise(extra)
-    both = placed.withColumn("to", F.explode(F.concat(F.array(F.struct(F.col("bucket"), F.lit(0).alias("extra"))), F.transform(extra, lambda x: F.struct(x.alias("bucket"), F.lit(1).alias("extra"))))))
-    return both.select("doc_id", "text", "to.bucket", "to.extra")
+    before = {b: order[k - 1] for k, b in enumerate(order)}  # the last one comes before the first
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buckets = bucket_of(batch.column("doc_id"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(buckets), pa.array(np.zeros(len(buckets), dtype=np.int32))], names=["doc_id", "text", "bucket", "extra"])
+            first = [k for k, (i, b) in enumerate(zip(batch.column("doc_id").to_pylist(), buckets.tolist())) if firsts[b] == i]
+            if first:
+                some = batch.take(pa.array(first))
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array([before[b] for b in buckets[first].tolist()], type=pa.int64()), pa.array(np.ones(len(first), dtype=np.int32))], names=["doc_id", "text", "bucket", "extra"])
+
+    return docs.mapInArrow(place, "doc_id long, text string, bucket long, extra int")
 
 
 def edited(text: str, after: str) -> str:
@@ -135,22 +145,76 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, _ROW)
 
 
-def near_pairs(marks: DataFrame, radius: int, blocks: int | None = None) -> DataFrame:
-    """(a, b, distance): all pairs of distinct fingerprints within ``radius`` bits. ``marks`` has the column fingerprint.
+def _halves(marks: list[str]) -> np.ndarray:
+    """Fingerprints as rows of two 64-bit numbers."""
+    return np.frombuffer(bytes.fromhex("".join(marks)), dtype=">u8").reshape(-1, BITS // 64)
 
-    Equal fingerprints count as one; a caller joins its rows to them. Each pair comes from the first table in which it
-    meets, so none comes twice.
+
+def within(marks: DataFrame, queries: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(doc_id, fingerprint, n_near): for each row of ``queries`` the number of other rows of ``marks`` within ``radius`` bits.
+
+    Both have doc_id and fingerprint; the queries are among the marks.
     """
-    blocks = blocks or radius + 1
-    if blocks <= radius:
-        raise ValueError("the guarantee needs more blocks than the radius")
-    edges = [round(i * BITS / blocks) for i in range(blocks + 1)]
-    binary = F.concat(*(F.lpad(F.conv(F.substring("fingerprint", 1 + 8 * i, 8), 16, 2), 32, "0") for i in range(BITS // 32)))
-    distinct = marks.select("fingerprint").distinct().withColumn("bits", binary)
-    parts = F.array(*(F.substring(F.col("bits"), edges[i] + 1, edges[i + 1] - edges[i]) for i in range(blocks)))
-    tables = distinct.withColumn("parts", parts).select("fingerprint", "parts", F.posexplode("parts").alias("block", "key"))
-    a, b = tables.alias("a"), tables.alias("b")
-    met = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.fingerprint") < F.col("b.fingerprint")))
-    first = F.array_position(F.zip_with("a.parts", "b.parts", lambda x, y: x == y), True) - 1
-    apart = sum(F.bit_count(F.conv(F.substring("a.fingerprint", 1 + 8 * i, 8), 16, 10).cast("long").bitwiseXOR(F.conv(F.substring("b.fingerprint", 1 + 8 * i, 8), 16, 10).cast("long"))) for i in range(BITS // 32))
-    return met.where(first == F.col("a.block")).select(F.col("a.fingerprint").alias("a"), F.col("b.fingerprint").alias("b"), apart.alias("distance")).where(F.col("distance") <= radius)
+    edges = [round(i * BITS / (radius + 1)) for i in range(radius + 2)]
+    masks = [_mask(a, b) for a, b in zip(edges, edges[1:])]
+    counted = marks.groupBy("fingerprint").agg(F.count("*").alias("n"))
+    asked = queries.select(F.col("fingerprint")).distinct()
+
+    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = batch.column("fingerprint")
+            bits = np.unpackbits(np.frombuffer(bytes.fromhex("".join(prints.to_pylist())), dtype=np.uint8).reshape(-1, BITS // 8), axis=1)
+            for t, (a, b) in enumerate(zip(edges, edges[1:])):
+                keys = [bytes([t]) + x.tobytes() for x in np.packbits(bits[:, a:b], axis=1)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), prints, batch.column("n")], names=["key", "fingerprint", "n"])
+
+    rows = counted.mapInArrow(tables, "key binary, fingerprint string, n long")
+    asks = asked.withColumn("n", F.lit(0).cast("long")).mapInArrow(tables, "key binary, fingerprint string, n long")
+    parts = rows.join(asks.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    mine = rows.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("fingerprint"), F.col("parts")).cast("int")).drop("parts")
+    every = asks.join(parts, "key").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    dealt = mine.unionByName(every).repartition("key", "part").sortWithinPartitions("key", "part", "n")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, []
+
+        def give() -> pa.RecordBatch:
+            prints, ns = [p for p, _ in held], np.array([n for _, n in held])
+            table, halves = group[0][0], _halves(prints)
+            of = halves[ns > 0]
+            out = []
+            for p, h in zip((p for p, n in held if n == 0), halves[ns == 0]):
+                x = of ^ h
+                near = np.bitwise_count(x).sum(1) <= radius
+                # a pair that agrees in an earlier block has been counted there
+                for t in range(table):
+                    near &= (x & masks[t]).any(1)
+                out.append((p, int(ns[ns > 0][near].sum())))
+            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.string()), pa.array([n for _, n in out], pa.int64())], names=["fingerprint", "near"])
+
+        for batch in batches:
+            for key, part, p, n in zip(*(batch.column(c).to_pylist() for c in ("key", "part", "fingerprint", "n"))):
+                if (key, part) != group:
+                    if held:
+                        yield give()
+                    group, held = (key, part), []
+                held.append((p, n))
+        if held:
+            yield give()
+
+    found = dealt.mapInArrow(count, "fingerprint string, near long").groupBy("fingerprint").agg(F.sum("near").alias("near"))
+    return queries.select("doc_id", "fingerprint").join(found, "fingerprint", "left").select("doc_id", "fingerprint", (F.coalesce("near", F.lit(1)) - 1).alias("n_near"))
+
+
+def _mask(a: int, b: int) -> np.ndarray:
+    """The bits ``a`` to ``b`` of a fingerprint, as its two numbers."""
+    whole = sum(1 << (BITS - 1 - k) for k in range(a, b))
+    return np.array([whole >> 64, whole & ((1 << 64) - 1)], dtype=np.uint64)
+
+
+def searched(docs: DataFrame, radius: int = RADIUS, each: int = QUERIES_EACH) -> DataFrame:
+    """``fingerprints``, and n_near: for rows whose doc_id ``each`` divides the number of other documents within ``radius``, else null."""
+    rows = written(fingerprints(docs), "fingerprints")
+    queries = rows.where(F.col("doc_id") % each == 0)
+    near = within(rows, queries, radius).groupBy("doc_id", "fingerprint").agg(F.max("n_near").alias("n_near"))
+    return rows.join(near, ["doc_id", "fingerprint"], "left")
