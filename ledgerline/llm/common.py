@@ -10,7 +10,6 @@ Conventions that hold for every operator of this subpackage unless its docstring
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -18,21 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline import ship
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
-
-    Where a session on one machine (master ``local``) names none, as in tests, a folder under the warehouse is used; any
-    other session has to name one.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    master = spark.sparkContext.master
-    if master.split("[")[0] != "local":
-        raise ValueError(f"spark.checkpoint.dir has to name a shared folder when the master is {master}")
-    return f"{spark.conf.get('spark.sql.warehouse.dir')}/ledgerline-scratch"
+from ledgerline.sources.tables import released, shared_folder, stored, written  # noqa: F401  (used by the operators)
 
 
 #: Rows that go to a Python worker at once. Texts are long: the default of 10,000 would hold tens of megabytes at both ends.
@@ -47,27 +32,6 @@ def ready(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
-def stored(df: DataFrame, name: str) -> str:
-    """Write ``df`` once as Parquet in the shared folder; gives the path."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return path
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it again.
-
-    This cuts the lineage: a lost executor costs only a reread, not the work before.
-    """
-    return df.sparkSession.read.schema(df.schema).parquet(stored(df, name))
-
-
-def released(spark: SparkSession, path: str) -> None:
-    """Delete a table that ``stored`` has written, once nothing reads it any more."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 #: A key is hot from so many rows on, and from one row in so many; so there are never more hot keys than the second number.
 HOT_ROWS, HOT_SHARE, HOT_PARTS = 1_000, 1_000, 32
 

@@ -7,7 +7,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import ready, table
 from .encoding import library_ids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -16,7 +16,11 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def add(f):
-        QUERIES[name] = f
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ready(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql:
             ORACLES[name] = sql
         return f
@@ -90,9 +94,9 @@ def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_fingerprints")
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .simhash import fingerprints
+    from .simhash import searched
 
-    return fingerprints(table(spark, sf_dir, "documents"))
+    return searched(table(spark, sf_dir, "documents"))
 
 
 @query("op10_language_id")

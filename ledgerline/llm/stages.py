@@ -6,14 +6,12 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline import ship
-
 from . import language_id as language
 from . import near_dedup as near
 from . import packing
 from . import quality_rules as rules
 from . import substring_dedup as substring
-from .common import keep_rows
+from .common import keep_rows, ready
 from .encoding import library_ids
 
 #: A text whose likeliest language has less than this mean probability is rejected.
@@ -22,14 +20,14 @@ LEAST_SCORE = 0.4
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects null texts, texts without letters, and doubtful ones. Without labelled rows nothing but the first two go."""
-    ship(spark)
+    ready(spark)
     net = language.fit(docs)
     bound = spark.sparkContext.broadcast(net)
 
     def keep(texts: list[bytes | None]) -> list[bool]:
         out: list[bool] = []
-        for k in range(0, len(texts), 100):
-            some = [t or b"" for t in texts[k : k + 100]]
+        texts = [t or b"" for t in texts]
+        for some in map(texts.__getitem__, language.in_groups(texts)):
             letters = [language.has_letters(t) for t in some]
             if bound.value is None:
                 out += letters
@@ -42,22 +40,22 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    ready(spark)
     return rules.kept_documents(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    ready(spark)
     return near.one_of_each(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    ready(spark)
     return substring.without_repeats(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
-    ship(spark)
+    ready(spark)
     return packing.pack_documents(docs, partial(library_ids, P.path("byte_bpe_50k.json"), P.PATTERN), end_id=0, capacity=2048)
