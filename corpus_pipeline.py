@@ -14,9 +14,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline import ship
 from ledgerline.llm import stages
-from ledgerline.llm.common import written
+from ledgerline.llm.common import ready, written
 
 STAGES = [
     ("language_id", stages.language_id),
@@ -26,13 +25,13 @@ STAGES = [
     ("best_fit_packing", stages.best_fit_packing),
 ]
 
-#: Models, tokenizers and packing are beyond SQL; no test compares with a brute-force version yet.
+#: Models, tokenizers and packing are beyond SQL; tests/llm/test_pipeline.py compares with a brute-force version of all stages.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents, each written and read again."""
-    ship(spark)
+    ready(spark)
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
