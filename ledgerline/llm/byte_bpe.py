@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import math
+from array import array
 from functools import lru_cache
 
 import ahocorasick
@@ -35,7 +36,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class BacktrackingBpe:
     """Exact BPE over the ranks of a vocabulary. Every single byte must be a token."""
 
-    def __init__(self, ranks: dict[bytes, int], remember: int = 2_000_000):
+    def __init__(self, ranks: dict[bytes, int], remember: int = 500_000):
         self.ranks, self.remember = ranks, remember
         self.token = {i: t for t, i in ranks.items()}
         self.left: dict[int, int] = {}
@@ -139,12 +140,12 @@ def loaded(path: str, pattern: str) -> tuple[BacktrackingBpe, ChunkTable, list[s
     bpe = BacktrackingBpe(read_ranks(path))
     find = regex.compile(pattern).findall
 
-    @lru_cache(maxsize=300_000)
+    @lru_cache(maxsize=100_000)
     def piece(p: str) -> list[int]:
         return bpe.encode_piece(p.encode())
 
-    def encode(chunks: list[str]) -> list[list[int]]:
-        return [[i for p in find(c) for i in piece(p)] for c in chunks]
+    def encode(chunks: list[str]) -> list[bytes]:
+        return [array("I", [i for p in find(c) for i in piece(p)]).tobytes() for c in chunks]
 
     return bpe, ChunkTable(encode, pattern), [str(i) for i in range(max(bpe.token, default=0) + 1)]
 
@@ -164,7 +165,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def work(texts: list[bytes]) -> dict:
         out: dict = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-        step = 200
+        step = 1_000
         for k in range(0, len(texts), step):
             some = encode_texts(texts[k : k + step], path, pattern)
             bpe, _, decimal = loaded(path, pattern)

@@ -88,8 +88,8 @@ def write_token_files(docs: DataFrame, encode: Callable[[list[bytes]], list[byte
             return out
 
         for batch in batches:
-            for step in range(0, batch.num_rows, 100):
-                part = batch.slice(step, 100)
+            for step in range(0, batch.num_rows, 1_000):
+                part = batch.slice(step, 1_000)
                 for doc_id, ids in zip(part.column("doc_id").to_pylist(), encode(text_batches(part))):
                     held.append((doc_id, ids + end))
                     size += len(ids) // 4 + 1
@@ -139,7 +139,10 @@ def _read(spark: SparkSession, path: str, schema: str, of: Callable[[np.ndarray]
 
 
 def read_range(spark: SparkSession, path: str, start: int, count: int) -> np.ndarray:
-    """Ids ``start`` to ``start + count`` of the whole file set, by block offsets: only the blocks that hold them are fetched."""
+    """Ids ``start`` to ``start + count`` of the whole file set, by block offsets: only the blocks that hold them are fetched.
+
+    They go to the driver, so this is for looking at a place; ``read_documents`` reads any number of ids as a table.
+    """
     at = F.col("shard_start") + F.col("before")
     blocks = spark.read.parquet(f"{path}/blocks").join(F.broadcast(spark.read.parquet(f"{path}/shards")), "shard")
     rows = blocks.where((at < start + count) & (at + F.col("n_ids") > start)).select(at.alias("at"), "n_ids", "bits", "packed").orderBy("at").collect()
