@@ -32,8 +32,9 @@ def verify_texts(texts: DataFrame, min_len: int = MIN_TEXT) -> DataFrame:
     parsed = parsed_pairs(texts, min_len)
     items = parsed.select("pair_id", "is_invoice", F.explode("line_items").alias("i")).select("pair_id", "is_invoice", "i.*")
     invoice, po = items.where("is_invoice"), items.where("not is_invoice")
-    aligned = align_items(invoice, po)
-    found = discrepancies_of(aligned)
+    # each is read by several of the steps below
+    aligned = written(align_items(invoice, po), "aligned")
+    found = written(discrepancies_of(aligned), "found")
     one = lambda c, mine, name: F.max(F.when(F.col("is_invoice") == mine, F.col(c))).alias(name)
     pairs = parsed.groupBy("pair_id").agg(one("score", True, "invoice_score"), one("score", False, "po_score"), one("failure_reason", True, "invoice_failure"), one("failure_reason", False, "po_failure"))
     groups = lambda p: aligned.where(f"{p}_entry_count is not null")

@@ -9,6 +9,7 @@ from ..operators import reconcile as R
 from ..operators.verify import verify_texts
 from ..functions.scalars import difference, is_trailing_drift
 from ..sources import files
+from ..sources.tables import written
 from . import inputs
 from .registry import query, with_ctes
 
@@ -181,9 +182,15 @@ def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.summarize_pairs(inputs.pairs(spark, sf_dir), found(spark, sf_dir))
 
 
-def flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+def flags(spark: SparkSession, sf_dir: str, once: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     inv, po = inputs.invoice_items(spark, sf_dir), inputs.marked_po_items(spark, sf_dir)
-    return R.confidence_flags(inputs.pairs(spark, sf_dir), inv, po, aligned(spark, sf_dir), found(spark, sf_dir))
+    return R.confidence_flags(inputs.pairs(spark, sf_dir), inv, po, *(once or _once(spark, sf_dir)))
+
+
+def _once(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The aligned groups and their discrepancies, written once for queries that read them several times."""
+    a = written(aligned(spark, sf_dir), "aligned")
+    return a, written(R.discrepancies_of(a), "found")
 
 
 def outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -288,7 +295,10 @@ def pair_outcome(spark, sf_dir):
   WHERE error IS NOT NULL OR nf > 0 OR warning IS NOT NULL"""))
 def failures(spark, sf_dir):
     inv, po = inputs.invoice_items(spark, sf_dir), inputs.marked_po_items(spark, sf_dir)
-    out = R.classify_failures(inputs.pairs(spark, sf_dir), outcome(spark, sf_dir), flags(spark, sf_dir), inv, po, found(spark, sf_dir))
+    a, f = once = _once(spark, sf_dir)
+    pairs = inputs.pairs(spark, sf_dir)
+    states = R.pair_outcome(pairs, a.where("inv_entry_count is not null"), a.where("po_entry_count is not null"))
+    out = R.classify_failures(pairs, states, flags(spark, sf_dir, once), inv, po, f)
     return out.select("pair_id", "category", F.array_join("diagnostic_categories", ",").alias("diagnostics"))
 
 
