@@ -126,3 +126,10 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     return identify(docs, fit(docs))
+
+
+@query("op11_whitening")
+def whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whitened
+
+    return whitened(table(spark, sf_dir, "embeddings"))
