@@ -143,7 +143,7 @@ whole AS (SELECT count(*) AS nn, sum(n)::BIGINT AS ll FROM docs),
 item_terms AS (SELECT DISTINCT i, item_id, unnest(w) AS t FROM (SELECT row_number() OVER () AS i, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark)),
 tfs AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM words) SEMI JOIN item_terms USING (t) GROUP BY r, t),
 ws AS (SELECT t, floor(1000 * ln((2 * any_value(nn) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tfs, whole GROUP BY t),
-parts AS (SELECT r, t, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nn) // ll))) AS s FROM tfs JOIN docs USING (r) JOIN ws USING (t), whole),
+parts AS (SELECT r, doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nn) // ll))) AS s FROM tfs JOIN docs USING (r) JOIN ws USING (t), whole),
 scores AS (SELECT i, item_id, doc_id, r, sum(s)::BIGINT AS score FROM parts JOIN item_terms USING (t) GROUP BY ALL),
 ranks AS (SELECT item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank, doc_id, score FROM scores WHERE score > 0)
 SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranks WHERE rank <= 10"""
