@@ -154,3 +154,10 @@ def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lexical_search import ranked
 
     return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_jaccard_join", GROUPS.replace(">= 75 *", ">= 80 *").replace(" AS component_id, doc_id = min(r) AS kept", " AS component_id"))
+def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_groups
+
+    return jaccard_groups(table(spark, sf_dir, "documents"))
