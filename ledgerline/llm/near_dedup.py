@@ -6,15 +6,17 @@ have, by pigeonhole, a chunk with at most one error, so each chunk is entered un
 with one place left out, and all such pairs meet under a key. Two documents at the similarity of 0.75 differ in
 more than 29 places with a chance of 3e-5, closer ones with less.
 
-1. Documents with equal sets are one class, and only its smallest doc_id goes on.
+1. A document with less than 75 % of its shingles in other documents has no link and stops there (see shared_counts). Of the rest,
+   documents with equal sets are one class, and only its smallest doc_id goes on.
 2. Under each key every signature is compared with that of the smallest id, once for all keys that give the same
    pair. Only the keys whose members are still in several components are compared further, in blocks and only across
-   components. The components of all pairs within 29 places hold every link.
+   components. These components hold every link within 29 places.
 3. In the same way on full sets: every document is compared with the closest one of step 2; then, where a
    component is still in several parts, in blocks across the parts.
 
-A group that hangs together by its first comparisons, as large groups of copies do, costs a few rows for each member; never
-do all pairs of a group go out. In the blocks, the largest part of a group meets the others only, not itself.
+A group that hangs together by its first comparisons, as large groups of copies do, costs a few rows for each member. What is still
+apart in a large group meets in blocks of like size, and only where sizes and shared shingles allow a link, so texts of a
+template that have a part in common, but not enough of it, are never compared (see set_blocks).
 
 Rows without words, with null text or null doc_id are linked with nothing. Rows with the same doc_id count as
 one document in the links. An empty table gives no rows.
@@ -22,36 +24,27 @@ one document in the links. An empty table gives no rows.
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import id_and_text, join_hot, map_texts, text_batches, written
+from .common import id_and_text, join_hot, written
 from .graph import components, contracted, merged
-from .hashing import grams, hash_words
+from .set_blocks import confirmed, forest, linked_pairs, links_across
+from .shingle_sets import full_sets, least_shared, shared_counts
 
-WORDS, PERCENT = 5, 75
+PERCENT = 75
 PLACES, CHUNK = 60, 4
 #: The farthest apart for which a chunk with at most one error is sure.
 NEAR = 2 * (PLACES // CHUNK) - 1
-#: About so many members, and so many hashes of their sets, are in one block; smaller groups are one block.
-BLOCK, BLOCK_HASHES = 1_024, 1 << 20
 
 _rng = np.random.default_rng(20_240_229)
 _FACTORS = _rng.integers(0, 1 << 63, PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingles(text: bytes) -> np.ndarray:
-    """The sorted distinct hashes of the runs of five words, or of all words where there are fewer."""
-    words = text.lower().split()
-    return np.unique(grams(hash_words(words), min(WORDS, len(words)))) if words else np.zeros(0, dtype=np.uint64)
-
-
 def signature(hashes: np.ndarray) -> bytes:
     """PLACES minimum hashes, cut to 16 bits each."""
     least = np.full(PLACES, np.iinfo(np.uint64).max, dtype=np.uint64)
@@ -62,18 +55,15 @@ def signature(hashes: np.ndarray) -> bytes:
     return (least >> np.uint64(48)).astype("<u2").tobytes()
 
 
-def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, key (digest of the set, null without words) and signature."""
+def signatures(sets: DataFrame) -> DataFrame:
+    """(id, n, signature) of sets (id, n, hashes)."""
 
-    def work(texts: list[bytes]) -> dict:
-        sets = [shingles(t) for t in texts]
-        return {
-            "n_shingles": np.array([len(s) for s in sets], dtype=np.int64),
-            "key": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
-            "signature": [signature(s) if len(s) else None for s in sets],
-        }
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [signature(np.frombuffer(v.as_buffer(), dtype="<u8")) for v in batch.column("hashes")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n"), pa.array(made, type=pa.binary())], names=["id", "n", "signature"])
 
-    return map_texts(docs, "n_shingles long, key binary, signature binary", work)
+    return sets.mapInArrow(run, "id long, n long, signature binary")
 
 
 def _keys(reps: DataFrame) -> DataFrame:
@@ -94,88 +84,6 @@ def _keys(reps: DataFrame) -> DataFrame:
     return reps.select("id", "signature").mapInArrow(run, "k long, id long")
 
 
-def _mixed(rows: DataFrame, group: str) -> DataFrame:
-    """Of (group, id, label, weight): the rows of groups with several labels, dealt to the cells of blocks that have to meet.
-
-    Adds first and second, which name a cell. Rows of a group's most frequent label meet all others but not each other, so the
-    rows sent are in proportion to the group where the other labels have few. Small groups have one cell.
-    """
-    parts = rows.groupBy(group, "label").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
-    sizes = parts.groupBy(group).agg(F.max(F.struct("n", "w", "label")).alias("top"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.count("*").alias("labels"))
-    blocks = lambda n, w: F.ceil(F.greatest(n / BLOCK, w / BLOCK_HASHES)).cast("int")
-    one = blocks(F.col("n"), F.col("w")) <= 1
-    sizes = sizes.where("labels > 1").select(
-        group,
-        F.col("top.label").alias("top"),
-        F.when(one, 0).otherwise(blocks(F.col("top.n"), F.col("top.w"))).alias("n_top"),
-        F.when(one, 1).otherwise(blocks(F.col("n") - F.col("top.n"), F.col("w") - F.col("top.w"))).alias("n_rest"),
-    )
-    j = rows.join(sizes, group).withColumn("is_top", (F.col("label") == F.col("top")) & (F.col("n_top") > 0))
-    j = j.withColumn("block", F.pmod(F.xxhash64("id"), F.when(F.col("is_top"), F.col("n_top")).otherwise(F.col("n_rest"))).cast("int") + F.when(F.col("is_top"), F.col("n_rest")).otherwise(0))
-    last = F.when(F.col("is_top"), F.col("n_rest")).otherwise(F.col("n_rest") + F.col("n_top")) - 1
-    j = j.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
-    return j.select(group, "id", "label", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"))
-
-
-def _by_group(rows: DataFrame, keys: list[str], schema: str, work: Callable[[pa.Table, np.ndarray], list[np.ndarray]]) -> DataFrame:
-    """Give ``work`` whole groups, as many at once as arrive together: the table and where its groups start."""
-    names = [c.split()[0] for c in schema.split(", ")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def give(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held
-            t = pa.Table.from_batches(held).combine_chunks()
-            columns = [t.column(k).to_numpy() for k in keys]
-            new = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1
-            starts = np.concatenate([[0], new])
-            end = t.num_rows
-            if not last:
-                if len(starts) == 1:
-                    held = t.to_batches()
-                    return
-                end, starts = int(starts[-1]), starts[:-1]
-            made = work(t.slice(0, end), np.append(starts, end))
-            held = t.slice(end).combine_chunks().to_batches() if end < t.num_rows else []
-            if made and len(made[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(m) for m in made], names=names)
-
-        for batch in batches:
-            step = max(1, min(2_000, batch.num_rows * (4 << 20) // max(1, batch.nbytes)))
-            for k in range(0, batch.num_rows, step):
-                held.append(batch.slice(k, step))
-                yield from give(False)
-        if held:
-            yield from give(True)
-
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(run, schema)
-
-
-def _forest(labels: np.ndarray, linked: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
-    """A spanning forest, over the nodes' labels, of the links between nodes; ``linked(i, others)`` gives those of ``others``
-    with a link to i. Nodes of one label hang together already.
-
-    Grown from node to node, from the rarest label on, so that each node asks only about those not reached yet.
-    """
-    _, label, size = np.unique(labels, return_inverse=True, return_counts=True)
-    out, free = [], np.argsort(size[label] * (len(size) + 1) + label, kind="stable")
-    while len(free):
-        with_it = label[free] == label[free[0]]
-        todo, free = free[with_it].tolist(), free[~with_it]
-        while todo and len(free):
-            i = todo.pop()
-            hit = free[linked(i, free)]
-            if not len(hit):
-                continue
-            reached, at = np.unique(label[hit], return_index=True)
-            out += [(i, int(j)) for j in hit[at]]
-            joins = np.isin(label[free], reached)
-            todo += free[joins].tolist()
-            free = free[~joins]
-    return out
-
-
 def _sizes_allow(a: np.ndarray | int, b: np.ndarray) -> np.ndarray:
     return 100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b)
 
@@ -205,124 +113,59 @@ def _close_signatures(t: pa.Table, starts: np.ndarray) -> list[np.ndarray]:
     for g in range(len(starts) - 1):
         s = slice(starts[g], starts[g + 1])
         gs, gn, gi = sig[s], n[s], ids[s]
-        out += [(gi[i], gi[j]) for i, j in _forest(label[s], lambda i, o: ((gs[o] != gs[i]).sum(1) <= NEAR) & _sizes_allow(gn[i], gn[o]))]
+        out += [(gi[i], gi[j]) for i, j in forest(label[s], lambda i, o: ((gs[o] != gs[i]).sum(1) <= NEAR) & _sizes_allow(gn[i], gn[o]))]
     return list(np.array(out, dtype=np.int64).reshape(-1, 2).T)
 
 
-def _linked(a: np.ndarray, b: np.ndarray) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= PERCENT * (len(a) + len(b) - both)
-
-
-def _linked_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that are links: 100 * |intersection| >= 75 * |union|."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = ((np.frombuffer(v.as_buffer(), dtype="<u8") for v in batch.column(c)) for c in ("ha", "hb"))
-            ok = pa.array([_linked(p, q) for p, q in zip(x, y)], type=pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(ok)
-
-    left, right = (sets.select(F.col("id").alias(x), F.col("hashes").alias(f"h{x}")) for x in "ab")
-    return join_hot(pairs.join(right, "b"), left, "a", "b").select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
-
-
-def _confirmed(t: pa.Table, starts: np.ndarray) -> list[np.ndarray]:
-    """Links between members of each group with other labels, that join their labels."""
-    ids, label = t.column("id").to_numpy(), t.column("label").to_numpy()
-    sets = [np.frombuffer(v.as_buffer(), dtype="<u8") for c in t.column("hashes").chunks for v in c]
-    out = []
-    for g in range(len(starts) - 1):
-        group = range(starts[g], starts[g + 1])
-        if len(group) < 2:
-            continue
-        n = np.array([len(sets[i]) for i in group])
-        # the group's hashes as numbers, only those that two sets have; a table of who has what gives whole rows of intersections
-        everything, number, count = np.unique(np.concatenate([sets[i] for i in group]), return_inverse=True, return_counts=True)
-        shared = count > 1
-        name = np.cumsum(shared) - 1
-        edges = np.concatenate([[0], np.cumsum(n)])
-        parts = [name[x[shared[x]]] for x in (number[edges[k] : edges[k + 1]] for k in range(len(group)))]
-        owner = np.repeat(np.arange(len(group)), [len(p) for p in parts])
-        flat = np.concatenate(parts)
-        order = np.argsort(flat, kind="stable")
-        owners, begins = owner[order], np.searchsorted(flat[order], np.arange(int(shared.sum()) + 1))
-
-        def linked(i: int, others: np.ndarray) -> np.ndarray:
-            p = parts[i]
-            lengths = begins[p + 1] - begins[p]
-            total = int(lengths.sum())
-            if not total:
-                return np.zeros(len(others), dtype=bool)
-            at = np.repeat(begins[p] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(total)
-            both = np.bincount(owners[at], minlength=len(group))[others]
-            return 100 * both >= PERCENT * (n[i] + n[others] - both)
-
-        out += [(ids[group[i]], ids[group[j]]) for i, j in _forest(label[starts[g] : starts[g + 1]], linked)]
-    return list(np.array(out, dtype=np.int64).reshape(-1, 2).T)
-
-
-def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, hashes): the sets of the documents ``ids``."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 100):
-                part = batch.slice(k, 100)
-                hashes = pa.array([shingles(t).tobytes() for t in text_batches(part)], type=pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("id"), hashes], names=["id", "hashes"])
-
-    return docs.withColumnRenamed("doc_id", "id").join(ids.select("id"), "id", "left_semi").mapInArrow(work, "id long, hashes binary").where("octet_length(hashes) > 0")
-
-
-def _candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Components (id, component) that hold every pair of signatures within NEAR places, and for each b of them the closest
+def _candidates(reps: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Components (id, component) that hold every link within NEAR places, and for each b of them the closest
     a it was compared with first: (a, b)."""
     keys = _keys(reps)
     leads = keys.groupBy("k").agg(F.min("id").alias("lead"), F.count("*").alias("size")).where("size > 1").drop("size")
-    met = written(keys.join(leads, "k"), "shared-keys")
-    signatures = reps.select("id", "n", "signature")
+    met = written(join_hot(keys, leads, "k", "id"), "shared-keys")
     pairs = met.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    close = written(_close_pairs(written(pairs, "pairs"), signatures), "close")
-    labels = components(contracted(close))
-
-    labelled = met.select("k", "id").join(labels, "id", "left").select("k", "id", F.coalesce("component", "id").alias("label"), F.lit(1).alias("weight"))
-    cells = _mixed(labelled, "k").join(signatures, "id")
-    more = written(_by_group(cells, ["k", "first", "second"], "a long, b long", _close_signatures), "more-close")
-    everyone = labels.unionByName(more.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(labels, "id", "left_anti").select("id", F.col("id").alias("component")))
-    joins = more.join(everyone.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(everyone.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b")
-    wide = written(merged(everyone, joins.select(F.col("ca").alias("a"), F.col("cb").alias("b"))), "candidate-groups")
+    close = written(_close_pairs(written(pairs, "pairs"), reps), "close")
+    labels = written(components(contracted(close)), "close-groups")
+
+    labelled = met.select("k", "id").join(labels, "id", "left").select("k", "id", F.coalesce("component", "id").alias("label")).join(sizes, "id")
+    more = links_across(labelled, reps, PERCENT, _close_signatures)
+    wide = written(_over(labels, more), "candidate-groups")
     closest = close.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")).select("a", "b")
     return wide, written(closest, "closest")
 
 
-def _links(docs: DataFrame, reps: DataFrame, wide: DataFrame, closest: DataFrame) -> DataFrame:
+def _over(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """Components (id, component) joined by links ``more`` between them, with the ids that had no component until then."""
+    ends = more.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    alone = ends.join(labels.select(F.col("component").alias("id")).distinct(), "id", "left_anti").select("id", F.col("id").alias("component"))
+    return merged(labels.unionByName(alone), more)
+
+
+def _links(sets: DataFrame, sizes: DataFrame, wide: DataFrame, closest: DataFrame) -> DataFrame:
     """Components (id, component) of the links on full sets."""
-    sets = written(_sets(docs, wide), "sets")
-    labels = written(components(_linked_pairs(closest, sets)), "linked")
-    sizes = reps.groupBy("id").agg(F.max("n").alias("weight"))
-    labelled = wide.join(labels.withColumnRenamed("component", "label"), "id", "left").join(sizes, "id").select("component", "id", F.coalesce("label", "id").alias("label"), "weight")
-    cells = _mixed(labelled, "component").join(sets, "id")
-    more = written(_by_group(cells, ["component", "first", "second"], "a long, b long", _confirmed), "more-links")
-    parts = labelled.select("id", F.col("label").alias("component"))
-    joins = more.join(parts.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(parts.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b")
-    return merged(parts, joins.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    labels = written(components(linked_pairs(closest, sets, PERCENT)), "linked")
+    labelled = wide.join(labels.withColumnRenamed("component", "label"), "id", "left").join(sizes, "id").select(F.col("component").alias("k"), "id", F.coalesce("label", "id").alias("label"), "n", "shared")
+    more = links_across(written(labelled, "candidates"), sets.select("id", "hashes"), PERCENT, confirmed(PERCENT))
+    return _over(labels, more)
 
 
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     docs = id_and_text(docs)
-    sketches = written(sketch(docs), "sketches")
-    named = sketches.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull())
-    reps = named.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
-    reps = written(reps, "classes")
+    found = written(shared_counts(docs), "shared-counts")
+    named = found.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull())
+    classes = written(named.groupBy("key").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n"), F.max("shared").alias("shared")), "classes")
+    sizes = written(classes.where(F.col("shared") >= least_shared(F.col("n"), PERCENT)).select("id", "n", "shared").distinct(), "sizes")
+    sets = written(full_sets(docs, sizes), "sets")
+    reps = written(signatures(sets), "signatures")
 
     # a doc_id may stand for several sets where ids repeat: the joins by id then bring all of them
-    linked = _links(docs, reps, *_candidates(reps)).withColumnRenamed("component", "component_id")
-    classes = reps.join(linked, "id", "left").select("key", F.coalesce("component_id", "id").alias("component_id"))
-    out = sketches.join(classes, "key", "left")
-    component = F.when(F.col("key").isNull() | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    linked = _links(sets, sizes, *_candidates(reps, sizes))
+    over = classes.join(linked, "id").where("component <> id").select("key", "component")
+    out = join_hot(named, classes.select("key", "id"), "key", "doc_id").join(over, "key", "left")
+    whole = out.select("doc_id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    whole = whole.unionByName(found.where(F.col("key").isNull() | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return whole.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

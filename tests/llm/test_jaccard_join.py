@@ -4,11 +4,18 @@ import pytest
 
 from ledgerline.llm import jaccard_join as J
 from ledgerline.llm import set_blocks as B
+from ledgerline.llm import shingle_sets
+from ledgerline.llm import shingle_sets as S
 
 from .conftest import odd_texts, prose
 from .test_near_dedup import copies, shingles
 
 
+@pytest.fixture(autouse=True)
+def few_buckets(monkeypatch):
+    monkeypatch.setattr(shingle_sets, "LEAST_BUCKETS", 2)
+
+
 def brute(rows, percent=80):
     """doc_id -> (set size, least doc_id reachable), every pair compared; and the number of links."""
     sets = {}
@@ -62,7 +69,7 @@ def test_chains_families_and_copies(spark, monkeypatch, few, block):
 def test_random_near_texts_with_small_blocks(spark, monkeypatch, seed):
     monkeypatch.setattr(J, "FEW", 3)
     monkeypatch.setattr(B, "BLOCK", 4)
-    monkeypatch.setattr(J, "BLOCK_DOCS", 7)
+    monkeypatch.setattr(S, "BLOCK_DOCS", 7)
     rng, rows = random.Random(seed), []
     for k in range(220):
         words = prose(rng.choice([1, 2, 3]), 90).split()[: rng.randint(60, 90)]
@@ -74,10 +81,10 @@ def test_random_near_texts_with_small_blocks(spark, monkeypatch, seed):
 
 
 def test_shared_counts(spark, monkeypatch):
-    monkeypatch.setattr(J, "BLOCK_DOCS", 3)
+    monkeypatch.setattr(S, "BLOCK_DOCS", 3)
     rows = list(enumerate(copies(25, 3) + family(10, 40, 30, 4) + [None, "", "one", "one", "two words"]))
     sets = {i: shingles(t) for i, t in rows}
-    made = {r.doc_id: (r.n_shingles, r.shared) for r in J.shared_counts(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    made = {r.doc_id: (r.n_shingles, r.shared) for r in S.shared_counts(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
     assert made == {i: (len(s), sum(any(x in o for j, o in sets.items() if j != i) for x in s)) for i, s in sets.items()}
 
 

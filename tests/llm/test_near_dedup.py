@@ -5,11 +5,18 @@ from collections import defaultdict
 import pytest
 
 from ledgerline.llm import graph, near_dedup as N
+from ledgerline.llm import set_blocks as B
+from ledgerline.llm import shingle_sets
 from ledgerline.llm.queries import QUERIES
 
 from .conftest import SF, odd_texts, prose
 
 
+@pytest.fixture(autouse=True)
+def few_buckets(monkeypatch):
+    monkeypatch.setattr(shingle_sets, "LEAST_BUCKETS", 2)
+
+
 def shingles(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
@@ -67,7 +74,7 @@ def test_query_against_brute_force(spark, texts):
 
 @pytest.mark.parametrize("block", [1_024, 8])
 def test_chains_of_copies_in_blocks(spark, monkeypatch, block):
-    monkeypatch.setattr(N, "BLOCK", block)
+    monkeypatch.setattr(B, "BLOCK", block)
     rows = list(enumerate(copies(150) + copies(60, 6) + [prose(k, 30) for k in range(100, 150)]))
     random.Random(1).shuffle(rows)
     told, links = brute(rows)
