@@ -155,4 +155,5 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 made = [shingles(t) for t in text_batches(part)]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(s) for s in made], type=pa.int64()), pa.array([s.tobytes() for s in made], type=pa.binary())], names=["id", "n", "hashes"])
 
-    return docs.withColumnRenamed("doc_id", "id").join(ids.select("id"), "id", "left_semi").mapInArrow(work, "id long, n long, hashes binary").where("n > 0")
+    # the ids grow with the input, so they are dealt like the texts, never broadcast; hashed, so that no texts are sorted
+    return docs.withColumnRenamed("doc_id", "id").join(ids.select("id").hint("shuffle_hash"), "id", "left_semi").mapInArrow(work, "id long, n long, hashes binary").where("n > 0")
