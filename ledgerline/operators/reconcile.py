@@ -6,14 +6,12 @@ is keyed by pair_id, so one hash partitioning by it serves most steps.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.matching import like_names
 from ..functions.scalars import difference, is_trailing_drift, let, normalize_for_matching
+from .fuzzy_join import LARGE, in_order, is_large, large_candidates
 
 ITEM_MATCH_THRESHOLD = 85.0
 PRICE_TOLERANCE = 0.0
@@ -92,38 +90,24 @@ def _keys(names: Column) -> Column:
     return F.transform(names, normalize_for_matching)
 
 
-def fuzzy_candidates(invoice: DataFrame, po: DataFrame, threshold: float = ITEM_MATCH_THRESHOLD, scorer: str = "token_set") -> DataFrame:
+def fuzzy_candidates(invoice: DataFrame, po: DataFrame, threshold: float = ITEM_MATCH_THRESHOLD, scorer: str = "token_set", large: int = LARGE) -> DataFrame:
     """(pair_id, inv_item, po_item, score) of unmatched names of one pair whose score reaches the threshold.
 
-    The names of a pair meet on one row; only names that a bound lets through are scored.
+    The names of a pair meet on one row, and only names that a bound lets through are scored; those of a pair with more than ``large`` combinations
+    are searched over tasks (``fuzzy_join``).
     """
-    found = _by_pair(invoice, po).withColumn("m", like_names(threshold, scorer)(_keys(F.col("a")), _keys(F.col("b"))))
+    side = lambda df, is_inv: df.select("pair_id", "item", F.lit(is_inv).alias("is_inv"))
+    rows = is_large(side(invoice, True).unionByName(side(po, False)), F.col("is_inv"), large)
+    few, many = (rows, rows.where("false")) if scorer != "token_set" else (rows.where("not large"), rows.where("large"))
+    found = _by_pair(few.where("is_inv"), few.where("not is_inv")).withColumn("m", like_names(threshold, scorer)(_keys(F.col("a")), _keys(F.col("b"))))
     pairs = F.transform("m", lambda m: F.struct(F.get("a", m["a"]).alias("inv_item"), F.get("b", m["b"]).alias("po_item"), m["score"].alias("score")))
-    return found.select("pair_id", F.explode(pairs).alias("c")).select("pair_id", "c.*")
+    small = found.select("pair_id", F.explode(pairs).alias("c")).select("pair_id", "c.*")
+    return small.unionByName(large_candidates(many.where("is_inv"), many.where("not is_inv"), threshold)) if scorer == "token_set" else small
 
 
 def assign_greedy(candidates: DataFrame) -> DataFrame:
-    """One-to-one matches: invoice names ascending, each takes its best free PO name (ties: the smaller name).
-
-    One pass over the candidates in that order; what is held is the names taken of the pair at hand.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, last, taken = None, None, set()
-        for batch in batches:
-            keep = []
-            for p, a, b in zip(*(batch.column(c).to_pylist() for c in ("pair_id", "inv_item", "po_item"))):
-                if p != pair:
-                    pair, last, taken = p, None, set()
-                free = a != last and b not in taken
-                if free:
-                    last = a
-                    taken.add(b)
-                keep.append(free)
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    rows = candidates.select("pair_id", "inv_item", "po_item", "score")
-    return rows.repartition("pair_id").sortWithinPartitions("pair_id", "inv_item", F.desc("score"), "po_item").mapInArrow(run, rows.schema)
+    """One-to-one matches: invoice names ascending, each takes its best free PO name (ties: the smaller name). For large pairs see ``assign_in_rounds``."""
+    return in_order(candidates)
 
 
 def _matched_rows(rest: DataFrame, threshold: float, scorer: str) -> DataFrame:
@@ -206,8 +190,8 @@ def duplicate_items(groups: DataFrame, side: str) -> DataFrame:
     return _flat(groups.where("has_duplicate"), section, "duplicate_item", "item", f"duplicate item in {side}")
 
 
-def fuzzy_matches(aligned: DataFrame, threshold: float = ITEM_MATCH_THRESHOLD, scorer: str = "token_set") -> DataFrame:
-    candidates = fuzzy_candidates(aligned.where("section = 'invoice_only'"), aligned.where("section = 'po_only'"), threshold, scorer)
+def fuzzy_matches(aligned: DataFrame, threshold: float = ITEM_MATCH_THRESHOLD, scorer: str = "token_set", large: int = LARGE) -> DataFrame:
+    candidates = fuzzy_candidates(aligned.where("section = 'invoice_only'"), aligned.where("section = 'po_only'"), threshold, scorer, large)
     return assign_greedy(candidates)
 
 
@@ -220,17 +204,21 @@ def matched_pairs(aligned: DataFrame, matches: DataFrame) -> DataFrame:
     return exact.unionByName(fuzzy.withColumn("item", F.col("inv_item")).withColumn("section", F.lit("4_fuzzy")).drop("inv_item", "po_item"))
 
 
-def discrepancies_of(aligned: DataFrame, tolerance: float = PRICE_TOLERANCE, threshold: float = ITEM_MATCH_THRESHOLD, scorer: str = "token_set") -> DataFrame:
+def discrepancies_of(aligned: DataFrame, tolerance: float = PRICE_TOLERANCE, threshold: float = ITEM_MATCH_THRESHOLD, scorer: str = "token_set", large: int = LARGE) -> DataFrame:
     """All discrepancy rows of aligned groups. Order them by section, item, field_rank within a pair.
 
     What one side only has meets on one row for each pair, where it is matched, compared and told missing; nothing is joined back.
+    Pairs with more than ``large`` combinations of such names stay in rows.
     """
-    pairs = _matched_rows(aligned.where("section <> 'exact'"), threshold, scorer)
+    rest = is_large(aligned.where("section <> 'exact'"), F.col("section") == "invoice_only", large)
+    rows_of_pairs = F.lit(True) if scorer != "token_set" else ~F.col("large")
+    pairs, many = _matched_rows(rest.where(rows_of_pairs), threshold, scorer), rest.where(~rows_of_pairs).drop("large")
+    matches = assign_greedy(large_candidates(many.where("section = 'invoice_only'"), many.where("section = 'po_only'"), threshold))
     side = lambda x, p: [x[f"{p}_{c}"].alias(f"{p}_{c}") for c in ("qty", "has_qty", "price", "entry_count")]
     both = F.transform("m", lambda m: let(F.struct(F.get("a", m["a"]).alias("x"), F.get("b", m["b"]).alias("y")), lambda t: F.struct(t["x"]["item"].alias("item"), *side(t["x"], "inv"), *side(t["y"], "po"))))
     fuzzy = pairs.where(F.size("m") > 0).select("pair_id", F.explode(both).alias("t")).select("pair_id", "t.*", F.lit("4_fuzzy").alias("section"))
     exact = aligned.where("section = 'exact'").withColumn("section", F.lit("3_exact"))
-    values = value_discrepancies(compare_values(exact.unionByName(fuzzy), tolerance))
+    values = value_discrepancies(compare_values(exact.unionByName(fuzzy).unionByName(matched_pairs(many, matches)), tolerance))
 
     def left(c: str, p: str) -> DataFrame:
         taken = F.transform("m", lambda m: m[c])
@@ -239,7 +227,7 @@ def discrepancies_of(aligned: DataFrame, tolerance: float = PRICE_TOLERANCE, thr
 
     twice = lambda p, name: duplicate_items(aligned.where(f"{p}_entry_count > 1").select("pair_id", "item", F.lit(True).alias("has_duplicate"), F.col(f"{p}_entry_count").alias("entry_count")), name)
     none = F.lit(None).cast("long").alias("entry_count")
-    return twice("inv", "invoice").unionByName(twice("po", "po")).unionByName(values.select("*", none)).unionByName(_missing(left("b", "po"), "po")).unionByName(_missing(left("a", "inv"), "invoice"))
+    return twice("inv", "invoice").unionByName(twice("po", "po")).unionByName(values.select("*", none)).unionByName(_missing(left("b", "po"), "po")).unionByName(_missing(left("a", "inv"), "invoice")).unionByName(missing_items(many, matches))
 
 
 def discrepancies(invoice: DataFrame, po: DataFrame, tolerance: float = PRICE_TOLERANCE, threshold: float = ITEM_MATCH_THRESHOLD, scorer: str = "token_set") -> DataFrame:
