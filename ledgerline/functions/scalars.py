@@ -208,6 +208,12 @@ def preview(col: Column, n: int = 300) -> Column:
     return F.substring(F.replace(F.coalesce(col, F.lit("")), F.lit("\n"), F.lit("\\n")), 1, n)
 
 
+def entry_text(some: Column) -> Column:
+    """Entries as a reader sees them: quantity x price, by semicolons; a dash for what is not known."""
+    shown = lambda c: F.coalesce(c.cast("string"), F.lit("-"))
+    return F.array_join(F.transform(some, lambda e: F.concat(shown(e["qty"]), F.lit(" x "), shown(e["price"]))), "; ")
+
+
 def safe_render(col: Column, kind: str = "string") -> Column:
     """Text for display: N/A for null, the number of items of an array, JSON of a struct, else the value. ``kind`` is the type's name."""
     shown = F.concat(F.lit("["), F.size(col), F.lit(" items]")) if kind == "array" else F.to_json(col) if kind == "struct" else col.cast("string")

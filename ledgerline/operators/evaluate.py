@@ -21,7 +21,8 @@ def match_expected(expected: DataFrame, parsed: DataFrame) -> DataFrame:
 
 
 def scenario_accuracy(expected: DataFrame, parsed: DataFrame, counts: DataFrame) -> DataFrame:
-    """Percentages of each scenario. ``counts``: scenario_id, expected_discrepancies, actual_discrepancies."""
+    """Percentages of each scenario. ``counts``: scenario_id, expected_discrepancies, actual_discrepancies, and fallback_used if it is known:
+    whether a side's items come from the parser, or a page was recognized anew. Unknown counts as no."""
     hits = match_expected(expected, parsed).groupBy("scenario_id").agg(
         F.count(F.when(F.col("qty") == F.col("expected_qty"), 1)).alias("q"), F.count(F.when(F.col("price") == F.col("expected_price"), 1)).alias("p")
     )
@@ -31,8 +32,11 @@ def scenario_accuracy(expected: DataFrame, parsed: DataFrame, counts: DataFrame)
     n = F.greatest(F.coalesce("n", F.lit(0)), F.lit(1))
     j = counts.join(sizes, "scenario_id", "left").join(hits, "scenario_id", "left")
     pct = lambda c: F.round(F.coalesce(F.col(c), F.lit(0)) / n * 100, 2)
-    return j.select("scenario_id", pct("q").alias("quantity_accuracy"), pct("p").alias("price_accuracy"), F.round(found, 2).alias("discrepancy_accuracy"))
+    fallback = F.coalesce(F.col("fallback_used"), F.lit(False)) if "fallback_used" in counts.columns else F.lit(False)
+    return j.select("scenario_id", pct("q").alias("quantity_accuracy"), pct("p").alias("price_accuracy"), F.round(found, 2).alias("discrepancy_accuracy"), fallback.alias("fallback_used"))
 
 
 def accuracy_summary(accuracy: DataFrame) -> DataFrame:
-    return accuracy.agg(F.count("*").alias("scenarios"), *(F.round(F.avg(c), 2).alias(c) for c in ("quantity_accuracy", "price_accuracy", "discrepancy_accuracy")))
+    """Means over scenarios, and the percentage of scenarios that used a fallback."""
+    rate = F.round(F.avg(F.col("fallback_used").cast("double")) * 100, 2).alias("fallback_rate")
+    return accuracy.agg(F.count("*").alias("scenarios"), *(F.round(F.avg(c), 2).alias(c) for c in ("quantity_accuracy", "price_accuracy", "discrepancy_accuracy")), rate)

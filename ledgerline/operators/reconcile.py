@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.matching import like_names
 from ..functions.scalars import difference, is_trailing_drift, let, normalize_for_matching
-from .fuzzy_join import LARGE, in_order, is_large, large_candidates
+from ..sources.tables import written
+from .fuzzy_join import LARGE, assign_in_rounds, in_order, large_candidates
 
 ITEM_MATCH_THRESHOLD = 85.0
 PRICE_TOLERANCE = 0.0
@@ -90,19 +91,14 @@ def _keys(names: Column) -> Column:
     return F.transform(names, normalize_for_matching)
 
 
-def fuzzy_candidates(invoice: DataFrame, po: DataFrame, threshold: float = ITEM_MATCH_THRESHOLD, scorer: str = "token_set", large: int = LARGE) -> DataFrame:
+def fuzzy_candidates(invoice: DataFrame, po: DataFrame, threshold: float = ITEM_MATCH_THRESHOLD, scorer: str = "token_set") -> DataFrame:
     """(pair_id, inv_item, po_item, score) of unmatched names of one pair whose score reaches the threshold.
 
-    The names of a pair meet on one row, and only names that a bound lets through are scored; those of a pair with more than ``large`` combinations
-    are searched over tasks (``fuzzy_join``).
+    The names of a pair meet on one row; only names that a bound lets through are scored. For pairs of many names see ``large_candidates``.
     """
-    side = lambda df, is_inv: df.select("pair_id", "item", F.lit(is_inv).alias("is_inv"))
-    rows = is_large(side(invoice, True).unionByName(side(po, False)), F.col("is_inv"), large)
-    few, many = (rows, rows.where("false")) if scorer != "token_set" else (rows.where("not large"), rows.where("large"))
-    found = _by_pair(few.where("is_inv"), few.where("not is_inv")).withColumn("m", like_names(threshold, scorer)(_keys(F.col("a")), _keys(F.col("b"))))
+    found = _by_pair(invoice, po).withColumn("m", like_names(threshold, scorer)(_keys(F.col("a")), _keys(F.col("b"))))
     pairs = F.transform("m", lambda m: F.struct(F.get("a", m["a"]).alias("inv_item"), F.get("b", m["b"]).alias("po_item"), m["score"].alias("score")))
-    small = found.select("pair_id", F.explode(pairs).alias("c")).select("pair_id", "c.*")
-    return small.unionByName(large_candidates(many.where("is_inv"), many.where("not is_inv"), threshold)) if scorer == "token_set" else small
+    return found.select("pair_id", F.explode(pairs).alias("c")).select("pair_id", "c.*")
 
 
 def assign_greedy(candidates: DataFrame) -> DataFrame:
@@ -190,8 +186,20 @@ def duplicate_items(groups: DataFrame, side: str) -> DataFrame:
     return _flat(groups.where("has_duplicate"), section, "duplicate_item", "item", f"duplicate item in {side}")
 
 
-def fuzzy_matches(aligned: DataFrame, threshold: float = ITEM_MATCH_THRESHOLD, scorer: str = "token_set", large: int = LARGE) -> DataFrame:
-    candidates = fuzzy_candidates(aligned.where("section = 'invoice_only'"), aligned.where("section = 'po_only'"), threshold, scorer, large)
+def with_entries(found: DataFrame, invoice: DataFrame, po: DataFrame) -> DataFrame:
+    """Add ``entries``: the lines, in their order, behind each missing or duplicate item, of the side that has it; null for other rows.
+
+    Only the lines of such names are gathered; a name's lines are one row.
+    """
+    side = F.when(F.col("section").isin("1_dup_invoice", "6_invoice_only"), "invoice").when(F.col("section").isin("2_dup_po", "5_po_only"), "po")
+    found = found.withColumn("side", side)
+    keys = found.where("side is not null").select("pair_id", "item", "side").distinct()
+    of = lambda items, name: entries(items, keys.where(F.col("side") == name)).withColumn("side", F.lit(name))
+    return found.join(of(invoice, "invoice").unionByName(of(po, "po")), ["pair_id", "item", "side"], "left").drop("side")
+
+
+def fuzzy_matches(aligned: DataFrame, threshold: float = ITEM_MATCH_THRESHOLD, scorer: str = "token_set") -> DataFrame:
+    candidates = fuzzy_candidates(aligned.where("section = 'invoice_only'"), aligned.where("section = 'po_only'"), threshold, scorer)
     return assign_greedy(candidates)
 
 
@@ -204,21 +212,18 @@ def matched_pairs(aligned: DataFrame, matches: DataFrame) -> DataFrame:
     return exact.unionByName(fuzzy.withColumn("item", F.col("inv_item")).withColumn("section", F.lit("4_fuzzy")).drop("inv_item", "po_item"))
 
 
-def discrepancies_of(aligned: DataFrame, tolerance: float = PRICE_TOLERANCE, threshold: float = ITEM_MATCH_THRESHOLD, scorer: str = "token_set", large: int = LARGE) -> DataFrame:
+def discrepancies_of(aligned: DataFrame, tolerance: float = PRICE_TOLERANCE, threshold: float = ITEM_MATCH_THRESHOLD, scorer: str = "token_set") -> DataFrame:
     """All discrepancy rows of aligned groups. Order them by section, item, field_rank within a pair.
 
     What one side only has meets on one row for each pair, where it is matched, compared and told missing; nothing is joined back.
-    Pairs with more than ``large`` combinations of such names stay in rows.
+    For tables in which a pair may have many names see ``discrepancies_at_any_size``.
     """
-    rest = is_large(aligned.where("section <> 'exact'"), F.col("section") == "invoice_only", large)
-    rows_of_pairs = F.lit(True) if scorer != "token_set" else ~F.col("large")
-    pairs, many = _matched_rows(rest.where(rows_of_pairs), threshold, scorer), rest.where(~rows_of_pairs).drop("large")
-    matches = assign_greedy(large_candidates(many.where("section = 'invoice_only'"), many.where("section = 'po_only'"), threshold))
+    pairs = _matched_rows(aligned.where("section <> 'exact'"), threshold, scorer)
     side = lambda x, p: [x[f"{p}_{c}"].alias(f"{p}_{c}") for c in ("qty", "has_qty", "price", "entry_count")]
     both = F.transform("m", lambda m: let(F.struct(F.get("a", m["a"]).alias("x"), F.get("b", m["b"]).alias("y")), lambda t: F.struct(t["x"]["item"].alias("item"), *side(t["x"], "inv"), *side(t["y"], "po"))))
     fuzzy = pairs.where(F.size("m") > 0).select("pair_id", F.explode(both).alias("t")).select("pair_id", "t.*", F.lit("4_fuzzy").alias("section"))
     exact = aligned.where("section = 'exact'").withColumn("section", F.lit("3_exact"))
-    values = value_discrepancies(compare_values(exact.unionByName(fuzzy).unionByName(matched_pairs(many, matches)), tolerance))
+    values = value_discrepancies(compare_values(exact.unionByName(fuzzy), tolerance))
 
     def left(c: str, p: str) -> DataFrame:
         taken = F.transform("m", lambda m: m[c])
@@ -227,7 +232,21 @@ def discrepancies_of(aligned: DataFrame, tolerance: float = PRICE_TOLERANCE, thr
 
     twice = lambda p, name: duplicate_items(aligned.where(f"{p}_entry_count > 1").select("pair_id", "item", F.lit(True).alias("has_duplicate"), F.col(f"{p}_entry_count").alias("entry_count")), name)
     none = F.lit(None).cast("long").alias("entry_count")
-    return twice("inv", "invoice").unionByName(twice("po", "po")).unionByName(values.select("*", none)).unionByName(_missing(left("b", "po"), "po")).unionByName(_missing(left("a", "inv"), "invoice")).unionByName(missing_items(many, matches))
+    return twice("inv", "invoice").unionByName(twice("po", "po")).unionByName(values.select("*", none)).unionByName(_missing(left("b", "po"), "po")).unionByName(_missing(left("a", "inv"), "invoice"))
+
+
+def discrepancies_at_any_size(aligned: DataFrame, tolerance: float = PRICE_TOLERANCE, threshold: float = ITEM_MATCH_THRESHOLD, large: int = LARGE) -> DataFrame:
+    """``discrepancies_of`` for written groups: pairs whose unmatched names have more than ``large`` combinations stay in rows, their names are searched and
+    assigned over tasks (``fuzzy_join``). Whether there are any is looked up first, so that tables without them have the plan of rows a pair."""
+    sizes = aligned.groupBy("pair_id").agg((F.count_if(F.col("section") == "invoice_only") * F.count_if(F.col("section") == "po_only") > large).alias("large")).where("large")
+    if not sizes.limit(1).count():
+        return discrepancies_of(aligned, tolerance, threshold)
+    of_large = aligned.join(sizes, "pair_id", "left").fillna(False, ["large"])
+    few, many = of_large.where("not large").drop("large"), written(of_large.where("large").drop("large"), "large-pairs")
+    matches = written(assign_in_rounds(large_candidates(many.where("section = 'invoice_only'"), many.where("section = 'po_only'"), threshold)), "large-matches")
+    twice = lambda p, name: duplicate_items(many.where(f"{p}_entry_count > 1").select("pair_id", "item", F.lit(True).alias("has_duplicate"), F.col(f"{p}_entry_count").alias("entry_count")), name)
+    values = value_discrepancies(compare_values(matched_pairs(many, matches), tolerance)).withColumn("entry_count", F.lit(None).cast("long"))
+    return discrepancies_of(few, tolerance, threshold).unionByName(values).unionByName(missing_items(many, matches)).unionByName(twice("inv", "invoice")).unionByName(twice("po", "po"))
 
 
 def discrepancies(invoice: DataFrame, po: DataFrame, tolerance: float = PRICE_TOLERANCE, threshold: float = ITEM_MATCH_THRESHOLD, scorer: str = "token_set") -> DataFrame:

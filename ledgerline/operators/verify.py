@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..sources.files import gate_min_text
 from ..sources.tables import written
 from .line_items import structured_documents
-from .reconcile import align_items, confidence_flags, discrepancies_of, pair_outcome, summarize_pairs
+from .reconcile import align_items, confidence_flags, discrepancies_at_any_size, pair_outcome, summarize_pairs
 
 MIN_TEXT = 40
 
@@ -34,7 +34,7 @@ def verify_texts(texts: DataFrame, min_len: int = MIN_TEXT) -> DataFrame:
     invoice, po = items.where("is_invoice"), items.where("not is_invoice")
     # each is read by several of the steps below
     aligned = written(align_items(invoice, po), "aligned")
-    found = written(discrepancies_of(aligned), "found")
+    found = written(discrepancies_at_any_size(aligned), "found")
     one = lambda c, mine, name: F.max(F.when(F.col("is_invoice") == mine, F.col(c))).alias(name)
     pairs = parsed.groupBy("pair_id").agg(one("score", True, "invoice_score"), one("score", False, "po_score"), one("failure_reason", True, "invoice_failure"), one("failure_reason", False, "po_failure"))
     groups = lambda p: aligned.where(f"{p}_entry_count is not null")

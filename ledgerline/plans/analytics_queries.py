@@ -13,6 +13,7 @@ from ..streaming import jobs
 from ..sources.tables import shared_folder
 from . import inputs
 from . import reconcile_queries as Q
+from . import text_queries as T
 from .registry import query, with_ctes
 
 SEVERITY = "CASE WHEN discrepancies = 0 THEN 'NONE' WHEN discrepancies >= 5 OR abs(rupee_difference) > 5000 THEN 'HIGH' WHEN discrepancies >= 2 OR abs(rupee_difference) > 1000 THEN 'MEDIUM' ELSE 'LOW' END"
@@ -132,7 +133,8 @@ def _evaluated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     parsed = inputs.invoice_items(spark, sf_dir).select(F.col("pair_id").alias("scenario_id"), F.col("line_no").alias("pos"), "item", "qty", "price")
     planned = inputs.po_items(spark, sf_dir).groupBy(F.col("pair_id").alias("scenario_id")).agg(F.count(F.when(F.col("k").isin(0, 1, 3), 1)).alias("expected_discrepancies"))
     actual = Q.found(spark, sf_dir).groupBy(F.col("pair_id").alias("scenario_id")).agg(F.count("*").alias("n"))
-    counts = planned.join(actual, "scenario_id", "left").select("scenario_id", "expected_discrepancies", F.coalesce("n", F.lit(0)).alias("actual_discrepancies"))
+    counts = planned.join(actual, "scenario_id", "left").join(T.fallbacks(spark, sf_dir).withColumnRenamed("doc_id", "scenario_id"), "scenario_id", "left")
+    counts = counts.select("scenario_id", "expected_discrepancies", F.coalesce("n", F.lit(0)).alias("actual_discrepancies"), "fallback_used")
     return names, parsed, counts
 
 
@@ -145,7 +147,7 @@ ACCURACY = """counts AS (
   SELECT pair_id AS scenario_id, e, coalesce(a, 0) AS a FROM (SELECT pair_id, count(*) FILTER (k IN (0, 1, 3)) AS e FROM po GROUP BY 1) LEFT JOIN (SELECT pair_id, count(*) AS a FROM found GROUP BY 1) USING (pair_id)),
 accuracy AS (
   SELECT scenario_id, round(coalesce(q, 0) / greatest(n, 1) * 100, 2) AS quantity_accuracy, round(coalesce(p, 0) / greatest(n, 1) * 100, 2) AS price_accuracy,
-    round(CASE WHEN e = 0 THEN greatest(0, 100 - 25.0::DOUBLE * a) ELSE greatest(0, (1 - abs(a - e)::DOUBLE / e) * 100) END, 2) AS discrepancy_accuracy
+    round(CASE WHEN e = 0 THEN greatest(0, 100 - 25.0::DOUBLE * a) ELSE greatest(0, (1 - abs(a - e)::DOUBLE / e) * 100) END, 2) AS discrepancy_accuracy, scenario_id NOT IN (SELECT doc_id FROM valid) AS fallback_used
   FROM counts LEFT JOIN (SELECT scenario_id, count(*) AS n FROM expected GROUP BY 1) USING (scenario_id)
   LEFT JOIN (SELECT scenario_id, count(*) FILTER (qty = expected_qty) AS q, count(*) FILTER (price = expected_price) AS p FROM hits GROUP BY 1) USING (scenario_id))"""
 
@@ -156,12 +158,12 @@ def match_expected(spark, sf_dir):
     return E.match_expected(expected, parsed)
 
 
-@query("h2_scenario_accuracy", with_ctes([*Q.FOUND_CTES, HITS, ACCURACY], "SELECT * FROM accuracy"))
+@query("h2_scenario_accuracy", with_ctes([*Q.FOUND_CTES, T.VALID, HITS, ACCURACY], "SELECT * FROM accuracy"))
 def scenario_accuracy(spark, sf_dir):
     return E.scenario_accuracy(*_evaluated(spark, sf_dir))
 
 
-@query("h3_accuracy_summary", with_ctes([*Q.FOUND_CTES, HITS, ACCURACY], "SELECT count(*) AS scenarios, round(avg(quantity_accuracy), 2) AS quantity_accuracy, round(avg(price_accuracy), 2) AS price_accuracy, round(avg(discrepancy_accuracy), 2) AS discrepancy_accuracy FROM accuracy"))
+@query("h3_accuracy_summary", with_ctes([*Q.FOUND_CTES, T.VALID, HITS, ACCURACY], "SELECT count(*) AS scenarios, round(avg(quantity_accuracy), 2) AS quantity_accuracy, round(avg(price_accuracy), 2) AS price_accuracy, round(avg(discrepancy_accuracy), 2) AS discrepancy_accuracy, round(avg(fallback_used::INT::DOUBLE) * 100, 2) AS fallback_rate FROM accuracy"))
 def accuracy_summary(spark, sf_dir):
     return E.accuracy_summary(E.scenario_accuracy(*_evaluated(spark, sf_dir)))
 

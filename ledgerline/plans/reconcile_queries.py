@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import reconcile as R
+from ..operators.fuzzy_join import assign_in_rounds, large_candidates
 from ..operators.verify import verify_texts
-from ..functions.scalars import difference, is_trailing_drift
+from ..functions.scalars import difference, entry_text, is_trailing_drift
 from ..sources import files
-from ..sources.tables import written
+from ..sources.tables import shared_folder, written
 from . import inputs
 from .registry import query, with_ctes
 
@@ -190,7 +193,7 @@ def flags(spark: SparkSession, sf_dir: str, once: tuple[DataFrame, DataFrame] |
 def _once(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The aligned groups and their discrepancies, written once for queries that read them several times."""
     a = written(aligned(spark, sf_dir), "aligned")
-    return a, written(R.discrepancies_of(a), "found")
+    return a, written(R.discrepancies_at_any_size(a), "found")
 
 
 def outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,6 +245,27 @@ def _compared(spark, sf_dir):
     return R.compare_values(R.matched_pairs(a, R.fuzzy_matches(a)))
 
 
+def _catalogue(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All part names as the two sides of one pair: as they are, and, of two in three, as a scanner might misread them."""
+    names = inputs.table(spark, sf_dir, "part").select(F.lit(1).cast("long").alias("pair_id"), "p_partkey", F.lower("p_name").alias("item"))
+    k = F.col("p_partkey") % 6
+    read = F.when(k == 0, F.replace("item", F.lit("e"), F.lit("c"))).when(k == 1, F.concat("item", F.lit(" x"))).when(k == 2, F.regexp_replace("item", "(.)$", "")).when(k == 3, F.regexp_replace("item", "^(..)", "$1$1")).otherwise(F.col("item"))
+    side = lambda c: names.select("pair_id", c.alias("item")).distinct()
+    return side(read), side(F.col("item"))
+
+
+@query("f4_catalogue_candidates")
+def catalogue_candidates(spark, sf_dir):
+    """One pair with all names of the parts; the search is spread over tasks."""
+    return large_candidates(*_catalogue(spark, sf_dir), R.ITEM_MATCH_THRESHOLD)
+
+
+@query("f5_catalogue_assignment")
+def catalogue_assignment(spark, sf_dir):
+    """The one-to-one matches of the catalogue, in rounds of mutual best."""
+    return assign_in_rounds(catalogue_candidates(spark, sf_dir))
+
+
 @query("f6_quantity_check", with_ctes([*_ASSIGNED, MATCHED, COMPARED], "SELECT pair_id, item, section, inv_qty, po_qty, qty_check FROM compared"))
 def quantity_check(spark, sf_dir):
     return _compared(spark, sf_dir).select("pair_id", "item", "section", "inv_qty", "po_qty", "qty_check")
@@ -252,16 +276,27 @@ def price_check(spark, sf_dir):
     return _compared(spark, sf_dir).select("pair_id", "item", "section", "inv_price", "po_price", "price_check")
 
 
-@query("f8_missing_items", with_ctes([*_ASSIGNED, MISSING], "SELECT pair_id, item, section, type, issue, entry_count FROM missing"))
+#: The lines behind each name of a side, as a reader sees them.
+ENTRIES = """entries AS (
+  SELECT side, pair_id, item, string_agg(coalesce(qty::VARCHAR, '-') || ' x ' || coalesce(price::VARCHAR, '-'), '; ' ORDER BY line_no) AS entries
+  FROM (SELECT 'invoice' AS side, pair_id, line_no, item, qty, price FROM inv UNION ALL SELECT 'po', pair_id, line_no, item, qty, price FROM po) GROUP BY ALL)"""
+
+
+def _with_entries(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    both = R.with_entries(rows, inputs.invoice_items(spark, sf_dir), inputs.marked_po_items(spark, sf_dir))
+    return both.withColumn("entries", entry_text(F.col("entries"))).select("pair_id", "item", "section", "type", "issue", "entry_count", "entries")
+
+
+@query("f8_missing_items", with_ctes([*_ASSIGNED, MISSING, ENTRIES], "SELECT m.pair_id, m.item, section, type, issue, entry_count, entries FROM missing m JOIN entries e ON e.pair_id = m.pair_id AND e.item = m.item AND side = CASE section WHEN '5_po_only' THEN 'po' ELSE 'invoice' END"))
 def missing_items(spark, sf_dir):
-    a = aligned(spark, sf_dir)
-    return R.missing_items(a, R.fuzzy_matches(a)).select("pair_id", "item", "section", "type", "issue", "entry_count")
+    a = written(aligned(spark, sf_dir), "aligned")
+    return _with_entries(spark, sf_dir, R.missing_items(a, R.fuzzy_matches(a)))
 
 
-@query("f9_duplicate_items", with_ctes([*_INPUT, _groups("gi", "inv"), _groups("gp", "po"), DUPLICATES], "SELECT pair_id, item, section, type, issue, entry_count FROM duplicates"))
+@query("f9_duplicate_items", with_ctes([*_INPUT, _groups("gi", "inv"), _groups("gp", "po"), DUPLICATES, ENTRIES], "SELECT d.pair_id, d.item, section, type, issue, entry_count, entries FROM duplicates d JOIN entries e ON e.pair_id = d.pair_id AND e.item = d.item AND side = CASE section WHEN '2_dup_po' THEN 'po' ELSE 'invoice' END"))
 def duplicate_items(spark, sf_dir):
     inv, po = grouped(spark, sf_dir)
-    return R.duplicate_items(inv, "invoice").unionByName(R.duplicate_items(po, "po")).select("pair_id", "item", "section", "type", "issue", "entry_count")
+    return _with_entries(spark, sf_dir, R.duplicate_items(inv, "invoice").unionByName(R.duplicate_items(po, "po")))
 
 
 @query("f10_discrepancies", with_ctes(FOUND_CTES, "SELECT * FROM found"))
@@ -284,7 +319,9 @@ def pair_outcome(spark, sf_dir):
     return outcome(spark, sf_dir)
 
 
-@query("f14_failures", with_ctes([*FOUND_CTES, PAIRS, FLAGS, OUTCOME], f"""SELECT pair_id,
+#: The failing pairs with their category and diagnostics.
+FAILED = f"""failed AS (
+  SELECT pair_id, error, warning, coalesce(nf, 0) AS nf,
     CASE WHEN error IS NOT NULL THEN 'execution_error' WHEN nf > 0 THEN 'reconciliation_mismatches' ELSE 'partial_extraction' END AS category,
     concat_ws(',', CASE WHEN error IS NOT NULL THEN 'execution_error,extraction_failed' END, CASE WHEN flags LIKE '%POSSIBLE_COLUMN_SHIFT%' THEN 'parser_instability' END,
       CASE WHEN flags LIKE '%RECONSTRUCTION%' AND rebuilt THEN 'reconstruction_overreach' END, CASE WHEN flags LIKE '%LOW_MATCH%' THEN 'fuzzy_matching_uncertainty' END,
@@ -292,16 +329,43 @@ def pair_outcome(spark, sf_dir):
   FROM outcome LEFT JOIN flags USING (pair_id) LEFT JOIN (
     SELECT pair_id, count(*) AS nf, bool_or(coalesce({drift_sql('invoice_num', 'po_num')}, false)) AS drift,
       bool_or((pair_id, item) IN (SELECT (pair_id, item) FROM inv WHERE reconstructed)) AS rebuilt FROM found GROUP BY 1) USING (pair_id)
-  WHERE error IS NOT NULL OR nf > 0 OR warning IS NOT NULL"""))
-def failures(spark, sf_dir):
+  WHERE error IS NOT NULL OR nf > 0 OR warning IS NOT NULL)"""
+
+
+def _failures(spark: SparkSession, sf_dir: str, once: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
     inv, po = inputs.invoice_items(spark, sf_dir), inputs.marked_po_items(spark, sf_dir)
-    a, f = once = _once(spark, sf_dir)
-    pairs = inputs.pairs(spark, sf_dir)
+    a, f = once
+    pairs, marks = inputs.pairs(spark, sf_dir), flags(spark, sf_dir, once)
     states = R.pair_outcome(pairs, a.where("inv_entry_count is not null"), a.where("po_entry_count is not null"))
-    out = R.classify_failures(pairs, states, flags(spark, sf_dir, once), inv, po, f)
+    return R.classify_failures(pairs, states, marks, inv, po, f), states, marks
+
+
+@query("f14_failures", with_ctes([*FOUND_CTES, PAIRS, FLAGS, OUTCOME, FAILED], "SELECT pair_id, category, diagnostics FROM failed"))
+def failures(spark, sf_dir):
+    out, _, _ = _failures(spark, sf_dir, _once(spark, sf_dir))
     return out.select("pair_id", "category", F.array_join("diagnostic_categories", ",").alias("diagnostics"))
 
 
+@query("a9_failure_record", with_ctes([*FOUND_CTES, PAIRS, FLAGS, OUTCOME, FAILED], """SELECT pair_id, category, diagnostics, error, warning, coalesce(i.n, 0) AS invoice_item_count, coalesce(p.n, 0) AS po_item_count, nf AS discrepancies, g.flags
+  FROM failed LEFT JOIN (SELECT pair_id, count(*) AS n FROM inv GROUP BY 1) i USING (pair_id) LEFT JOIN (SELECT pair_id, count(*) AS n FROM po GROUP BY 1) p USING (pair_id) LEFT JOIN flags g USING (pair_id)"""))
+def failure_record(spark, sf_dir):
+    """The failure log of all pairs, written by category and read back."""
+    once = _once(spark, sf_dir)
+    failed, states, marks = _failures(spark, sf_dir, once)
+    side = lambda items, is_invoice: items.select("pair_id", F.lit(is_invoice).alias("is_invoice"))
+    items = side(inputs.invoice_items(spark, sf_dir), True).unionByName(side(inputs.marked_po_items(spark, sf_dir), False))
+    texts = inputs.pairs(spark, sf_dir).select("pair_id", F.lit(None).cast("string").alias("invoice_text"), F.lit(None).cast("string").alias("po_text"))
+    record = files.failure_rows(written(failed, "failed"), texts, states, items, once[1], marks)
+    path = f"{shared_folder(spark)}/failures-{uuid.uuid4().hex}"
+    files.write_failures(record, path)
+    back = spark.read.schema(record.schema).json(path)
+    found = F.coalesce(F.size(F.from_json("discrepancies", "array<struct<type:string>>")), F.lit(0))
+    return back.select(
+        "pair_id", "category", F.array_join("diagnostic_categories", ",").alias("diagnostics"), "error", "warning", "invoice_item_count", "po_item_count",
+        F.when(F.col("discrepancies").isNull(), 0).otherwise(found).alias("discrepancies"), F.array_join("confidence_flags", ",").alias("flags"),
+    )
+
+
 @query("c12_trailing_drift", with_ctes([PO], f"SELECT pair_id, line_no, {drift_sql('qty', '(qty + k)')} AS qty_drift, {drift_sql('price', '(price + k * 9)')} AS price_drift FROM po"))
 def trailing_drift(spark, sf_dir):
     q, p, k = F.col("qty"), F.col("price"), F.col("k")
@@ -313,12 +377,14 @@ def differences(spark, sf_dir):
     return inputs.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", difference(F.col("l_quantity"), F.when(F.col("l_linenumber") > 1, F.col("l_extendedprice"))).alias("difference"))
 
 
-@query("a8_report_rows", with_ctes([*FOUND_CTES, PAIRS], """SELECT pair_id, CASE WHEN type IS NULL THEN '-' ELSE item END AS item, coalesce(field, '-') AS field,
-    CASE WHEN type IS NULL THEN '-' ELSE coalesce(invoice_num::VARCHAR, 'N/A') END AS invoice, CASE WHEN type IS NULL THEN '-' ELSE coalesce(po_num::VARCHAR, 'N/A') END AS po,
+@query("a8_report_rows", with_ctes([*FOUND_CTES, PAIRS, ENTRIES], """SELECT p.pair_id, CASE WHEN type IS NULL THEN '-' ELSE f.item END AS item, coalesce(field, '-') AS field,
+    CASE WHEN type IS NULL THEN '-' WHEN section = '1_dup_invoice' THEN entry_count::VARCHAR WHEN section = '6_invoice_only' THEN entries ELSE coalesce(invoice_num::VARCHAR, 'N/A') END AS invoice,
+    CASE WHEN type IS NULL THEN '-' WHEN section = '2_dup_po' THEN entry_count::VARCHAR WHEN section = '5_po_only' THEN entries ELSE coalesce(po_num::VARCHAR, 'N/A') END AS po,
     CASE WHEN type IS NULL THEN '-' ELSE coalesce(difference::VARCHAR, 'N/A') END AS difference, coalesce(replace(issue, '_', ' '), 'No discrepancies found') AS issue
-  FROM pairs LEFT JOIN found USING (pair_id)"""))
+  FROM pairs p LEFT JOIN found f ON f.pair_id = p.pair_id LEFT JOIN entries e ON e.pair_id = f.pair_id AND e.item = f.item AND section IN ('5_po_only', '6_invoice_only') AND side = CASE section WHEN '5_po_only' THEN 'po' ELSE 'invoice' END"""))
 def report_rows(spark, sf_dir):
-    return files.report_rows(found(spark, sf_dir), inputs.pairs(spark, sf_dir))
+    rows = R.with_entries(written(found(spark, sf_dir), "found"), inputs.invoice_items(spark, sf_dir), inputs.marked_po_items(spark, sf_dir))
+    return files.report_rows(rows, inputs.pairs(spark, sf_dir))
 
 
 @query("a8_report_header", with_ctes(SUMMARY_CTES, "SELECT pair_id, status, discrepancies AS total_discrepancies, total_difference FROM summary"))

@@ -436,6 +436,11 @@ def select_source(spark, sf_dir):
     return P.select_source(_valid(spark, sf_dir), parsed, _responses(spark, sf_dir).select("doc_id", F.col("ocr_text").alias("text")))
 
 
+def fallbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and whether the order's items had to come from the parser."""
+    return select_source(spark, sf_dir).groupBy("doc_id").agg(F.bool_or("fallback_used").alias("fallback_used"))
+
+
 @query("e7_deviation", with_ctes([Q.PO, Q.RAW], """SELECT doc_id, bool_or(a IS DISTINCT FROM b) AS has_deviation FROM (SELECT pair_id AS doc_id, item, arg_max({'q': qty, 'p': price}, line_no) AS a FROM raw GROUP BY ALL)
   JOIN (SELECT pair_id AS doc_id, item, arg_max({'q': qty, 'p': price}, line_no) AS b FROM po GROUP BY ALL) USING (doc_id, item) GROUP BY 1"""))
 def deviation(spark, sf_dir):

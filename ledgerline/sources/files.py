@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import preview, strip
+from ..functions.scalars import entry_text, preview, strip
 
 MAX_UPLOAD_BYTES = 10 * 1024 * 1024
 HISTORY = "id string, vendor string, status string, discrepancies int, time timestamp, rupeeDifference double, duration string, confidence string, issues array<string>"
@@ -71,12 +71,22 @@ def load_history(spark: SparkSession, path: str) -> DataFrame:
 
 
 def report_rows(found: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Rows of the discrepancy report, one placeholder for a pair without any."""
+    """Rows of the discrepancy report, one placeholder for a pair without any.
+
+    A duplicate item shows how many lines its side has, a missing one the lines themselves; ``found`` without section, entry_count or entries has N/A there.
+    """
+    for c, kind in (("section", "string"), ("entry_count", "long"), ("entries", "array<struct<line_no:int,item:string,qty:double,price:double>>")):
+        found = found if c in found.columns else found.withColumn(c, F.lit(None).cast(kind))
     j = pairs.select("pair_id").join(found, "pair_id", "left")
     none = F.col("type").isNull()
     shown = lambda c, d: F.when(none, "-").otherwise(F.coalesce(F.col(c).cast("string"), F.lit(d)))
+    lines = entry_text(F.col("entries"))
+
+    def side(c: str, twice: str, only: str) -> Column:
+        return F.when(F.col("section") == twice, F.col("entry_count").cast("string")).when(F.col("section") == only, F.coalesce(lines, F.lit("N/A"))).otherwise(shown(c, "N/A"))
+
     return j.select(
-        "pair_id", shown("item", "-").alias("item"), shown("field", "-").alias("field"), shown("invoice_num", "N/A").alias("invoice"), shown("po_num", "N/A").alias("po"),
+        "pair_id", shown("item", "-").alias("item"), shown("field", "-").alias("field"), side("invoice_num", "1_dup_invoice", "6_invoice_only").alias("invoice"), side("po_num", "2_dup_po", "5_po_only").alias("po"),
         shown("difference", "N/A").alias("difference"), F.when(none, "No discrepancies found").otherwise(F.replace("issue", F.lit("_"), F.lit(" "))).alias("issue"),
     )
 
@@ -89,10 +99,37 @@ def write_report(rows: DataFrame, path: str, kind: str = "csv") -> None:
     (rows.write.option("header", "true") if kind == "csv" else rows.write).format(kind).mode("errorifexists").save(path)
 
 
-def failure_rows(failures: DataFrame, texts: DataFrame) -> DataFrame:
-    """Failing pairs with previews of both texts and an id of their own. ``texts``: pair_id, invoice_text, po_text."""
-    return failures.join(texts, "pair_id", "left").select(
-        F.uuid().alias("failure_id"), F.current_timestamp().alias("timestamp"), "pair_id", "category", "diagnostic_categories",
+def failure_rows(failures: DataFrame, texts: DataFrame, outcome: DataFrame | None = None, items: DataFrame | None = None, found: DataFrame | None = None, flags: DataFrame | None = None, parsers: DataFrame | None = None) -> DataFrame:
+    """The record of each failing pair: category, lengths and previews of both texts, and an id of its own. ``texts``: pair_id, invoice_text, po_text.
+
+    With them, also error and warning (``outcome``), counts of items (``items``: pair_id, is_invoice), the discrepancies as one JSON
+    text (``found``, by section, item and field), confidence flags (``flags``) and what the parser reports of both sides (``parsers``: pair_id,
+    is_invoice, score, failure_reason); null where a table is not given.
+    """
+    rows = failures.join(texts, "pair_id", "left")
+    null = lambda kind: F.lit(None).cast(kind)
+    rows = rows.join(outcome.select("pair_id", "error", "warning"), "pair_id", "left") if outcome is not None else rows.withColumns({"error": null("string"), "warning": null("string")})
+    if items is not None:
+        counts = items.groupBy("pair_id").agg(F.count_if("is_invoice").alias("invoice_item_count"), F.count_if(~F.col("is_invoice")).alias("po_item_count"))
+        rows = rows.join(counts, "pair_id", "left").fillna(0, ["invoice_item_count", "po_item_count"])
+    else:
+        rows = rows.withColumns({"invoice_item_count": null("long"), "po_item_count": null("long")})
+    if found is not None:
+        some = F.struct("section", "item", "field_rank", "type", "field", F.col("invoice_num").alias("invoice_value"), F.col("po_num").alias("po_value"), "difference", "issue")
+        rows = rows.join(found.groupBy("pair_id").agg(F.to_json(F.array_sort(F.collect_list(some))).alias("discrepancies")), "pair_id", "left")
+    else:
+        rows = rows.withColumn("discrepancies", null("string"))
+    rows = rows.join(flags.select("pair_id", "confidence_flags"), "pair_id", "left") if flags is not None else rows.withColumn("confidence_flags", null("array<string>"))
+    report = "struct<score:double,failure_reason:string>"
+    if parsers is not None:
+        mine = lambda side: F.max(F.when(side, F.struct(F.col("score").cast("double").alias("score"), "failure_reason")))
+        rows = rows.join(parsers.groupBy("pair_id").agg(mine(F.col("is_invoice")).alias("invoice_parser"), mine(~F.col("is_invoice")).alias("po_parser")), "pair_id", "left")
+    else:
+        rows = rows.withColumns({"invoice_parser": null(report), "po_parser": null(report)})
+    length = lambda c: F.length(F.coalesce(F.col(c), F.lit("")))
+    return rows.select(
+        F.uuid().alias("failure_id"), F.current_timestamp().alias("timestamp"), "pair_id", "category", "diagnostic_categories", "error", "warning",
+        length("invoice_text").alias("invoice_text_length"), length("po_text").alias("po_text_length"), "invoice_item_count", "po_item_count", "discrepancies", "invoice_parser", "po_parser", "confidence_flags",
         preview(F.col("invoice_text"), 1000).alias("invoice_preview"), preview(F.col("po_text"), 1000).alias("po_preview"),
     )
 
