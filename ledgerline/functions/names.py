@@ -4,6 +4,8 @@ A batch's distinct words are told labels or not at once, and a worker remembers
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from .matching import labels_among
 from .scalars import normalize_ocr_text, squeeze, trim_name
 
+_LETTER = re.compile(r"[^\W\d_]")
 _KNOWN: dict[str, bool] = {}
 _REMEMBER = 200_000
 
@@ -18,7 +21,8 @@ _REMEMBER = 200_000
 def _told(words: set[str]) -> dict[str, bool]:
     if len(_KNOWN) > _REMEMBER:
         _KNOWN.clear()
-    new = words - _KNOWN.keys()
+    # digits and marks alone are never close enough to a label, so only words with a letter are looked at and remembered
+    new = {w for w in words - _KNOWN.keys() if _LETTER.search(w)}
     labels = labels_among(new)
     _KNOWN.update((w, w in labels) for w in new)
     return _KNOWN
@@ -27,8 +31,8 @@ def _told(words: set[str]) -> dict[str, bool]:
 def _labels_of(words: pd.Series, texts: pd.Series) -> pd.DataFrame:
     split = [None if some is None else [None if t is None else t.split() for t in some] for some in texts]
     told = _told({w for some in words if some is not None for w in some} | {w for some in split if some for t in some if t for w in t})
-    without = [None if some is None else [None if t is None else " ".join(w for w in t if not told[w]) for t in some] for some in split]
-    return pd.DataFrame({"flags": [None if some is None else [told[w] for w in some] for some in words], "texts": without})
+    without = [None if some is None else [None if t is None else " ".join(w for w in t if not told.get(w, False)) for t in some] for some in split]
+    return pd.DataFrame({"flags": [None if some is None else [told.get(w, False) for w in some] for some in words], "texts": without})
 
 
 def without_labels(words: Column, texts: Column) -> Column:

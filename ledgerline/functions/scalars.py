@@ -3,6 +3,8 @@ unless a docstring says otherwise."""
 
 from __future__ import annotations
 
+import re
+
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -68,14 +70,18 @@ def squeeze(col: Column) -> Column:
 
 
 def normalize_ocr_text(col: Column) -> Column:
-    """Repair field words and separators; case and lines stay. Null gives the empty text."""
-    text = F.coalesce(col.cast("string"), F.lit(""))
-    text = F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    """Repair field words and separators; case and lines stay. Null gives the empty text.
+
+    Most texts need no repair: one look for anything that a repair would change saves the repairs.
+    """
+    raw = F.coalesce(col.cast("string"), F.lit(""))
+    text = F.replace(F.replace(raw, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
     for bad, good in MOJIBAKE:
         text = F.replace(text, F.lit(bad), F.lit(good))
     for pattern, to in OCR_REPAIRS:
         text = F.regexp_replace(text, _u(pattern), to)
-    return strip(text)
+    spoilt = [r"\r", r"\t", r"  ", *(re.escape(bad) for bad, _ in MOJIBAKE), *(f"(?:{p})" for p, _ in OCR_REPAIRS if p != r"[ \t]+")]
+    return F.when(raw.rlike(_u("|".join(spoilt))), strip(text)).otherwise(strip(raw))
 
 
 def clean_numeric_token(col: Column) -> Column:
@@ -98,7 +104,9 @@ def normalize_currency(col: Column) -> Column:
         d = F.regexp_replace(F.translate(t, "oOiIlL|!sSzZgGbB", "0011111155229988"), r"(\d)\s*,\s*(\d)", "$1$2")
         return F.when(usable, parse_number(F.regexp_replace(d, r"[^0-9.\-]", "")))
 
-    return let(strip(F.regexp_replace(normalize_ocr_text(col), r"(?i)(?U)\b(?:rs|inr)\.?\s*", "")), amount)
+    worked_out = let(strip(F.regexp_replace(normalize_ocr_text(col), r"(?i)(?U)\b(?:rs|inr)\.?\s*", "")), amount)
+    # plain digits are what all of that leaves them
+    return F.when(col.cast("string").rlike(r"^[0-9]+(?:\.[0-9]+)?$"), F.round(col.try_cast("double"), 2)).otherwise(worked_out)
 
 
 def normalize_quantity(col: Column) -> Column:

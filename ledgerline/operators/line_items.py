@@ -12,8 +12,11 @@ from pyspark.sql.window import Window
 
 from ..functions.names import without_labels
 from ..functions.scalars import clean_ocr_text, is_coordinate_payload, is_tax_line, let, normalize_currency, normalize_ocr_text, normalize_percentage, reconcile_math, squeeze, strip, trim_name
+from ..sources.tables import written
 
 QUANTITY_MAX = 1000.0
+#: From so many rows on a line may be hot; places over which a hot one is spread.
+HOT_ROWS, HOT_PARTS = 10_000, 32
 
 # Patterns of field words, heading words and totals.
 KEYWORDS = r"(?i)(?U)\b(?:qty|quantity|qnty|price|rate|amount|tax|gst|vat|total)\b"
@@ -234,7 +237,7 @@ def _label_name(words: Column, flags: Column) -> Column:
     return trim_name(normalize_ocr_text(F.replace(F.get(F.split(text, KEYWORDS, 2), F.lit(0)), F.lit("|"), F.lit(" "))))
 
 
-def _candidates() -> Column:
+def _candidates() -> list[Column]:
     """What each reader makes of a line, in the order in which they count: by the heading's columns, by place in a table row, by
     labels, and by a name with trailing amounts. Null where a reader has nothing."""
     name = lambda k: F.coalesce(F.get("names", F.lit(k)), F.lit(""))
@@ -264,7 +267,7 @@ def _candidates() -> Column:
     head = made(name(1), F.col("head.qty"), F.col("head.price"), null, F.col("head.total"), F.lit(0.98), "columnar", F.lit(True))
     trailing_name = F.coalesce(F.nullif(name(0), F.lit("")), F.nullif(name(3), F.lit("")), name(4))
     trailing = made(trailing_name, null, null, null, null, null, "trailing_numeric", F.lit(True))
-    return F.array(head, let(v, by_place), let(stated, by_label), trailing)
+    return [head, let(v, by_place), let(stated, by_label), trailing]
 
 
 def _finalized(c: Column) -> Column:
@@ -289,10 +292,10 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     """
     out = with_cells(with_marks(lines)).withColumn("summary", is_tax_line(F.col("cleaned")))
     out = out.withColumn("told", without_labels(F.col("words"), _name_texts()))
-    out = out.withColumn("names", F.array_append(F.transform("told.texts", trim_name), _label_name(F.col("words"), F.col("told.flags")))).withColumn("read", F.transform(_candidates(), _finalized))
-    parsed = F.get(F.filter("read", lambda x: x.isNotNull()), F.lit(0))
-    if "confidence" in lines.columns:
-        parsed = let(parsed, lambda p: F.when(p.isNotNull(), p.withField("confidence", F.coalesce(F.round((p["confidence"] + F.col("confidence")) / 2, 4), p["confidence"]))))
+    out = out.withColumn("names", F.array_append(F.transform("told.texts", trim_name), _label_name(F.col("words"), F.col("told.flags"))))
+    # a reader is asked only where those before it have nothing
+    parsed = F.coalesce(*(let(c, _finalized) for c in _candidates()))
+    parsed = _with_document(parsed, lines)
     # what no reader makes an item of, none has left a quantity or price of either
     hints = F.col("cleaned").rlike(KEYWORDS) | F.col("cleaned").contains("|")
     reason = (
@@ -307,6 +310,34 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     return out.select("doc_id", "line_no", "raw", "cleaned", F.explode_outer(F.array(both)).alias("x")).select("doc_id", "line_no", "raw", "cleaned", "x.parsed", "x.reason")
 
 
+def _with_document(parsed: Column, lines: DataFrame) -> Column:
+    """``parsed`` with the mean of its and its document's confidence, if the lines carry that."""
+    if "confidence" not in lines.columns:
+        return parsed
+    return let(parsed, lambda p: F.when(p.isNotNull(), p.withField("confidence", F.coalesce(F.round((p["confidence"] + F.col("confidence")) / 2, 4), p["confidence"]))))
+
+
+def parse_distinct(lines: DataFrame) -> DataFrame:
+    """``parse_lines`` by a dictionary: each distinct line under each distinct heading is parsed once, and lines find theirs by both.
+
+    ``lines`` should be a written table, as it is read for the dictionary and for the join. A line that more than one row in a thousand has
+    (headings, footers of a form) is spread over HOT_PARTS places in the join; there are fewer than a thousand such lines at any size.
+    """
+    key = F.xxhash64("cleaned", "header").alias("key")
+    known = lines.groupBy("cleaned", "header").agg(F.count("*").alias("n"))
+    parsed = parse_lines(known.select(F.struct(key, "n").alias("doc_id"), F.lit(0).alias("line_no"), F.col("cleaned").alias("raw"), "cleaned", "header"))
+    found = written(parsed.select("doc_id.key", "doc_id.n", "cleaned", "parsed", "reason"), "line-dictionary")
+    least = max(HOT_ROWS, lines.count() // 1_000)
+    hot = [r.key for r in found.where(F.col("n") > least).select("key").distinct().collect()]
+    is_hot = F.col("key").isin(hot) if hot else F.lit(False)
+    spread = F.when(is_hot, F.pmod(F.xxhash64("doc_id", "line_no"), F.lit(HOT_PARTS))).otherwise(0)
+    every = F.when(is_hot, F.array(*(F.lit(k).cast("long") for k in range(HOT_PARTS)))).otherwise(F.array(F.lit(0).cast("long")))
+    left = lines.withColumn("key", key).withColumn("place", spread.cast("long"))
+    right = found.withColumn("place", F.explode(every)).select("key", "place", "cleaned", "parsed", "reason")
+    both = left.join(right, ["key", "place", "cleaned"])
+    return both.select("doc_id", "line_no", "raw", "cleaned", _with_document(F.col("parsed"), lines).alias("parsed"), "reason")
+
+
 def dedup_items(rows: DataFrame) -> DataFrame:
     """Mark rows of a document that repeat an item with the same amounts (nulls equal): the first stays, the others get a reason."""
     w = Window.partitionBy("doc_id", "parsed.item", "parsed.qty", "parsed.price", "parsed.tax", "parsed.total").orderBy("line_no")
@@ -362,12 +393,15 @@ def extract_totals(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.explode(stated_totals(F.col("text"))).alias("t")).select("doc_id", "t.label", "t.value")
 
 
-def structured_documents(docs: DataFrame) -> DataFrame:
+def structured_documents(docs: DataFrame, dictionary: bool = False) -> DataFrame:
     """One row for each document: its items in order, totals, skipped rows, diagnostics, and whether anything was found.
 
-    Lines are parsed once; their rows are dealt by doc_id once, for the repeated rows and for the lists of a document.
+    Lines are parsed once, with ``dictionary`` each distinct one once, which writes them first; their rows are dealt by doc_id once, for the
+    repeated rows and for the lists of a document.
     """
-    rows = dedup_items(parse_lines(split_lines(docs)).repartition("doc_id"))
+    lines = split_lines(docs)
+    parsed = parse_distinct(written(lines, "lines")) if dictionary else parse_lines(lines)
+    rows = dedup_items(parsed.repartition("doc_id"))
     item = F.when(F.col("parsed").isNotNull(), F.struct("line_no", *(f"parsed.{f}" for f in ("item", "qty", "price", "tax", "total", "confidence", "parse_strategy", "swapped", "reconstructed"))))
     skipped = F.when(F.col("parsed").isNull(), F.struct("line_no", "raw", "cleaned", "reason"))
     some = lambda c: F.when(F.size(c) > 0, F.array_sort(c))

@@ -21,7 +21,7 @@ def parsed_pairs(texts: DataFrame, min_len: int = MIN_TEXT) -> DataFrame:
     usable = gate_min_text(texts, min_len).where("error is null")
     side = lambda is_invoice, text: F.struct(F.struct("pair_id", F.lit(is_invoice).alias("is_invoice")).alias("doc_id"), F.col(text).alias("text"))
     docs = usable.select(F.explode(F.array(side(True, "invoice_text"), side(False, "po_text"))).alias("d")).select("d.*")
-    return written(structured_documents(docs).select("doc_id.pair_id", "doc_id.is_invoice", "line_items", "score", "failure_reason"), "parsed-pairs")
+    return written(structured_documents(docs, dictionary=True).select("doc_id.pair_id", "doc_id.is_invoice", "line_items", "score", "failure_reason"), "parsed-pairs")
 
 
 def verify_texts(texts: DataFrame, min_len: int = MIN_TEXT) -> DataFrame:

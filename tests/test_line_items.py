@@ -74,3 +74,31 @@ def test_texts_without_items(read):
 def test_document_confidence_is_meant(spark):
     lines = L.split_lines(spark.createDataFrame([("a", TEXTS["clean"], 0.5), ("b", TEXTS["clean"], None)], "doc_id string, text string, confidence double"))
     assert {(r.doc_id, r.parsed.confidence) for r in L.parse_lines(lines).where("parsed is not null").collect()} == {("a", 0.74), ("b", 0.98)}
+
+
+def test_a_dictionary_of_lines_gives_what_parsing_each_gives(spark, monkeypatch):
+    from ledgerline.operators import line_items as L
+
+    monkeypatch.setattr(L, "HOT_ROWS", 3)
+    texts = ["Sr No | Item | Qty | Rate | Amount\n1 | steel rod | 2 | 50 | 100\n2 | bolt | 3 | 4 | 12", "Item | Rate | Qty | Amount\n1 | steel rod | 2 | 50 | 100\nbolt qty 3 price 4 tax 18%", "bolt qty 3 price 4 tax 18%\nbolt qty 3 price 4 tax 18%\nwasher 5 1.5 7.5\nTotal Amount: 20.50", "", None, "qty rate amount 5"]
+    docs = spark.createDataFrame([(k, texts[k % len(texts)], [0.5, None][k % 2]) for k in range(40)], "doc_id long, text string, confidence double")
+    lines = L.split_lines(docs)
+    plain = lambda df: sorted(repr((r.doc_id, r.line_no, r.raw, r.cleaned, r.parsed, r.reason)) for r in df.collect())
+    assert plain(L.parse_distinct(lines)) == plain(L.parse_lines(lines)) and lines.count() > 60
+
+
+def test_repairs_change_what_they_did(spark):
+    """Texts with and without anything to repair, against the repairs applied one by one."""
+    from pyspark.sql import functions as F
+
+    from ledgerline.functions import scalars as S
+
+    texts = ["steel rod", " a  b", "qty10", "PR1CE 5", "a|b", "x\r\ny", "1tem", "12", "12.50", "1,5", "q t y", "\t5", "a..b", "", None, "â‚¹ 5", "rs. 50", "amount5x", "ratex"]
+    slow = F.coalesce("t", F.lit(""))
+    slow = F.replace(F.replace(slow, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    for bad, good in S.MOJIBAKE:
+        slow = F.replace(slow, F.lit(bad), F.lit(good))
+    for pattern, to in S.OCR_REPAIRS:
+        slow = F.regexp_replace(slow, f"(?U){pattern}", to)
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(S.normalize_ocr_text(F.col("t")).alias("a"), S.strip(slow).alias("b"), S.normalize_currency(F.col("t")).alias("c")).collect()
+    assert [r.a for r in rows] == [r.b for r in rows] and [rows[k].c for k in (7, 8, 9)] == [12.0, 12.5, 15.0]
