@@ -9,15 +9,16 @@ Training takes a bounded sample of labelled rows (``sample`` of each class at mo
 words are those whose share of toxic rows, seen against the other rows, is far above chance; at most ``vocabulary`` of
 them become features.
 
-Labels only say toxic or not, so the order of the toxic rows comes from evidence that a model does not see: the telling
-words are dealt to two views by a hash. The weights of one view's words are fitted to grades that the other view's words give, toxic
-rows being ranked by how many of these they have and cut into ``grades`` equal parts. A word so gets its severity from the
-company it keeps, not from its own count. That and what the labels alone tell make one score, which all thresholds share: its scale is fitted to
-the labels, the first threshold is where at most ``false_alarms`` of the other rows pass, and the next ones part the toxic
-rows behind it into equal parts.
-
-Null and empty texts have no features and get the severity of the thresholds alone (close to 0).
-Labels that are null, or whose doc_id is null or not among the documents, are not used. With no label of one
+Labels only say toxic or not, so the order of the toxic rows comes from evidence beside the features: the telling
+words are dealt to two views by a hash, and a toxic row's grade in one view is its rank by how many words of the other view it has, in
+``grades`` equal parts. One likelihood is then maximised for all weights and all thresholds at once, over three rows for each
+labelled text: its features with what the label says (grade 0, or some grade above 0), and twice the features of either view with the
+grade that the other view gives; a view is half of the words by chance, so twice its features stand for the whole. A word so gets its severity
+from the company it keeps, not from its own count. ``false_alarms`` sets the probability from which a row is called toxic, so that at most
+this part of the other rows of the sample is, and leaves grades and severity as they are fitted.
+
+Null and empty texts have no features and get the severity of the thresholds alone: what is left for
+texts without a telling word. Copies of one text count once in the fit; if their labels differ, it is toxic. Labels that are null, or whose doc_id is null or not among the documents, are not used. With no label of one
 kind there is nothing to learn, and every score is 0.
 """
 
@@ -37,6 +38,8 @@ from pyspark.sql.window import Window
 from .common import id_and_text, map_texts
 
 SAMPLE, VOCABULARY, GRADES, FALSE_ALARMS = 1_500, 2_000, 3, 0.003
+#: How much a row with a grade from the other view counts beside one with its label.
+GRADED = 0.02
 #: Lower-cases A-Z and makes every other ASCII character but digits a blank.
 _LOWER_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
 
@@ -49,6 +52,7 @@ def words_of(text: bytes) -> list[bytes]:
 class OrdinalModel:
     weights: dict[bytes, float]
     thresholds: list[float]
+    operating: float = 0.5  # from this probability of a grade above 0 on a text is called toxic
 
     def score(self, text: bytes) -> list[float]:
         """P(grade > k) for each k."""
@@ -60,25 +64,28 @@ class OrdinalModel:
         return [1 / (1 + math.exp(min(50.0, max(-50.0, t - s)))) for t in self.thresholds]
 
 
-def fit_ordinal(x: np.ndarray, grade: np.ndarray, k: int, ridge: float = 0.02, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and increasing thresholds by maximum likelihood with a ridge, full-batch Adam."""
+def fit_ordinal(x: np.ndarray, grade: np.ndarray, k: int, ridge: float = 0.02, steps: int = 400, at_least: np.ndarray | None = None, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and increasing thresholds by maximum likelihood with a ridge, full-batch Adam. Of the rows ``at_least`` it is only known that
+    their grade is no smaller; a row counts ``counts`` times."""
     n, d = x.shape
+    share = np.full(n, 1 / n) if counts is None else counts / counts.sum()
+    open_ended = np.zeros(n, dtype=bool) if at_least is None else at_least
     weights = np.zeros(d)
     cuts = np.concatenate([[1.0], np.zeros(max(0, k - 2))])  # first threshold, then logs of the gaps
     m, v = np.zeros(d + k - 1), np.zeros(d + k - 1)
     for step in range(1, steps + 1):
         t = np.cumsum(np.concatenate([cuts[:1], np.exp(cuts[1:])]))
         s = x @ weights
-        upper = np.concatenate([t, [np.inf]])[grade]
+        upper = np.where(open_ended, np.inf, np.concatenate([t, [np.inf]])[grade])
         lower = np.concatenate([[-np.inf], t])[grade]
         with np.errstate(over="ignore"):
             pu, pl = 1 / (1 + np.exp(s - upper)), 1 / (1 + np.exp(s - lower))
         p = np.maximum(pu - pl, 1e-12)
         du, dl = pu * (1 - pu) / p, pl * (1 - pl) / p
-        gs = (du - dl) / n  # of the negative log likelihood by s
+        gs = (du - dl) * share  # of the negative log likelihood by s
         gt = np.zeros(k - 1)
         for j in range(k - 1):
-            gt[j] = (-du[grade == j].sum() + dl[grade == j + 1].sum()) / n
+            gt[j] = -(du * share)[grade == j].sum() + (dl * share)[grade == j + 1].sum()
         tail = np.cumsum(gt[::-1])[::-1]
         gc = np.concatenate([tail[:1], tail[1:] * np.exp(cuts[1:])])
         g = np.concatenate([x.T @ gs + ridge * weights / max(1, d) ** 0.5, gc])
@@ -97,7 +104,7 @@ def ranked(evidence: np.ndarray, parts: int) -> np.ndarray:
 
 def fit_rows(rows: list[tuple[bytes, int]], vocabulary: int = VOCABULARY, grades: int = GRADES, false_alarms: float = FALSE_ALARMS) -> OrdinalModel:
     k = grades + 1
-    rows = list({hash(t): (t, y) for t, y in rows}.values())  # copies of one text count once
+    rows = sorted(dict(sorted(rows)).items())  # of copies of one text the last counts, a toxic one if there is any
     counts = [Counter(words_of(t)) for t, _ in rows]
     y = np.array([y for _, y in rows])
     n_bad, n_good = int(y.sum()), int((1 - y).sum()) if len(y) else 0
@@ -123,20 +130,20 @@ def fit_rows(rows: list[tuple[bytes, int]], vocabulary: int = VOCABULARY, grades
         for w in c.keys() & column.keys():
             x[i, column[w]] = math.log1p(c[w])
             hits[i, view[w]] += c[w]
-    bad_rows, of = y == 1, np.array([view[w] for w in names])
-    weights = fit_ordinal(x, bad_rows.astype(np.int64), 2)[0]
+    bad_rows, of = y == 1, np.array([view[w] for w in names], dtype=np.int64)
+    features, known, censored, counts = [x], [bad_rows.astype(np.int64)], [bad_rows], [np.ones(len(rows))]
     for v in (0, 1):
         grade = np.zeros(len(rows), dtype=np.int64)
         grade[bad_rows] = ranked(hits[bad_rows, 1 - v], grades)
-        weights[of == v] += np.maximum(0, fit_ordinal(x[:, of == v], grade, k)[0])
-    # the scale is fitted to the labels; the first threshold lets hardly any other row pass, the next ones part the toxic rows behind it
-    weights *= fit_ordinal((x @ weights)[:, None], bad_rows.astype(np.int64), 2, ridge=0.0)[0][0]
-    score = x @ weights
-    first = np.quantile(score[~bad_rows], 1 - false_alarms, method="higher") + 1e-3
-    over = score[bad_rows & (score > first)]
-    cuts = np.quantile(over, np.arange(1, grades) / grades) if len(over) else first + np.arange(1, grades)
-    thresholds = np.maximum.accumulate(np.concatenate([[first], cuts]) + 1e-6 * np.arange(grades))
-    return OrdinalModel({w: float(weights[j]) for w, j in column.items()}, thresholds.tolist())
+        features.append(2 * x * (of == v))
+        known.append(grade)
+        censored.append(np.zeros(len(rows), dtype=bool))
+        counts.append(np.full(len(rows), GRADED))
+    balance = np.where(bad_rows, 1 / n_bad, 1 / n_good)  # both labels count alike, whatever their share of the sample
+    weights, thresholds = fit_ordinal(np.concatenate(features), np.concatenate(known), k, at_least=np.concatenate(censored), counts=np.concatenate(counts) * np.tile(balance, 3))
+    clean = 1 / (1 + np.exp(np.clip(thresholds[0] - x[~bad_rows] @ weights, -50, 50)))
+    operating = float(np.quantile(clean, 1 - false_alarms, method="higher")) + 1e-9
+    return OrdinalModel({w: float(weights[j]) for w, j in column.items()}, thresholds.tolist(), operating)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalModel:
@@ -156,8 +163,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalMode
     return fit_rows(sorted(zip(texts, table.column("toxic").to_pylist())))
 
 
-def severity(docs: DataFrame, model: OrdinalModel, threshold: float = 0.5) -> DataFrame:
-    """doc_id, severity (expected grade), p_toxic, grade (the likeliest side of each threshold) and toxic."""
+def severity(docs: DataFrame, model: OrdinalModel, threshold: float | None = None) -> DataFrame:
+    """doc_id, severity (expected grade), p_toxic, grade (the likeliest side of each threshold) and toxic (p_toxic from ``threshold`` on,
+    the model's operating point unless it is given)."""
+    least = model.operating if threshold is None else threshold
     bound = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(texts: list[bytes]) -> dict:
@@ -166,7 +175,7 @@ def severity(docs: DataFrame, model: OrdinalModel, threshold: float = 0.5) -> Da
             "severity": [round(sum(p), 6) for p in over],
             "p_toxic": [round(p[0], 6) for p in over],
             "grade": [sum(q >= 0.5 for q in p) for p in over],
-            "toxic": [p[0] >= threshold for p in over],
+            "toxic": [p[0] >= least for p in over],
         }
 
     return map_texts(docs, "severity double, p_toxic double, grade int, toxic boolean", work)

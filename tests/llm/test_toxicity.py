@@ -54,3 +54,37 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert len(made) == len(odd_texts()) and X.severity(no_docs, X.fit(no_docs, labels)).collect() == []
     nothing = X.fit(odd_docs, labels.where("toxic = 0"))
     assert {r.severity for r in X.severity(odd_docs, nothing).collect()} == {0.0}
+
+
+def test_the_joint_fit_against_a_plain_likelihood():
+    """No step away from the fitted weights and thresholds makes the likelihood, written out row by row, larger."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 2))
+    noisy = x @ np.array([1.0, 0.5]) + rng.logistic(size=400)
+    grade = (noisy > -0.5).astype(int) + (noisy > 0.7) + (noisy > 1.5)
+    loose, counts = rng.random(400) < 0.3, rng.choice([0.5, 1.0, 3.0], 400)
+    known = np.where(loose & (grade > 0), 1, grade)
+    loose &= grade > 0
+
+    def likelihood(w, t):
+        total = 0.0
+        for row, g, some, n in zip(x, known, loose, counts):
+            below = lambda k: 1 / (1 + np.exp(row @ w - t[k]))  # noqa: E731  P(grade <= k)
+            low = below(g - 1) if g else 0.0
+            total += n * np.log((1.0 if some or g == 3 else below(g)) - low)
+        return total / counts.sum()
+
+    w, t = X.fit_ordinal(x, known, 4, ridge=0.0, steps=4_000, at_least=loose, counts=counts)
+    best = likelihood(w, t)
+    for j in range(5):
+        for step in (-0.05, 0.05):
+            near = np.concatenate([w, t])
+            near[j] += step
+            assert likelihood(near[:2], near[2:]) < best
+
+
+def test_labels_of_copies_and_the_operating_point():
+    rows = [(b"vile slur", 1)] * 30 + [(f"vile slur {k}".encode(), 1) for k in range(30)] + [(f"kind word {k}".encode(), 0) for k in range(200)] + [(b"vile slur", 0)]
+    model = X.fit_rows(rows)
+    assert model.score(b"vile slur")[0] >= model.operating > model.score(b"kind word 3")[0]
+    assert X.fit_rows(rows[::-1]) == model
