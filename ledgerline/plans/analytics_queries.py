@@ -57,6 +57,11 @@ def kpis(spark, sf_dir):
     return A.kpis(runs(spark, sf_dir))
 
 
+@query("g2_formatted_kpis", with_ctes([*RUN_CTES, "kpis AS (SELECT count(*) AS processed, sum(discrepancies)::BIGINT AS total_discrepancies, round(count(*) FILTER (discrepancies > 0) * 100.0::DOUBLE / count(*), 4) AS flagged_pct, round(avg(c), 4) AS avg_confidence, 0.0::DOUBLE AS avg_duration, round(count(*) FILTER (discrepancies = 0) * 100.0::DOUBLE / count(*), 4) AS success_pct FROM runs)"], "SELECT processed, total_discrepancies, printf('%.1f%%', flagged_pct) AS flagged_pct, printf('%.1f%%', avg_confidence) AS avg_confidence, printf('%.1fs', avg_duration) AS avg_duration, printf('%.1f%%', success_pct) AS success_pct FROM kpis"))
+def formatted_kpis(spark, sf_dir):
+    return A.formatted_kpis(kpis(spark, sf_dir))
+
+
 @query("g3_vendor_stats", with_ctes([*RUN_CTES, STATS], f"SELECT *, {RISK} FROM stats"))
 def vendor_stats(spark, sf_dir):
     return A.vendor_stats(runs(spark, sf_dir))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import matching, scalars as S
@@ -11,6 +13,7 @@ from ..operators import line_items as L
 from ..operators import ocr as O
 from ..operators import responses as P
 from ..sources import files
+from ..sources.tables import shared_folder
 from . import inputs
 from . import reconcile_queries as Q
 from .registry import query, with_ctes
@@ -33,6 +36,32 @@ LINES = "lines AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS row_no, unnes
 # --- sources and gates ------------------------------------------------------------------------------------------------
 
 
+def _written_files(spark: SparkSession, sf_dir: str) -> str:
+    """The documents as files of their own in a new shared folder, every third one of a kind that the gate refuses; gives the folder."""
+    top = f"{shared_folder(spark)}/uploads-{uuid.uuid4().hex}"
+    docs = _docs(spark, sf_dir).where("text is not null").select("doc_id", "text").repartition("doc_id")
+    docs.where("doc_id % 3 <> 0").write.partitionBy("doc_id").text(f"{top}/plain")
+    docs.where("doc_id % 3 = 0").write.partitionBy("doc_id").csv(f"{top}/tables")
+    return top
+
+
+def _file_id() -> Column:
+    return F.regexp_extract("path", r"doc_id=(-?\d+)/", 1).cast("long").alias("doc_id")
+
+
+@query("a1_read_text_docs", "SELECT doc_id, text || chr(10) AS text FROM documents WHERE text IS NOT NULL AND doc_id % 3 <> 0")
+def read_text_docs(spark, sf_dir):
+    """Text files in a folder with others beside them."""
+    return files.read_text_docs(spark, _written_files(spark, sf_dir)).select(F.col("doc_id").alias("path"), "text").select(_file_id(), "text")
+
+
+@query("a2_gate_uploads", """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'unsupported file type' WHEN octet_length(encode(text)) + 1 > 3000 THEN 'file too large' END AS reject_reason
+  FROM documents WHERE text IS NOT NULL""")
+def gate_uploads(spark, sf_dir):
+    uploads = files.gate_uploads(files.read_uploads(spark, _written_files(spark, sf_dir)), 3_000)
+    return uploads.where(F.col("path").contains("doc_id=")).select(_file_id(), "reject_reason")
+
+
 @query("a3_gate_min_text", f"SELECT doc_id, CASE WHEN length({SPACE.format('text')}) < 40 OR text IS NULL THEN 'invoice text is too short' WHEN length(coalesce(repeat(lang, (doc_id % 30)::INT), '')) < 40 THEN 'PO text is too short' END AS error FROM documents")
 def gate_min_text(spark, sf_dir):
     return files.gate_min_text(_docs(spark, sf_dir).withColumn("invoice_text", F.col("text")).withColumn("po_text", F.expr("repeat(lang, cast(doc_id % 30 as int))"))).select("doc_id", "error")
@@ -146,6 +175,19 @@ def assemble_docs(spark, sf_dir):
     return O.assemble_docs(O.page_stats(O.with_geometry(_entries(spark, sf_dir))))
 
 
+_CLEAN = SPACE.format(r"regexp_replace(regexp_replace({0}, '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')")
+
+
+@query("b8_direct_text", with_ctes([*ENTRIES, CLUSTERS, PAGE_MEANS, PAGE_TEXTS], f"""SELECT coalesce(a.doc_id, d.doc_id) AS doc_id, CASE WHEN length(d) >= {O.DIRECT_TEXT} THEN d ELSE coalesce(a.text, '') END AS text,
+    CASE WHEN length(d) >= {O.DIRECT_TEXT} THEN 1.0::DOUBLE ELSE coalesce(a.confidence, 0) END AS confidence
+  FROM (SELECT doc_id, {MEAN.format('confidence')} AS confidence, {_CLEAN.format("string_agg(trim(text), chr(10) || chr(10) ORDER BY page_number) FILTER (trim(text) <> '')")} AS text FROM pages JOIN texts USING (doc_id, page_number) GROUP BY 1) a
+  FULL JOIN (SELECT doc_id, {_CLEAN.format("substr(text, 1, (doc_id % 160)::INT)")} AS d FROM documents WHERE doc_id % 2 = 0 AND text IS NOT NULL) d ON a.doc_id = d.doc_id"""))
+def direct_text(spark, sf_dir):
+    """Of every other document text that needs no recognition is there as well, often too little of it."""
+    direct = _docs(spark, sf_dir).where("doc_id % 2 = 0 AND text IS NOT NULL").select("doc_id", F.substring("text", F.lit(1), (F.col("doc_id") % 160).cast("int")).alias("text"))
+    return O.assemble_docs(O.page_stats(O.with_geometry(_entries(spark, sf_dir))), direct)
+
+
 @query("b9_coordinate_payload", r"""SELECT doc_id, n >= 2 AND NOT regexp_matches(t, '[A-Za-z]{2,}') AND len(regexp_extract_all(t, '-?\d+(?:\.\d+)?')) >= 2 * n AS is_payload FROM (
   SELECT doc_id, t, len(regexp_extract_all(t, '\[\d+(?:\.\d+)?,\d+(?:\.\d+)?\]')) AS n FROM (
     SELECT doc_id, regexp_replace(CASE doc_id % 3 WHEN 0 THEN '[' || doc_id || ', 2.5] [7,' || doc_id || ']' ELSE coalesce(text, '') END, '\s+', '', 'g') AS t FROM documents))""")
