@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import analytics as A
 from ..operators import evaluate as E
-from ..streaming import jobs
+from ..streaming import jobs, pairing
 from ..sources.tables import shared_folder
 from . import inputs
 from . import reconcile_queries as Q
@@ -187,6 +187,19 @@ def verify_stream(spark, sf_dir):
     return spark.read.parquet(f"{top}/out").select("pair_id", "discrepancies", "total_difference", "status")
 
 
+@query("s1_both_sides", with_ctes(Q.SUMMARY_CTES, """SELECT pair_id, discrepancies, total_difference, status FROM summary WHERE pair_id IN (SELECT pair_id FROM gi) AND pair_id IN (SELECT pair_id FROM gp)"""))
+def both_sides(spark, sf_dir):
+    """Both sides arrive as documents of their own; a pair is verified when it has both. Those with one side still wait for their deadline."""
+    top = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    entry = F.struct(F.col("line_no").cast("int").alias("line_no"), "item", F.col("qty").cast("double").alias("qty"), F.col("price").cast("double").alias("price"))
+    side = lambda items, name: items.groupBy("pair_id").agg(F.collect_list(entry).alias("items")).select("pair_id", F.lit(name).alias("side"), F.lit("2024-01-01").cast("timestamp").alias("ts"), "items")
+    documents = side(inputs.invoice_items(spark, sf_dir), "invoice").unionByName(side(inputs.marked_po_items(spark, sf_dir), "po"))
+    documents.write.parquet(f"{top}/in")
+    stream = jobs.read_arriving(spark, f"{top}/in", pairing.ARRIVING)
+    pairing.verify_both_sides(stream, lambda out, n: out.write.mode("overwrite").parquet(f"{top}/out/batch={n}"), f"{top}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{top}/out").select("pair_id", "discrepancies", "total_difference", "status")
+
+
 @query("s2_daily_counts", "SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type AS kind, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY ALL")
 def daily_counts(spark, sf_dir):
     return jobs.daily_counts(inputs.table(spark, sf_dir, "events"))
