@@ -16,7 +16,7 @@ from .hashing import grams, hash_words
 
 WORDS = 5
 #: Shingles of a block, documents of a block, and shingles of a bucket.
-BLOCK_TOKENS, BLOCK_DOCS, BUCKET_TOKENS = 1 << 21, 60_000, 1 << 21
+BLOCK_TOKENS, BLOCK_DOCS, BUCKET_TOKENS = 1 << 19, 60_000, 1 << 20
 #: The number of buckets is two to the power of this at least.
 LEAST_BUCKETS = 6
 _LOCAL, _NULL = 0xFFFF, -(1 << 63)
@@ -58,15 +58,16 @@ def shared_counts(docs: DataFrame) -> DataFrame:
             nonlocal block, ids, sets, held
             sizes = np.array([len(s) for s in sets], dtype="<i8")
             counts = np.zeros(len(sets), dtype="<i8")
+            digests = b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets)
             tokens = np.concatenate(sets) if held else np.zeros(0, dtype=np.uint64)
-            owners = np.repeat(np.arange(len(sets)), sizes).astype("<u2")
+            owners = np.repeat(np.arange(len(sets), dtype="<u2"), sizes)
+            sets = []
             order = np.argsort(tokens)
             tokens, owners = tokens[order], owners[order]
             begins, times = _runs(tokens)
             again = np.repeat(times > 1, times)
-            counts += np.bincount(owners[again], minlength=len(sets))
+            counts += np.bincount(owners[again], minlength=len(counts))
             tokens, sent = tokens[begins], np.where(times > 1, _LOCAL, owners[begins]).astype("<u2") if held else owners
-            digests = b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets)
             # the bucket is in the top bits, so the tokens of a bucket lie together
             place = (tokens >> np.uint64(64 - buckets.bit_length() + 1)).astype(np.int64)
             begins, times = _runs(place)
