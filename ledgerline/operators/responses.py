@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.scalars import item_quality, safe_number, strip
+from ..functions.scalars import item_quality, let, safe_number, strip
 
 MIN_ITEM_QUALITY, MIN_OCR_CONFIDENCE, MAX_PROMPT_CHARS = 0.30, 0.45, 4_000
 META = ["document_type", "invoice_number", "vendor", "date"]
@@ -31,29 +31,39 @@ def parse_response(responses: DataFrame) -> DataFrame:
     The whole text counts, else its outermost braces, else its outermost brackets as the list of items. Metadata that is
     there but no text makes metadata_ok false: the document falls back to the parser.
     """
-    text = strip_fences(F.coalesce("raw_response", F.lit("")))
-    inner = F.regexp_extract(text, r"(?s)\{.*\}", 0)
-    listed = F.regexp_extract(text, r"(?s)\[.*\]", 0)
     valid = lambda c, kind: F.try_parse_json(c).isNotNull() & F.startswith(strip(c), F.lit(kind))
-    payload = (
-        F.when(F.try_parse_json(text).isNotNull(), F.when(F.startswith(text, F.lit("{")), text))
-        .when(inner != "", F.when(valid(inner, "{"), inner))
-        .when((listed != "") & valid(listed, "["), F.concat(F.lit('{"items":'), listed, F.lit("}")))
-    )
-    out = responses.withColumn("payload", payload)
-    value = lambda k: F.get_json_object("payload", f"$.{k}")
-    fields = F.from_json("payload", "map<string,string>")
-    raw_items = F.when(F.startswith(strip(value("items")), F.lit("[")), F.from_json(value("items"), "array<string>"))
-    texts = [fields[k].isNull() & F.map_contains_key(fields, k) for k in META[1:]]
-    ok = ~(texts[0] | texts[1] | texts[2])
-    return out.withColumns({**{k: F.coalesce(value(k), F.lit("")) for k in META}, "raw_items": raw_items, "metadata_ok": F.coalesce(ok, F.lit(True)), "error": F.when(F.col("payload").isNull(), "no JSON object in response")}).drop("payload")
+
+    def listed(text: Column) -> Column:
+        return let(F.regexp_extract(text, r"(?s)\[.*\]", 0), lambda x: F.when((x != "") & valid(x, "["), F.concat(F.lit('{"items":'), x, F.lit("}"))))
+
+    def chosen(text: Column) -> Column:
+        braced = let(F.regexp_extract(text, r"(?s)\{.*\}", 0), lambda x: F.when(x != "", F.when(valid(x, "{"), x)).otherwise(listed(text)))
+        return F.when(F.try_parse_json(text).isNotNull(), F.when(F.startswith(text, F.lit("{")), text)).otherwise(braced)
+
+    def read(payload: Column) -> Column:
+        value = lambda k: F.get_json_object(payload, f"$.{k}")
+        items = let(value("items"), lambda x: F.when(F.startswith(strip(x), F.lit("[")), F.from_json(x, "array<string>")))
+        no_text = lambda fields: sum(F.when(F.map_contains_key(fields, k) & fields[k].isNull(), 1).otherwise(0) for k in META[1:])
+        ok = let(F.from_json(payload, "map<string,string>"), lambda fields: F.coalesce(no_text(fields) == 0, F.lit(True)))
+        error = F.when(payload.isNull(), "no JSON object in response")
+        return F.struct(*(F.coalesce(value(k), F.lit("")).alias(k) for k in META), items.alias("raw_items"), ok.alias("metadata_ok"), error.alias("error"))
+
+    names = [*META, "raw_items", "metadata_ok", "error"]
+    made = let(let(strip_fences(F.coalesce("raw_response", F.lit(""))), chosen), read)
+    # behind an explode, as a filter on any of it would else be pushed down, with all that leads to it repeated at each of its uses
+    return responses.withColumn("response", F.explode_outer(F.array(made))).withColumns({k: F.col(f"response.{k}") for k in names}).drop("response")
 
 
 def raw_entries(parsed: DataFrame) -> DataFrame:
     """(doc_id, pos, item, qty, price) of the entries that are objects, amounts as texts."""
-    rows = parsed.select("doc_id", F.posexplode("raw_items").alias("pos", "j")).where(F.startswith(strip(F.col("j")), F.lit("{")))
-    get = lambda k: F.get_json_object("j", f"$.{k}")
-    return rows.select("doc_id", "pos", get("item").alias("item"), get("qty").alias("qty"), get("price").alias("price"))
+
+    def entry(j: Column) -> Column:
+        get = lambda k: F.get_json_object(j, f"$.{k}")
+        return F.when(F.startswith(strip(j), F.lit("{")), F.struct(get("item").alias("item"), get("qty").alias("qty"), get("price").alias("price")))
+
+    # an outer explode: no filter on the list is inferred from it, which would read each response once more
+    rows = parsed.select("doc_id", F.posexplode_outer(F.transform("raw_items", entry)).alias("pos", "e")).where("e is not null")
+    return rows.select("doc_id", "pos", "e.item", "e.qty", "e.price")
 
 
 def validate_items(entries: DataFrame, confidences: DataFrame | None = None) -> DataFrame:
@@ -62,10 +72,13 @@ def validate_items(entries: DataFrame, confidences: DataFrame | None = None) ->
     ``confidences`` (doc_id, name, confidence) may name what the recognition was unsure of.
     """
     number = lambda c: safe_number(F.col(c)) if dict(entries.dtypes)[c] == "string" else F.round(F.col(c).cast("double"), 2)
-    out = entries.withColumn("item", strip(F.col("item"))).where("item <> ''").withColumns({"qty": number("qty"), "price": number("price")})
+    others = [c for c in entries.columns if c not in ("item", "qty", "price")]
+    cleaned = let(strip(F.col("item")), lambda x: F.struct(x.alias("item"), number("qty").alias("qty"), number("price").alias("price"), item_quality(x)["score"].alias("score")))
+    # one pass over each entry, behind an explode as in parse_response
+    out = entries.select(*others, F.explode_outer(F.array(cleaned)).alias("e")).select(*others, "e.*").where("item <> '' AND qty > 0 AND price >= 0").where(F.col("score") >= MIN_ITEM_QUALITY).drop("score")
+    out = out.select(*entries.columns)
     if confidences is not None:
         out = gate_ocr_conf(out, confidences)
-    out = out.where((F.col("qty") > 0) & (F.col("price") >= 0)).withColumn("q", item_quality(F.col("item"))).where(F.col("q.score") >= MIN_ITEM_QUALITY).drop("q")
     w = Window.partitionBy("doc_id", F.lower("item"), "qty", "price").orderBy("pos")
     return out.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
 
@@ -95,8 +108,10 @@ def select_source(model: DataFrame, parsed: DataFrame, docs: DataFrame) -> DataF
     ``docs``: doc_id, text. Gives (doc_id, mode, fallback_used, item, qty, price); a document without items has one row with null item.
     """
     cols = ["doc_id", "item", "qty", "price"]
-    fallback = parsed.select(*cols).join(model.select("doc_id").distinct(), "doc_id", "left_anti")
-    items = model.select(*cols).withColumn("mode", F.lit("model")).unionByName(fallback.withColumn("mode", F.lit("regex_fallback")))
+    both = model.select(*cols, F.lit(True).alias("is_model")).unionByName(parsed.select(*cols, F.lit(False).alias("is_model")))
+    # the model's rows are read once: where a document has any, its others go
+    best = F.max("is_model").over(Window.partitionBy("doc_id"))
+    items = both.withColumn("best", best).where("is_model = best").select(*cols, F.when(F.col("is_model"), "model").otherwise("regex_fallback").alias("mode"))
     empty = F.trim(F.coalesce("text", F.lit(""))) == ""
     mode = F.when(empty, "empty_input").otherwise(F.coalesce("mode", F.lit("failed")))
     j = docs.select("doc_id", "text").join(items, "doc_id", "left")
