@@ -23,12 +23,13 @@ def filter_history(runs: DataFrame) -> DataFrame:
     return runs.where(F.col("vendor").isNotNull() & (F.col("vendor") != "") & ~F.col("run_id").startswith("INV-") & ~F.lower("vendor").contains("demo") & ~F.lower("vendor").contains("mock") & ~v.isin(MOCK_VENDORS))
 
 
-def to_runs(summary: DataFrame, found: DataFrame, penalty: float = 1.0, least: float = 94.0) -> DataFrame:
-    """One run for each pair summary (pair_id, vendor, ts, status, discrepancies, total_difference)."""
-    issues = found.groupBy("pair_id").agg(F.array_sort(F.collect_list("field")).alias("issues"))
+def to_runs(summary: DataFrame, found: DataFrame | None = None, penalty: float = 1.0, least: float = 94.0) -> DataFrame:
+    """One run for each pair summary (pair_id, vendor, ts, status, discrepancies, total_difference; issues, else taken from ``found``)."""
+    if "issues" not in summary.columns:
+        summary = summary.join(found.groupBy("pair_id").agg(F.array_sort(F.collect_list("field")).alias("issues")), "pair_id", "left")
     n = F.col("discrepancies")
     confidence = F.when(n == 0, 99.8).otherwise(F.greatest(F.lit(least), 99.8 - penalty * n))
-    return summary.join(issues, "pair_id", "left").select(
+    return summary.select(
         F.col("pair_id").cast("string").alias("run_id"),
         F.coalesce(F.regexp_replace("vendor", r"\.[^.]*$", ""), F.lit("Invoice Run")).alias("vendor"),
         "status", n.cast("int").alias("discrepancies"), "ts", F.col("total_difference").alias("rupee_difference"), F.lit(None).cast("string").alias("duration"),
@@ -95,12 +96,12 @@ def issue_breakdown(runs: DataFrame, mapping: dict[str, str] | None = None) -> D
     counts = runs.select(F.explode("issues").alias("issue")).groupBy(label.alias("label")).agg(F.count("*").alias("n"))
     labels = runs.sparkSession.createDataFrame([(x,) for x in ISSUE_LABELS], "label string")
     filled = labels.join(counts, "label", "left").select("label", F.coalesce("n", F.lit(0)).alias("n"))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))  # one row
-    return filled.crossJoin(F.broadcast(total)).select("label", "n", F.coalesce(F.floor(F.try_divide(F.col("n") * 100.0, F.col("total")) + 0.5), F.lit(0)).cast("long").alias("pct"))
+    total = F.sum("n").over(Window.partitionBy(F.lit(0)))  # over four rows
+    return filled.withColumn("total", total).select("label", "n", F.coalesce(F.floor(F.try_divide(F.col("n") * 100.0, F.col("total")) + 0.5), F.lit(0)).cast("long").alias("pct"))
 
 
 def trend(runs: DataFrame) -> DataFrame:
-    """Discrepancies of each run against the most of all runs (4 at least), to be read in the order of ts and run_id."""
+    """Discrepancies of each run against the most of all runs (4 at least), to be read in the order of ts and run_id. ``runs`` should be a written table, as it is read twice."""
     most = runs.agg(F.greatest(F.coalesce(F.max("discrepancies"), F.lit(4)), F.lit(4)).alias("most"))  # one row
     return runs.crossJoin(F.broadcast(most)).select("run_id", "ts", "discrepancies", F.round(F.col("discrepancies") / F.col("most"), 6).alias("height"))
 

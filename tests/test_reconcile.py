@@ -24,3 +24,22 @@ def test_missing_duplicate_and_fuzzy(spark):
 
 def test_empty_names_and_tables(spark):
     assert found(spark, [("", 1.0, 1.0)], []) == set()
+
+
+def test_the_rest_of_a_pair_is_matched_once(spark):
+    """The names are likened once in the plan, whatever is told of them; issues come with the summary."""
+    from ledgerline.operators import analytics as A
+
+    item = "pair_id long, line_no int, item string, qty double, price double"
+    inv = spark.createDataFrame([(1, 1, "bolt", 2.0, 5.0), (1, 2, "lapt0p", 30.0, 6.0), (1, 3, "cog", 1.0, 1.0), (1, 4, "cog", 1.0, 1.0)], item)
+    po = spark.createDataFrame([(1, 1, "bolt", 20.0, 5.0), (1, 2, "laptop", 3.0, 6.0), (1, 3, "nut", 1.0, 1.0), (2, 1, "nut", 1.0, 1.0)], item)
+    found = R.discrepancies_of(R.align_items(inv, po))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("EvalPython") == 1
+    told = sorted((r.pair_id, r.section, r.item, r.field, r.entry_count) for r in found.collect())
+    assert told == [
+        (1, "1_dup_invoice", "cog", "item", 2), (1, "3_exact", "bolt", "quantity", None), (1, "4_fuzzy", "lapt0p", "quantity", None),
+        (1, "5_po_only", "nut", "item", 1), (1, "6_invoice_only", "cog", "item", 2), (2, "5_po_only", "nut", "item", 1),
+    ]
+    pairs = spark.createDataFrame([(1, "V.pdf", None), (2, None, None), (3, None, None)], "pair_id long, vendor string, ts timestamp")
+    runs = {r.run_id: r.issues for r in A.to_runs(R.summarize_pairs(pairs, found, issues=True)).collect()}
+    assert runs == {"1": ["item", "item", "item", "quantity", "quantity"], "2": ["item"], "3": []}
