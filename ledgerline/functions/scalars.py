@@ -60,8 +60,22 @@ def _u(pattern: str) -> str:
     return f"(?U){pattern}"
 
 
-#: Anything that a repair would change. All of it starts with one of a few characters, which is asked first: most places need no more.
-_SPOILT = _u(r"[\r\t]|  |" + "|".join(re.escape(bad) for bad, _ in MOJIBAKE) + r"|(?=[:;.,\-qQpPrRaAtTgGvV\d])(?:" + "|".join(f"(?:{p})" for p, _ in OCR_REPAIRS if p != r"[ \t]+") + ")")
+#: Repairs that leave a field word as it is where it is written well already, and that word.
+_WELL_WRITTEN = {r"(?i)\bq\s*t\s*y\b": "qty", r"(?i)\bq\s*u\s*a\s*n\s*t\s*i\s*t\s*y\b": "quantity", r"(?i)\bp\s*r\s*i\s*c\s*e\b": "price", r"(?i)\br\s*a\s*t\s*e\b": "rate", r"(?i)\bqt[yv]\b": "qty"}
+
+
+def _changing(pattern: str) -> str:
+    """The pattern without the places that its repair leaves as they are."""
+    word = _WELL_WRITTEN.get(pattern)
+    return pattern if word is None else rf"(?!{word}\b){pattern}"
+
+
+#: Anything that a repair would change. All of it starts with one of a few characters, which is asked first: most places need no more. A bar
+#: between single blanks gets blanks that go again, so that only others count.
+_SPOILT = _u(
+    r"(?=[\r\t |âÃ:;.,\-qQpPrRaAtTgGvV\d])(?:[\r\t]|  |(?<! )\||\|(?! )|" + "|".join(re.escape(bad) for bad, _ in MOJIBAKE if bad != "|")
+    + r"|(?=[:;.,\-qQpPrRaAtTgGvV\d])(?:" + "|".join(f"(?:{_changing(p)})" for p, _ in OCR_REPAIRS if p != r"[ \t]+") + "))"
+)
 
 
 def strip(col: Column) -> Column:
@@ -205,21 +219,30 @@ def difference(a: Column, b: Column) -> Column:
     return F.round(F.abs(a - b), 2)
 
 
+# What the cleaner breaks and repairs, in order.
+_CLEANING = [
+    (r"[ \t]+", " "),
+    (r"(?i)\bqty(?=\d)", "qty "),
+    (r"(?i)\bprice(?=\d)", "price "),
+    (r"(?i)\brate(?=\d)", "rate "),
+    (r"(?i)\b(tax|gst|vat)(?=\d)", "$1 "),
+    (r"(?<!\n)(\b\d+\.\s+[A-Za-z])", "\n$1"),
+    (r"(?i)(?<!\n)(\b(?:total|grand total|total amount)\b\s*:)", "\n$1"),
+    (r"\n{3,}", "\n\n"),
+]
+_UNCLEAN = _u(r"(?=[ \t\nqQpPrRtTgGvV\d])(?:\t|  |" + "|".join(f"(?:{p})" for p, _ in _CLEANING[1:]) + ")")
+
+
 def clean_ocr_text(col: Column) -> Column:
-    """Repaired text with a new line before numbered rows and totals."""
-    t = normalize_ocr_text(col)
-    for pattern, to in (
-        (r"[ \t]+", " "),
-        (r"(?i)\bqty(?=\d)", "qty "),
-        (r"(?i)\bprice(?=\d)", "price "),
-        (r"(?i)\brate(?=\d)", "rate "),
-        (r"(?i)\b(tax|gst|vat)(?=\d)", "$1 "),
-        (r"(?<!\n)(\b\d+\.\s+[A-Za-z])", "\n$1"),
-        (r"(?i)(?<!\n)(\b(?:total|grand total|total amount)\b\s*:)", "\n$1"),
-        (r"\n{3,}", "\n\n"),
-    ):
-        t = F.regexp_replace(t, _u(pattern), to)
-    return strip(t)
+    """Repaired text with a new line before numbered rows and totals. Most texts need none: one look for all of it comes first."""
+
+    def cleaned(text: Column) -> Column:
+        t = text
+        for pattern, to in _CLEANING:
+            t = F.regexp_replace(t, _u(pattern), to)
+        return F.when(text.rlike(_UNCLEAN), strip(t)).otherwise(text)
+
+    return let(normalize_ocr_text(col), cleaned)
 
 
 def preview(col: Column, n: int = 300) -> Column:

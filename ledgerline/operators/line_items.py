@@ -19,8 +19,8 @@ QUANTITY_MAX = 1000.0
 HOT_ROWS, HOT_PARTS = 10_000, 32
 
 # Patterns of field words, heading words and totals.
-KEYWORDS = r"(?i)(?U)\b(?:qty|quantity|qnty|price|rate|amount|tax|gst|vat|total)\b"
-HEADINGS = r"(?i)(?U)\b(invoice|purchase\s*order|po\s*number|vendor|date|bill to|ship to|subtotal|grand total|total amount|hsn|sac)\b"
+KEYWORDS = r"(?=[qQpPrRaAtTgGvV])(?i)(?U)\b(?:qty|quantity|qnty|price|rate|amount|tax|gst|vat|total)\b"
+HEADINGS = r"(?=[iIıİpPvVdDbBsSſgGtThH])(?i)(?U)\b(invoice|purchase\s*order|po\s*number|vendor|date|bill to|ship to|subtotal|grand total|total amount|hsn|sac)\b"
 TOTAL_LED = r"(?i)(?U)^(?:total|grand total|total amount)\b"
 SPLITTERS = r"(?i)\s*;\s*|\s*[;,]\s*(?:[| \-_]*)(?=(?:item|nem|wem)\b)"
 FIELDS = {
@@ -43,7 +43,7 @@ def candidate_texts(text: Column) -> Column:
 
     def parts(line: Column) -> Column:
         some = F.filter(F.transform(F.split(line, SPLITTERS), strip), lambda p: p.rlike("[A-Za-z0-9]"))
-        return F.when(line.rlike(SPLITTERS), let(some, lambda x: F.when(F.size(x) > 1, x).otherwise(F.array(line)))).otherwise(F.array(line))
+        return F.when((line.contains(";") | line.contains(",")) & line.rlike(SPLITTERS), let(some, lambda x: F.when(F.size(x) > 1, x).otherwise(F.array(line)))).otherwise(F.array(line))
 
     return F.flatten(F.transform(F.transform(F.split(t, "\n"), strip), parts))
 
