@@ -141,13 +141,15 @@ def _mark(pieces: Column, gaps: Column, raw: Column, i: Column) -> Column:
     right = F.lower(F.substring(near(i + 2, F.lit(16)), 1, 16))
     percent = lambda x: raw.contains("%") | F.concat(x, F.lower(strip(raw)), right).rlike("tax|gst|vat")
     value = F.when(raw.rlike("[0-9.,%]"), normalize_currency(raw))
-    return let(left, lambda x: F.struct(i.alias("i"), raw.alias("raw"), value.alias("value"), x.alias("left"), percent(x).alias("is_percent")))
+    # what stands around a mark is asked of amounts only
+    around = lambda v: let(F.when(v.isNotNull(), left), lambda x: F.struct(i.alias("i"), raw.alias("raw"), v.alias("value"), x.alias("left"), F.when(v.isNotNull(), percent(x)).alias("is_percent")))
+    return let(value, around)
 
 
 def line_marks(line: Column) -> Column:
     """struct<gaps, marks, pieces>: the line cut at all that may be a number; a gap stands before each mark and after the last one.
 
-    A mark has its text, its value (null if it is no amount), up to 16 characters to its left, and whether it is a percentage.
+    A mark has its text, its value (null if it is no amount), and for amounts up to 16 characters to its left and whether it is a percentage.
     """
     cut = F.struct(F.split(line, NUMBER, -1).alias("gaps"), F.regexp_extract_all(line, F.lit(NUMBER), F.lit(0)).alias("texts"))
 

@@ -102,3 +102,14 @@ def test_repairs_change_what_they_did(spark):
         slow = F.regexp_replace(slow, f"(?U){pattern}", to)
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(S.normalize_ocr_text(F.col("t")).alias("a"), S.strip(slow).alias("b"), S.normalize_currency(F.col("t")).alias("c")).collect()
     assert [r.a for r in rows] == [r.b for r in rows] and [rows[k].c for k in (7, 8, 9)] == [12.0, 12.5, 15.0]
+
+
+def test_what_stands_around_a_mark_is_asked_of_amounts_only(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerline.operators import line_items as L
+
+    marks = spark.createDataFrame([("blue bolt 5 tax 18%",)], "line string").select(L.line_marks(F.col("line"))["marks"].alias("m")).first().m
+    told = [(m.value, m.left is not None, m.is_percent) for m in marks]
+    assert [t for t in told if t[0] is None] == [(None, False, None)] * (len(told) - 2) and len(told) > 2
+    assert [(t[0], t[1]) for t in told if t[0] is not None] == [(5.0, True), (18.0, True)]

