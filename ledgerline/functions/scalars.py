@@ -70,11 +70,12 @@ def _changing(pattern: str) -> str:
     return pattern if word is None else rf"(?!{word}\b){pattern}"
 
 
-#: Anything that a repair would change. All of it starts with one of a few characters, which is asked first: most places need no more. A bar
-#: between single blanks gets blanks that go again, so that only others count.
+#: First letters of the field words, and what their second ones are: places that have not both need no further look.
+_FIELD_STARTS = r"[qQ]\s*[tTuUnN]|[pP]\s*[rR]|[rR]\s*[aA]|[aA][mM]|[tT][aA]|[gG][sSſ]|[vV][aA]|1[tT]|(?:[0-9]|[^\x00-\x7F])[qQpPrRaAtTgGvV]"
+#: Anything that a repair would change. A bar between single blanks gets blanks that go again, so that only others count.
 _SPOILT = _u(
-    r"(?=[\r\t |âÃ:;.,\-qQpPrRaAtTgGvV\d])(?:[\r\t]|  |(?<! )\||\|(?! )|" + "|".join(re.escape(bad) for bad, _ in MOJIBAKE if bad != "|")
-    + r"|(?=[:;.,\-qQpPrRaAtTgGvV\d])(?:" + "|".join(f"(?:{_changing(p)})" for p, _ in OCR_REPAIRS if p != r"[ \t]+") + "))"
+    r"[\r\t]|  |(?<! )\||\|(?! )|([:;.,\-])\1|" + "|".join(re.escape(bad) for bad, _ in MOJIBAKE if bad != "|")
+    + rf"|(?={_FIELD_STARTS})(?:" + "|".join(f"(?:{_changing(p)})" for p, _ in OCR_REPAIRS[1:] if p != r"[ \t]+") + ")"
 )
 
 
@@ -123,8 +124,9 @@ def normalize_currency(col: Column) -> Column:
         return F.when(usable, parse_number(F.regexp_replace(d, r"[^0-9.\-]", "")))
 
     worked_out = let(strip(F.regexp_replace(normalize_ocr_text(col), r"(?i)(?U)\b(?:rs|inr)\.?\s*", "")), amount)
-    # plain digits are what all of that leaves them
-    return F.when(col.cast("string").rlike(r"^[0-9]+(?:\.[0-9]+)?$"), F.round(col.try_cast("double"), 2)).otherwise(worked_out)
+    text = col.cast("string")
+    # plain digits between blanks are what all of that leaves them; without a digit or mark, or what a repair makes one of, there is no amount
+    return F.when(text.rlike("^ *[0-9]+(?:\\.[0-9]+)? *$"), F.round(text.try_cast("double"), 2)).when(text.rlike(r"(?U)[\d.,\-%$âÃ]"), worked_out)
 
 
 def normalize_quantity(col: Column) -> Column:
@@ -230,7 +232,10 @@ _CLEANING = [
     (r"(?i)(?<!\n)(\b(?:total|grand total|total amount)\b\s*:)", "\n$1"),
     (r"\n{3,}", "\n\n"),
 ]
-_UNCLEAN = _u(r"(?=[ \t\nqQpPrRtTgGvV\d])(?:\t|  |" + "|".join(f"(?:{p})" for p, _ in _CLEANING[1:]) + ")")
+#: Anything that the cleaner would change; words and numbers are looked at only where their first characters stand.
+_UNCLEAN = _u(
+    r"\t|  |\n\n\n|(?<![0-9\n])\d(?=[\d.])(?<=(?:\b\d))\d*\.\s+[A-Za-z]|(?=[qQ][tT]|[pP][rR]|[rR][aA]|[tT][aAoO]|[gG][sSſrR]|[vV][aA])(?:" + "|".join(f"(?:{p})" for p, _ in (*_CLEANING[1:5], _CLEANING[6])) + ")"
+)
 
 
 def clean_ocr_text(col: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions.names import without_labels
 from ..functions.scalars import clean_ocr_text, is_coordinate_payload, is_tax_line, let, normalize_currency, normalize_ocr_text, normalize_percentage, reconcile_math, squeeze, strip, trim_name
-from ..sources.tables import written
+from ..sources.tables import many_tasks, written
 
 QUANTITY_MAX = 1000.0
 #: From so many rows on a line may be hot; places over which a hot one is spread.
@@ -255,17 +255,18 @@ def _label_name(words: Column, flags: Column) -> Column:
 def _candidates() -> list[Column]:
     """What each reader makes of a line, in the order in which they count: by the heading's columns, by place in a table row, by
     labels, and by a name with trailing amounts. Null where a reader has nothing."""
-    name = lambda k: F.coalesce(F.get("names", F.lit(k)), F.lit(""))
+    # a name is trimmed where a reader asks for it
+    name = lambda k: F.coalesce(trim_name(F.get("told.texts", F.lit(k))), F.lit(""))
     null = F.lit(None).cast("double")
     v = F.filter(F.slice("numbers", F.col("skip") + 2, F.greatest(F.size("numbers") - F.col("skip") - 1, F.lit(0))), lambda x: x.isNotNull())
 
     def made(own: Column, qty: Column, price: Column, tax: Column, total: Column, confidence: Column, strategy: str, ok: Column) -> Column:
         stated = F.coalesce(qty, price, tax, total).isNotNull() if strategy != "trailing_numeric" else F.size("tokens") >= 2
-        c = F.struct(
-            F.coalesce(F.nullif(name(0), F.lit("")), own).alias("item"), F.coalesce(qty, "roles.qty").alias("qty"), F.coalesce(price, "roles.price").alias("price"),
+        c = lambda n: F.struct(
+            F.coalesce(F.nullif(name(0), F.lit("")), n).alias("item"), F.coalesce(qty, "roles.qty").alias("qty"), F.coalesce(price, "roles.price").alias("price"),
             F.coalesce(tax, "roles.tax").alias("tax"), F.coalesce(total, "roles.total").alias("total"), confidence.alias("confidence"), F.lit(strategy).alias("parse_strategy"),
         )
-        return F.when(F.coalesce(ok & (own != "") & stated, F.lit(False)), c)
+        return F.when(F.coalesce(ok & stated, F.lit(False)), let(own, lambda n: F.when(n != "", c(n))))
 
     def by_place(v: Column) -> Column:
         third = F.get(v, F.lit(2))
@@ -275,7 +276,7 @@ def _candidates() -> list[Column]:
 
     def by_label(x: Column) -> Column:
         n = sum(F.when(x[f].isNotNull(), 1).otherwise(0) for f in FIELDS)
-        return made(name(5), x["qty"], x["price"], x["tax"], x["total"], F.when(n >= 2, 0.9).otherwise(0.78), "labeled", F.lit(True))
+        return made(F.coalesce(_label_name(F.col("words"), F.col("told.flags")), F.lit("")), x["qty"], x["price"], x["tax"], x["total"], F.when(n >= 2, 0.9).otherwise(0.78), "labeled", F.lit(True))
 
     found = {f: F.nullif(F.regexp_extract("cleaned", p, 1), F.lit("")) for f, p in FIELDS.items()}
     stated = F.struct(*(F.when(c.isNotNull(), (normalize_percentage if f == "tax" else normalize_currency)(c)).alias(f) for f, c in found.items()))
@@ -307,7 +308,6 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     """
     out = with_cells(with_marks(lines)).withColumn("summary", is_tax_line(F.col("cleaned")))
     out = out.withColumn("told", without_labels(F.col("words"), _name_texts()))
-    out = out.withColumn("names", F.array_append(F.transform("told.texts", trim_name), _label_name(F.col("words"), F.col("told.flags"))))
     # a reader is asked only where those before it have nothing
     parsed = F.coalesce(*(let(c, _finalized) for c in _candidates()))
     parsed = _with_document(parsed, lines)
@@ -315,7 +315,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     hints = F.col("cleaned").rlike(KEYWORDS) | F.col("cleaned").contains("|")
     reason = (
         F.when(strip(F.col("cleaned")) == "", "no rows found")
-        .when(F.get("names", F.lit(5)) == "", "regex mismatch")
+        .when(_label_name(F.col("words"), F.col("told.flags")) == "", "regex mismatch")
         .when((F.size("tokens") < 2) & ~hints, "regex mismatch")
         .when(hints | (F.size("tokens") > 0), "qty missing")
         .otherwise("regex mismatch")
@@ -339,7 +339,8 @@ def parse_distinct(lines: DataFrame) -> DataFrame:
     (headings, footers of a form) is spread over HOT_PARTS places in the join; there are fewer than a thousand such lines at any size.
     """
     key = F.xxhash64("cleaned", "header").alias("key")
-    known = lines.groupBy("cleaned", "header").agg(F.count("*").alias("n"))
+    # dealt over a number of tasks that is said, as parsing is long for the few bytes of a line
+    known = lines.groupBy("cleaned", "header").agg(F.count("*").alias("n")).repartition(many_tasks(lines.sparkSession), "cleaned", "header")
     parsed = parse_lines(known.select(F.struct(key, "n").alias("doc_id"), F.lit(0).alias("line_no"), F.col("cleaned").alias("raw"), "cleaned", "header"))
     found = written(parsed.select("doc_id.key", "doc_id.n", "cleaned", "parsed", "reason"), "line-dictionary")
     least = max(HOT_ROWS, lines.count() // 1_000)
