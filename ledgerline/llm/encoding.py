@@ -22,6 +22,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
+from . import worker_tables
+
 #: White space, by any reading of the word, other than the blank and the line feed.
 _OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　\0]")
 #: A capital that may be one character with what follows it.
@@ -138,6 +140,7 @@ class ChunkTable:
 
 
 _LOADED: dict[tuple[str, str | None], ChunkTable] = {}
+worker_tables.kind("chunks", _LOADED.clear)
 
 
 def _in_lines(encode_batch: Callable[[list[str]], list[list[int]]], separator: str, unfit: Callable[[str], bool], each: int = 500) -> Callable[[list[str]], list[bytes]]:
@@ -195,6 +198,7 @@ def _by_words(tokenizer, plain: re.Pattern, rest: Callable[[list[str]], list[byt
 
 def library_table(path: str, pattern: str | None) -> ChunkTable:
     """The chunk table of a tokenizers-library file, one for each worker process."""
+    worker_tables.only("chunks")
     if (path, pattern) not in _LOADED:
         import os
 

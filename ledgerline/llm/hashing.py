@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from . import worker_tables
+
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -21,9 +23,11 @@ class _Words(dict):
 
 
 _WORDS = _Words()
+worker_tables.kind("words", _WORDS.clear)
 
 
 def hash_words(words: list[bytes]) -> np.ndarray:
+    worker_tables.only("words")
     return np.fromiter(map(_WORDS.__getitem__, words), dtype=np.uint64, count=len(words))
 
 

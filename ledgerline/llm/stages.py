@@ -11,6 +11,7 @@ from . import near_dedup as near
 from . import packing
 from . import quality_rules as rules
 from . import substring_dedup as substring
+from . import worker_tables
 from .common import keep_rows, ready
 from .encoding import library_ids
 
@@ -25,6 +26,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bound = spark.sparkContext.broadcast(net)
 
     def keep(texts: list[bytes | None]) -> list[bool]:
+        worker_tables.only(None)
         out: list[bool] = []
         texts = [t or b"" for t in texts]
         for some in map(texts.__getitem__, language.in_groups(texts)):
