@@ -35,6 +35,18 @@ def _labels_of(words: pd.Series, texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"flags": [None if some is None else [told.get(w, False) for w in some] for some in words], "texts": without})
 
 
+def _no_labels(names: pd.Series) -> pd.Series:
+    some = names.dropna().unique()
+    told = _told({w for n in some for w in n.split()})
+    free = {n: not any(told.get(w, False) for w in n.split()) for n in some}
+    return names.map(lambda n: free.get(n, False)).astype(bool)
+
+
+def has_no_labels(name: Column) -> Column:
+    """Whether no word of a name is a field label; false for null."""
+    return F.pandas_udf(_no_labels, "boolean")(name)
+
+
 def without_labels(words: Column, texts: Column) -> Column:
     """struct<flags, texts>: whether each of ``words`` is a field label, and ``texts``, repaired and in lower case, without their labels."""
     repaired = F.transform(texts, lambda t: F.when(t.isNotNull(), squeeze(F.lower(normalize_ocr_text(t)))))

@@ -79,20 +79,43 @@ _SPOILT = _u(
 )
 
 
+#: Texts in which repairs and the cleaner change nothing but the case of field words, told in one pass: letters with at most one mark behind them and plain numbers, between
+#: single blanks or line ends. Not among them are words that a repair changes, pieces of field words that stand apart, and totals with a colon
+#: inside a line. A bar has blanks, or an end of the text, on both sides.
+_PIECES = r"(?:q(?:t|u(?:a(?:n(?:t(?:it?)?)?)?)?)?|p(?:r(?:ic?)?)?|r(?:at?)?)[ \n]"
+_PLAIN_WORD = rf"(?!{_PIECES}|(?:prlce|qtv)\b)(?:(?<![^\n])total(?: amount)?:|(?!(?:total|amount):)[a-z]++[.,;:!?]?+)"
+_PLAIN = rf"(?i)^(?:(?:{_PLAIN_WORD}|[0-9]++(?:\.[0-9]++)?+|(?<![^ ])\|(?![^ ]))(?:[ \n](?=[a-z0-9|])|\z))++\z"
+#: White space by Unicode.
+_SPACE = "".join(chr(c) for c in (*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+
+
+def is_plain(col: Column) -> Column:
+    """A text that repairs and cleaning leave as it is, but for the case of field words; some others that they leave are not told so."""
+    return col.rlike(_PLAIN)
+
+
+def _cased(col: Column) -> Column:
+    """A plain text with its field words as a repair writes them."""
+    words, text = ("qty", "quantity", "price", "rate"), col
+    for w in words:
+        text = F.regexp_replace(text, rf"(?i)\b{w}\b", w)
+    return F.when(col.rlike(rf"\b(?!(?:{'|'.join(words)})\b)(?i:{'|'.join(words)})\b"), text).otherwise(col)
+
+
 def strip(col: Column) -> Column:
     """Without white space at both ends."""
-    # only white space behind which none stands is looked at to the end
-    return F.regexp_replace(col, _u(r"^\s+|(?<!\s)\s+$"), "")
+    return F.btrim(col, F.lit(_SPACE))
 
 
 def squeeze(col: Column) -> Column:
-    return strip(F.regexp_replace(col, _u(r"\s+"), " "))
+    # single blanks stay as they are
+    return strip(F.regexp_replace(col, _u(r"\s{2,}|[\s&&[^ ]]"), " "))
 
 
 def normalize_ocr_text(col: Column) -> Column:
     """Repair field words and separators; case and lines stay. Null gives the empty text.
 
-    Most texts need no repair: one look for anything that a repair would change saves the repairs.
+    Most texts need no repair: a look for plain texts, then one for anything that a repair would change, saves the repairs.
     """
     raw = F.coalesce(col.cast("string"), F.lit(""))
     text = F.replace(F.replace(raw, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
@@ -100,7 +123,7 @@ def normalize_ocr_text(col: Column) -> Column:
         text = F.replace(text, F.lit(bad), F.lit(good))
     for pattern, to in OCR_REPAIRS:
         text = F.regexp_replace(text, _u(pattern), to)
-    return F.when(raw.rlike(_SPOILT), strip(text)).otherwise(strip(raw))
+    return F.when(is_plain(raw), _cased(raw)).when(raw.rlike(_SPOILT), strip(text)).otherwise(strip(raw))
 
 
 def clean_numeric_token(col: Column) -> Column:
@@ -247,7 +270,7 @@ def clean_ocr_text(col: Column) -> Column:
             t = F.regexp_replace(t, _u(pattern), to)
         return F.when(text.rlike(_UNCLEAN), strip(t)).otherwise(text)
 
-    return let(normalize_ocr_text(col), cleaned)
+    return F.when(is_plain(col), _cased(col)).otherwise(let(normalize_ocr_text(col), cleaned))
 
 
 def preview(col: Column, n: int = 300) -> Column:
@@ -287,7 +310,7 @@ def is_coordinate_payload(col: Column) -> Column:
     """Text that is only pairs of box coordinates."""
     t = F.regexp_replace(F.coalesce(col, F.lit("")), r"(?U)\s+", "")
     pairs = F.regexp_count(t, F.lit(r"\[\d+(?:\.\d+)?,\d+(?:\.\d+)?\]"))
-    return (pairs >= 2) & ~t.rlike("[A-Za-z]{2,}") & (F.regexp_count(t, F.lit(r"-?\d+(?:\.\d+)?")) >= pairs * 2)
+    return F.coalesce(col, F.lit("")).contains("[") & (pairs >= 2) & ~t.rlike("[A-Za-z]{2,}") & (F.regexp_count(t, F.lit(r"-?\d+(?:\.\d+)?")) >= pairs * 2)
 
 
 def severity(n: Column, amount: Column) -> Column:
