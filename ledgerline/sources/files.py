@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +15,39 @@ MAX_UPLOAD_BYTES = 10 * 1024 * 1024
 HISTORY = "id string, vendor string, status string, discrepancies int, time timestamp, rupeeDifference double, duration string, confidence string, issues array<string>"
 
 
+def on_disk(spark: SparkSession, path: str) -> str | None:
+    """The folder of a path that is on a disk which all tasks see; null where only Spark's own readers and writers come to it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toUri()
+    return there.getPath() if there.getScheme() == "file" else None
+
+
+def write_each(rows: DataFrame, folder: str) -> int:
+    """Write each row of name and content as a file of its own in a folder on a disk that all tasks see; gives their number.
+
+    Names may have folders in them. Spark's writers give a file a folder, a checksum and a mode of its own, where each mode is set by a program that is
+    started for it; here tasks write theirs in place, and a repeated task replaces what the one before has written.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: set[str] = set()
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                path = os.path.join(folder, name)
+                top, file = os.path.split(path)
+                if top not in made:
+                    os.makedirs(top, exist_ok=True)
+                    made.add(top)
+                # hidden from readers until it is whole
+                young = os.path.join(top, f".{file}.{os.getpid()}")
+                with open(young, "wb") as out:
+                    out.write(content)
+                os.replace(young, path)
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    return rows.select("name", F.col("content").cast("binary")).mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def read_uploads(spark: SparkSession, path: str) -> DataFrame:
     """path, length and content of each file; the source leaves out files of no bytes."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "content")
