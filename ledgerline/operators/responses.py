@@ -54,18 +54,27 @@ def parse_response(responses: DataFrame) -> DataFrame:
     return responses.withColumn("response", F.explode_outer(F.array(made))).withColumns({k: F.col(f"response.{k}") for k in names}).drop("response")
 
 
-def raw_entries(parsed: DataFrame) -> DataFrame:
-    """(doc_id, pos, item, qty, price) of the entries that are objects, amounts as texts."""
+def _entry(j: Column) -> Column:
+    """item, qty and price of an entry as texts; null for what is no object."""
+    get = lambda k: F.get_json_object(j, f"$.{k}")
+    return F.when(F.startswith(strip(j), F.lit("{")), F.struct(get("item").alias("item"), get("qty").alias("qty"), get("price").alias("price")))
 
-    def entry(j: Column) -> Column:
-        get = lambda k: F.get_json_object(j, f"$.{k}")
-        return F.when(F.startswith(strip(j), F.lit("{")), F.struct(get("item").alias("item"), get("qty").alias("qty"), get("price").alias("price")))
 
+def raw_entries(parsed: DataFrame) -> DataFrame:
+    """(doc_id, pos, item, qty, price) of the entries that are objects, amounts as texts."""
     # an outer explode: no filter on the list is inferred from it, which would read each response once more
-    rows = parsed.select("doc_id", F.posexplode_outer(F.transform("raw_items", entry)).alias("pos", "e")).where("e is not null")
+    rows = parsed.select("doc_id", F.posexplode_outer(F.transform("raw_items", lambda j: _entry(j))).alias("pos", "e")).where("e is not null")
     return rows.select("doc_id", "pos", "e.item", "e.qty", "e.price")
 
 
+def _checked(item: Column, qty: Column, price: Column) -> Column:
+    return let(strip(item), lambda x: F.struct(x.alias("item"), qty.alias("qty"), price.alias("price"), item_quality(x)["score"].alias("score")))
+
+
+def _is_good(e: Column) -> Column:
+    return (e["item"] != "") & (e["qty"] > 0) & (e["price"] >= 0) & (e["score"] >= MIN_ITEM_QUALITY)
+
+
 def validate_items(entries: DataFrame, confidences: DataFrame | None = None) -> DataFrame:
     """Entries with a good name, a positive quantity and a price that is not negative; of equal ones the first.
 
@@ -73,10 +82,9 @@ def validate_items(entries: DataFrame, confidences: DataFrame | None = None) ->
     """
     number = lambda c: safe_number(F.col(c)) if dict(entries.dtypes)[c] == "string" else F.round(F.col(c).cast("double"), 2)
     others = [c for c in entries.columns if c not in ("item", "qty", "price")]
-    cleaned = let(strip(F.col("item")), lambda x: F.struct(x.alias("item"), number("qty").alias("qty"), number("price").alias("price"), item_quality(x)["score"].alias("score")))
+    cleaned = _checked(F.col("item"), number("qty"), number("price"))
     # one pass over each entry, behind an explode as in parse_response
-    out = entries.select(*others, F.explode_outer(F.array(cleaned)).alias("e")).select(*others, "e.*").where("item <> '' AND qty > 0 AND price >= 0").where(F.col("score") >= MIN_ITEM_QUALITY).drop("score")
-    out = out.select(*entries.columns)
+    out = entries.select(*others, F.explode_outer(F.array(cleaned)).alias("e")).where(_is_good(F.col("e"))).select(*others, "e.*").select(*entries.columns)
     if confidences is not None:
         out = gate_ocr_conf(out, confidences)
     w = Window.partitionBy("doc_id", F.lower("item"), "qty", "price").orderBy("pos")
@@ -118,6 +126,16 @@ def select_source(model: DataFrame, parsed: DataFrame, docs: DataFrame) -> DataF
     return j.select("doc_id", mode.alias("mode"), (mode != "model").alias("fallback_used"), *(F.when(~empty, F.col(c)).alias(c) for c in cols[1:]))
 
 
+def used_fallback(parsed: DataFrame) -> DataFrame:
+    """doc_id and whether ``select_source`` would take no item of the model, worked out on each parsed response with its text, without its items' rows.
+
+    ``parsed``: one row for each document, doc_id, raw_items and text.
+    """
+    good = lambda e: let(_checked(e["item"], safe_number(e["qty"]), safe_number(e["price"])), lambda x: _is_good(x))
+    some = F.exists("raw_items", lambda j: let(_entry(j), lambda e: F.when(e.isNotNull(), good(e))))
+    return parsed.select("doc_id", ((F.trim(F.coalesce("text", F.lit(""))) == "") | ~F.coalesce(some, F.lit(False))).alias("fallback_used"))
+
+
 def deviation(model: DataFrame, parsed: DataFrame) -> DataFrame:
     """Whether model and parser differ in an amount of a name both have; of a name's rows the last counts."""
     last = lambda df, p: df.groupBy("doc_id", F.lower("item").alias("name")).agg(F.max_by(F.struct("qty", "price"), "pos").alias(p))
